@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagloom.llm import merkle
 from bagloom.llm.common import crc_mod
 
 
@@ -16,12 +17,22 @@ def held(column: str, modulus: int, rest: int) -> F.Column:
     return F.coalesce(crc_mod(column, modulus) == rest, F.lit(False))
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents").select("doc_id", "text", (~held("doc_id", 5, 1)).alias("learn")))
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.llm import mjpeg
 
@@ -55,5 +66,5 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pivotal_mix, op4_avi_mjpeg, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares)}
+ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": merkle.ORACLE}
