@@ -66,5 +66,11 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares)}
+def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.llm import suffixes
+
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares, op10_induced_suffixes)}
 ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": merkle.ORACLE}
