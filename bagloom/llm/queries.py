@@ -39,6 +39,12 @@ def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.llm import count_rtree
+
+    return count_rtree.join(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100)
+
+
 def op6_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.llm import kneser_ney
 
@@ -72,5 +78,5 @@ def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares, op10_induced_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op5_count_rtree, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares, op10_induced_suffixes)}
 ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": merkle.ORACLE}
