@@ -170,9 +170,10 @@ def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> Dat
             cut = np.searchsorted(to, np.arange(n_shards + 1))
             ids = whole.column("doc_id")
             ids = ids.fill_null(NO_ID).to_numpy()
-            raw = zstandard.ZstdCompressor(level=1).compress(data.tobytes())
-            head = pack(np.diff(offsets).astype(np.uint64))
-            found = [(chunk, -1, TEXT, len(head).to_bytes(8, "little") + head + raw), (chunk, -1, META, pack(ids.view(U), n.astype(np.uint64)))]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema) as out:
+                out.write_table(whole)
+            found = [(chunk, -1, TEXT, zstandard.ZstdCompressor(level=1).compress(sink.getvalue())), (chunk, -1, META, pack(ids.view(U), n.astype(np.uint64)))]
             for s in range(n_shards):
                 x, y, own = cut[s], cut[s + 1], mark_order[mark_cut[s] : mark_cut[s + 1]]
                 if x < y or len(own):
@@ -182,9 +183,9 @@ def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> Dat
             yield from rows(*found).to_batches()
 
         for batch in batches:
-            for i, j in slices(batch.column(1), CHUNK):
+            for i, j in slices(batch.column("text"), CHUNK):
                 held.append(batch.slice(i, j - i))
-                total += utf8(held[-1].column(1))[1][-1]
+                total += utf8(held[-1].column("text"))[1][-1]
                 if total >= CHUNK or sum(h.num_rows for h in held) >= 1 << 18:
                     yield from flush()
         if held:
@@ -292,6 +293,11 @@ class Sets:
             self.labels = list(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True))
 
 
+    def rows(self) -> pa.Table:
+        """The chunk's documents with all their columns."""
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self.text)).read_all()
+
+
 def ship(group: pa.Table, size: int) -> pa.Table:
     """(block, ref, doc_id, n, members) of the representatives that lie in a block."""
     own = Sets(group)
@@ -306,10 +312,8 @@ def ship(group: pa.Table, size: int) -> pa.Table:
     label = {a & ((1 << 20) - 1): b for a, b in own.labels}
     wanted = sorted(i for i in label if rep[i] == refs[i])
     if wanted:
-        k = int.from_bytes(own.text[:8], "little")
-        lengths = unpack(own.text[8 : 8 + k])[0].astype(np.int64)
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.text[8 + k :]), np.uint8)
-        offsets = np.append(0, np.cumsum(lengths))
+        data, offsets = utf8(own.rows().column("text").combine_chunks())
+        lengths = np.diff(offsets)
         for i in range(0, len(wanted), 500):
             some = wanted[i : i + 500]
             cut = np.append(0, np.cumsum(lengths[some]))
@@ -319,6 +323,16 @@ def ship(group: pa.Table, size: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
 
+def kept_rows(group: pa.Table) -> pa.Table:
+    """A chunk's documents but for those that another one represents or that a label drops."""
+    own = Sets(group)
+    keep = np.ones(len(own.meta[0]), bool)
+    for doc, ref, _ in own.rep:
+        keep[doc] = ref.astype(np.int64) == (own.chunk << 20) + doc.astype(np.int64)
+    keep[[a & ((1 << 20) - 1) for a, _ in own.labels]] = False
+    return own.rows().filter(pa.array(keep))
+
+
 def final_rows(group: pa.Table) -> pa.Table:
     """(doc_id, n, rep, rep_id) of every document of a chunk."""
     own = Sets(group)
@@ -397,20 +411,25 @@ def link(group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ref[np.array(out_a, np.int64)]), pa.array(ids[np.array(out_a, np.int64)]), pa.array(ref[np.array(out_b, np.int64)]), pa.array(ids[np.array(out_b, np.int64)])], names=["a", "a_id", "b", "b_id"])
 
 
-def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more."""
+def typed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+
+
+def to_chunks(labels: DataFrame) -> DataFrame:
+    """(a, b) rows as LABEL rows of a's chunk."""
+    return labels.select(F.shiftright("a", 20).alias("chunk"), F.lit(-1).alias("shard"), F.lit(LABEL).alias("kind"), F.lit(None).cast("binary").alias("blob"), "a", "b")
+
+
+def solve(docs: DataFrame, size: int, num: int, den: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(encoded chunks, answers about equal sets, rep / least_id / least of the representatives that link)."""
     spark = docs.sparkSession
     tables, n = Tables(spark, "rtree"), shards(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = tables.write(encode(docs, n, size, num, den))
     answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(answer, BLOBS))
     blocks = components(opened(answers), tables)
     member = blocks.select("a", "b").unionByName(blocks.select(F.col("b").alias("a"), "b").distinct())
-    labels = member.select(F.shiftright("a", 20).alias("chunk"), F.lit(-1).alias("shard"), F.lit(LABEL).alias("kind"), F.lit(None).cast("binary").alias("blob"), "a", "b")
     told = answers.filter(F.col("kind") == ANSWER)
-    meta = encoded.filter(F.col("kind") == META)
-    chunks = encoded.filter(F.col("kind") == TEXT).unionByName(meta).unionByName(told)
-    chunks = chunks.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}).unionByName(labels)
+    chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), member)
     sets = tables.write(chunks.groupBy("chunk").applyInArrow(lambda g: ship(g, size), "block long, ref long, doc_id long, n long, members binary"))
     weight = sets.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("block", F.ceil(F.col("w") / limit).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
@@ -421,9 +440,29 @@ def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int
     found = components(links.select("a", "b").distinct(), tables)
     ids = links.select("a", "a_id").unionByName(links.select(F.col("b").alias("a"), F.col("b_id").alias("a_id"))).distinct()
     named = ids.join(found, "a", "left").withColumn("c", F.coalesce("b", "a"))
-    least = named.groupBy("c").agg(F.min("a_id").alias("least"))
-    component = named.join(least, "c").select(F.col("a").alias("rep"), "least")
-    final = meta.unionByName(told).groupBy("chunk").applyInArrow(final_rows, "doc_id long, n long, rep long, rep_id long")
-    out = final.join(component, "rep", "left")
+    least = named.groupBy("c").agg(F.min(F.struct("a_id", "a")).alias("least"))
+    component = named.join(least, "c").select(F.col("a").alias("rep"), F.col("least.a_id").alias("least_id"), F.col("least.a").alias("least"))
+    tables.drop(sets)
+    return encoded, told, component
+
+
+def with_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
+    return chunks.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}).unionByName(to_chunks(labels))
+
+
+def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more."""
+    encoded, told, component = solve(typed(docs).select("doc_id", "text"), size, num, den, limit)
+    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(final_rows, "doc_id long, n long, rep long, rep_id long")
+    out = final.join(component.select("rep", "least_id"), "rep", "left")
     clean = lambda c: F.when(c != F.lit(NO_ID), c)
-    return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least", "rep_id")).alias("component_id"))
+    return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least_id", "rep_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
+    """The rows of docs, with all their columns, but one only of each component: the one with the smallest doc_id."""
+    whole = typed(docs)
+    encoded, told, component = solve(whole, size, num, den, limit)
+    drop = component.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), drop)
+    return chunks.groupBy("chunk").applyInArrow(kept_rows, whole.schema)

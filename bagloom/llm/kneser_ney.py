@@ -284,18 +284,26 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, slack:
     return out
 
 
+def accepted(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of docs that the models don't reject, with their columns."""
+    kept = docs.columns
+    return identify(docs.select(F.struct(*kept).alias("__row"), F.col("text").cast("string").alias("text")), models, ["__row"]).filter(~F.col("rejected")).select("__row.*")
+
+
 def identify(docs: DataFrame, models: Models, keep: list[str] | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
     """The columns `keep` of docs (doc_id by default) with lang_pred, score and rejected."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    inside = "text" in keep
+    source = docs.select(*keep) if inside else docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    at = keep.index("text") if inside else len(keep)
     schema = source.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i, j in slices(whole.column(len(keep)), batch_bytes):
+            for i, j in slices(whole.column(at), batch_bytes):
                 part = whole.slice(i, j - i)
-                lang, score, rejected = shared.value.predict(part.column(len(keep)))
+                lang, score, rejected = shared.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
     return source.mapInArrow(run, schema)

@@ -146,3 +146,12 @@ def mix(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIG
     tables = Tables(docs.sparkSession, "sizes")
     sized = tables.write(with_sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")))
     return pivotal_copies(sized, targets(sized, ratio, weights, cap), seed)
+
+
+def mixed(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
+    """The rows of docs, with their columns, as often as the mix takes them (0 to 2 times)."""
+    tables = Tables(docs.sparkSession, "mixed")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.struct(*docs.columns).alias("__row"))
+    sized = tables.write(with_sizes(whole))
+    taken = pivotal_copies(sized, targets(sized, ratio, weights, cap), seed)
+    return taken.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select("__row.*")
