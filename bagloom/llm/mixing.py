@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bagloom.llm.common import Tables, slices, utf8, words
 
-WEIGHTS, RATIO, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 20_000
+WEIGHTS, RATIO, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 2048
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
