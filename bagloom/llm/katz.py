@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import LOWER, Tables, U, hash_spans, mix, pack, padded, shards, slices, unpack, utf8, words
 
 K = 5
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 END = U(0x2545F4914F6CDD1D)
 UNKNOWN, START, FIRST = 0, 1, 2
 BLOBS = "chunk long, shard int, kind int, blob binary"
