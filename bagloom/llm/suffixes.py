@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import Tables, U, hash_spans, mix, pack, padded, shards, slices, unpack, utf8, windows8
 from bagloom.llm.katz import BLOBS, NAMES, deltas, rows, shard_of, sums
 
-LENGTH, KEY, HOT, CHUNK, ALPHABET = 200, 64, 20_000, 8 << 20, 512
+LENGTH, KEY, HOT, CHUNK, ALPHABET = 200, 64, 20_000, 5 << 20, 512
 TEXT, ASKED, ANSWER, PIECES, FOUND, WINDOWS, WINDOW_ANSWER = range(7)
 #: parts of the pieces' exchange for each shard, so that a suffix array's working set stays small
 FINER = 4
@@ -417,7 +417,7 @@ class Chunk:
 
     def result(self, n_shards: int) -> pa.Table:
         n = len(self.data)
-        cover = np.zeros(n + 1, np.int64)
+        cover = np.zeros(n + 1, np.int32)
         for a, b in self.found:
             np.add.at(cover, a.astype(np.int64), 1)
             np.add.at(cover, b.astype(np.int64), -1)
@@ -435,7 +435,8 @@ class Chunk:
         copies = (self.state > 0) & (size >= LENGTH)
         np.add.at(cover, self.offsets[:-1][copies], 1)
         np.add.at(cover, self.offsets[1:][copies], -1)
-        gone = np.cumsum(cover[:n]) > 0
+        gone = np.cumsum(cover[:n], dtype=np.int32) > 0
+        del cover
         first = np.zeros(n + 1, bool)
         first[self.offsets] = True
         head = gone.copy()
@@ -465,24 +466,32 @@ def match(group: pa.Table, n_shards: int) -> pa.Table:
             out.append((chunk, shard, WINDOW_ANSWER, pack(total[at : at + len(p[0])].astype(np.uint8))))
             at += len(p[0])
         return rows(*out)
-    heads, bodies, owner = [], [], []
+    begin, size, owner, content = [], [], [], []
+    same: dict[bytes, int] = {}
     for k, blob in enumerate(blobs):
         n = int.from_bytes(blob[:8], "little")
-        a, size = unpack(blob[8 : 8 + n])
+        a, lengths = unpack(blob[8 : 8 + n])
         body = zstandard.ZstdDecompressor().decompress(blob[8 + n :])
-        heads.append((a.astype(np.int64), size.astype(np.int64)))
-        bodies.append(body)
+        ends = np.cumsum(lengths.astype(np.int64)).tolist()
+        at = 0
+        for end in ends:
+            content.append(same.setdefault(body[at:end], len(same)))
+            at = end
+        begin.append(a.astype(np.int64))
+        size.append(lengths.astype(np.int64))
         owner.append(np.full(len(a), k))
-    begin, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads])
-    owner = np.concatenate(owner)
-    text = np.full(int(size.sum()) + len(size), 255, np.uint8)
+    begin, owner, content = np.concatenate(begin), np.concatenate(owner), np.array(content)
+    # equal pieces are matches as a whole; one of them stands for all in the suffix array
+    copies = np.bincount(content) > 1
+    size = np.array([len(x) for x in same], np.int64)
+    text = np.frombuffer(b"\xff".join(same) + b"\xff", np.uint8)
+    del same
     place = np.cumsum(size + 1) - size - 1
-    text[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = np.frombuffer(b"".join(bodies), np.uint8)
     found = repeated(text)
-    # windows that hold a separator are none
     piece = np.repeat(np.arange(len(size)), size + 1)
-    inside = np.arange(len(text)) - place[piece] + LENGTH <= size[piece]
-    found &= inside
+    found |= copies[piece]
+    # windows that hold a separator are none
+    found &= np.arange(len(text)) - place[piece] + LENGTH <= size[piece]
     starts = np.flatnonzero(found)
     if not len(starts):
         return rows()
@@ -490,13 +499,18 @@ def match(group: pa.Table, n_shards: int) -> pa.Table:
     new = np.append(True, (own[1:] != own[:-1]) | (starts[1:] > starts[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:] - 1, len(starts) - 1)
-    a = starts[first] - place[own[first]] + begin[own[first]]
-    b = starts[last] - place[own[first]] + begin[own[first]] + LENGTH
-    who = owner[own[first]]
+    # stretches of each distinct piece, then of every piece with that content
+    own, a, b = own[first], starts[first] - place[own[first]], starts[last] - place[own[first]] + LENGTH
+    count = np.bincount(own, minlength=len(size))
+    base = np.cumsum(count) - count
+    many = count[content]
+    at = np.repeat(base[content] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    shift, who = np.repeat(begin, many), np.repeat(owner, many)
+    a, b = a[at] + shift, b[at] + shift
+    cut = np.searchsorted(who, np.arange(len(chunks) + 1))
     for k, chunk in enumerate(chunks):
-        mine = who == k
-        if mine.any():
-            out.append((chunk, shard, FOUND, pack(a[mine].astype(np.uint64), b[mine].astype(np.uint64))))
+        if cut[k] < cut[k + 1]:
+            out.append((chunk, shard, FOUND, pack(a[cut[k] : cut[k + 1]].astype(np.uint64), b[cut[k] : cut[k + 1]].astype(np.uint64))))
     return rows(*out)
 
 
