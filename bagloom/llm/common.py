@@ -7,6 +7,8 @@ an operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -172,6 +174,43 @@ class Tables:
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """run (over batches, for mapInArrow) with its memory given back at the end of the task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def lean_group(run):
+    """run (over one group, for applyInArrow) with its memory given back after each large group."""
+
+    def wrapped(group):
+        large = group.nbytes > 1 << 20
+        try:
+            return run(group)
+        finally:
+            if large:
+                del group
+                release()
+
+    return wrapped
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text modulo modulus; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -41,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import LOWER, Tables, U, hash_spans, mix, pack, padded, shards, slices, unpack, utf8, words
+from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, lean_group, mix, pack, padded, shards, slices, unpack, utf8, words
 from bagloom.llm.katz import BLOBS, NAMES, deltas, rows, shard_of, sums
 
-CHUNK, LIMIT, GROW = 8 << 20, 3_000_000, 1.5
+CHUNK, LIMIT, GROW = 5 << 20, 3_000_000, 1.5
 TEXT, ASKED, ANSWER, EDGES, META, LABEL = range(6)
 NO_ID = (1 << 63) - 1
 
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> Dat
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, BLOBS)
+    return docs.mapInArrow(lean(run), BLOBS)
 
 
 def answer(group: pa.Table) -> pa.Table:
@@ -239,7 +239,7 @@ def opened(table: DataFrame) -> DataFrame:
                 for i in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return table.filter(F.col("kind") == EDGES).select("blob").mapInArrow(run, "a long, b long").distinct()
+    return table.filter(F.col("kind") == EDGES).select("blob").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -425,18 +425,18 @@ def solve(docs: DataFrame, size: int, num: int, den: int, limit: int) -> tuple[D
     spark = docs.sparkSession
     tables, n = Tables(spark, "rtree"), shards(spark)
     encoded = tables.write(encode(docs, n, size, num, den))
-    answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(answer, BLOBS))
+    answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(lean_group(answer), BLOBS))
     blocks = components(opened(answers), tables)
     member = blocks.select("a", "b").unionByName(blocks.select(F.col("b").alias("a"), "b").distinct())
     told = answers.filter(F.col("kind") == ANSWER)
     chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), member)
-    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lambda g: ship(g, size), "block long, ref long, doc_id long, n long, members binary"))
+    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(lambda g: ship(g, size)), "block long, ref long, doc_id long, n long, members binary"))
     weight = sets.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("block", F.ceil(F.col("w") / limit).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
     dealt = sets.join(weight, "block").withColumn("__own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("__own")).alias("i"), F.greatest(t, F.col("__own")).alias("j"), F.when(t == F.col("__own"), 2).when(t > F.col("__own"), 0).otherwise(1).alias("side")))
     dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "members")
-    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lambda g: link(g, num, den), "a long, a_id long, b long, b_id long"))
+    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, num, den)), "a long, a_id long, b long, b_id long"))
     found = components(links.select("a", "b").distinct(), tables)
     ids = links.select("a", "a_id").unionByName(links.select(F.col("b").alias("a"), F.col("b_id").alias("a_id"))).distinct()
     named = ids.join(found, "a", "left").withColumn("c", F.coalesce("b", "a"))
@@ -453,7 +453,7 @@ def with_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
 def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more."""
     encoded, told, component = solve(typed(docs).select("doc_id", "text"), size, num, den, limit)
-    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(final_rows, "doc_id long, n long, rep long, rep_id long")
+    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(lean_group(final_rows), "doc_id long, n long, rep long, rep_id long")
     out = final.join(component.select("rep", "least_id"), "rep", "left")
     clean = lambda c: F.when(c != F.lit(NO_ID), c)
     return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least_id", "rep_id")).alias("component_id"))
@@ -465,4 +465,4 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limi
     encoded, told, component = solve(whole, size, num, den, limit)
     drop = component.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), drop)
-    return chunks.groupBy("chunk").applyInArrow(kept_rows, whole.schema)
+    return chunks.groupBy("chunk").applyInArrow(lean_group(kept_rows), whole.schema)
