@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bagloom.llm.common import lean
+
 #: (host, path, verdict), as the contract of op8 states them
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 SAMPLE = 20_000
@@ -186,8 +188,12 @@ def labelled_sample(urls: DataFrame, rules: tuple, sample: int) -> tuple[list[st
             got = [(u, f[1] == "block") for u in batch.column(0).to_pylist() if u is not None and (f := table.find(*split_url(u)))]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.string()), pa.array([b for _, b in got], pa.bool_())], names=["url", "blocked"])
 
-    decided = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(run, "url string, blocked boolean")
-    rows = decided.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    decided = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(lean(run), "url string, blocked boolean")
+    n = decided.count()
+    # an even draw a little above the bound first, so that no task sends a whole sample of its own
+    share = min(1.0, 1.5 * (sample + 200) / max(1, n))
+    drawn = decided.withColumn("h", F.xxhash64("url")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    rows = drawn.orderBy("h", "url").select("url", "blocked").limit(sample).collect()
     return [r[0] for r in rows], np.array([float(r[1]) for r in rows])
 
 
@@ -211,4 +217,4 @@ def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", sample:
             verdict = [h[1] if h else ("block" if s >= threshold else "allow") for h, s in zip(hits, score.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([h[0] if h else None for h in hits], pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64(), mask=np.isnan(score))], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    return pages.select(F.col(key).cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(lean(run), "page_id long, host string, path string, rule string, verdict string, score double")
