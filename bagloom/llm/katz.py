@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import LOWER, Tables, U, hash_spans, mix, pack, padded, shards, slices, unpack, utf8, words
+from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, lean_group, mix, pack, padded, shards, slices, unpack, utf8, words
 
 K = 5
 CHUNK = 6 << 20
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, n_shards: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, BLOBS)
+    return docs.mapInArrow(lean(run), BLOBS)
 
 
 def histogram(counts: np.ndarray) -> np.ndarray:
@@ -321,15 +321,15 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("learn", F.lit(True)).alias("learn"))
     encoded = tables.write(encode(docs, n_shards))
     stream = encoded.filter(F.col("kind") == STREAM)
-    words_ = tables.write(encoded.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(lambda g: count_words(g, n_shards), BLOBS))
+    words_ = tables.write(encoded.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(lean_group(lambda g: count_words(g, n_shards)), BLOBS))
     stats = stats_of(words_)
     sums_ = np.sum(stats, axis=0) if stats else np.zeros(K + 3, np.int64)
     total, vocabulary = int(sums_[0]), int(sums_[1])
     unigrams = Unigrams(total, sums_[2:].tolist())
     n_docs = docs.filter("learn").count()
     known = stream.unionByName(words_.filter(F.col("kind") == WORD_ANSWER))
-    asked = known.groupBy("chunk").applyInArrow(lambda g: Chunk(g, n_shards, total, n_docs).requests(), BLOBS)
-    pairs = tables.write(asked.groupBy("shard").applyInArrow(lambda g: count_pairs(g, unigrams), BLOBS))
+    asked = known.groupBy("chunk").applyInArrow(lean_group(lambda g: Chunk(g, n_shards, total, n_docs).requests()), BLOBS)
+    pairs = tables.write(asked.groupBy("shard").applyInArrow(lean_group(lambda g: count_pairs(g, unigrams)), BLOBS))
     stats = stats_of(pairs)
     discounts = Discounts(np.sum(stats, axis=0).tolist() if stats else [0] * (K + 1))
 
@@ -342,4 +342,4 @@ def score(docs: DataFrame) -> DataFrame:
         n = len(sizes)
         return pa.Table.from_arrays([pa.array(own.doc_ids, mask=own.known == 0), pa.array(own.learn == 0), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(np.full(n, total)), pa.array(base), pa.array(logs)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return known.unionByName(pairs.filter(F.col("kind") == PAIR_ANSWER)).groupBy("chunk").applyInArrow(finish, SCHEMA)
+    return known.unionByName(pairs.filter(F.col("kind") == PAIR_ANSWER)).groupBy("chunk").applyInArrow(lean_group(finish), SCHEMA)

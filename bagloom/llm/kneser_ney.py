@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import U, hash_spans, mix, padded, slices, utf8
+from bagloom.llm.common import U, hash_spans, lean, mix, padded, slices, utf8
 
 ORDER, SAMPLE, SLACK = 5, 150, 1.5
 BOUND = 0x20
@@ -290,7 +290,7 @@ def accepted(docs: DataFrame, models: Models) -> DataFrame:
     return identify(docs.select(F.struct(*kept).alias("__row"), F.col("text").cast("string").alias("text")), models, ["__row"]).filter(~F.col("rejected")).select("__row.*")
 
 
-def identify(docs: DataFrame, models: Models, keep: list[str] | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, models: Models, keep: list[str] | None = None, batch_bytes: int = 2 << 20) -> DataFrame:
     """The columns `keep` of docs (doc_id by default) with lang_pred, score and rejected."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
@@ -306,4 +306,4 @@ def identify(docs: DataFrame, models: Models, keep: list[str] | None = None, bat
                 lang, score, rejected = shared.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

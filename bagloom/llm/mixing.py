@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import Tables, slices, utf8, words
+from bagloom.llm.common import Tables, lean, lean_group, slices, utf8, words
 
 WEIGHTS, RATIO, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 2048
 
@@ -47,7 +47,7 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(n, pa.int64())], names=[*kept, "size"])
 
     schema = source.select(*kept).schema.add("size", "long")
-    return source.mapInArrow(count, schema)
+    return source.mapInArrow(lean(count), schema)
 
 
 def targets(sized: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -129,7 +129,7 @@ def pivotal_copies(sized: DataFrame, wanted: DataFrame, seed: int = 0, block: in
     while True:
         # one block is left for every source: its survivor is rounded by itself
         last = blocks == 1
-        level = tables.write(current.groupBy("source", "__block").applyInArrow(settle(last), schema))
+        level = tables.write(current.groupBy("source", "__block").applyInArrow(lean_group(settle(last)), schema))
         done.append(level.filter(~F.col("__open")))
         if last:
             break

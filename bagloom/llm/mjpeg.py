@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import slices, utf8
+from bagloom.llm.common import lean, slices, utf8
 
 SIDE, FPS = 24, 25
 FRAME = SIDE * SIDE
@@ -274,7 +274,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_byte
             kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), DIGEST)
 
 
 def to_avi(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes: int = 2 << 20) -> DataFrame:
@@ -285,7 +285,7 @@ def to_avi(docs: DataFrame, text: str = "text", key: str = "doc_id", batch_bytes
             files = store([padded_payload(r) for r in raws])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in raws], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -300,4 +300,4 @@ def clips(media: DataFrame) -> DataFrame:
                 found = shots(load([blob]))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([a / FPS for a, _ in found], pa.float64()), pa.array([b / FPS for _, b in found], pa.float64())], names=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, clip long, first_frame long, end_frame long, start_s double, end_s double")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(lean(run), "doc_id long, clip long, first_frame long, end_frame long, start_s double, end_s double")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import hash_spans, padded, slices, utf8
+from bagloom.llm.common import hash_spans, lean, padded, slices, utf8
 
 WINDOW, END_ID = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,7 +48,7 @@ class Encoder:
 
     SPECIAL = b"<|endoftext|>"
 
-    def __init__(self, kept: int = 1_000_000):
+    def __init__(self, kept: int = 600_000):
         import public_tokenizers
         import tiktoken
 
@@ -210,4 +210,4 @@ def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         if levels.rows:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)

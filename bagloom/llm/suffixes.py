@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import Tables, U, hash_spans, mix, pack, padded, shards, slices, unpack, utf8, windows8
+from bagloom.llm.common import U, Tables, hash_spans, lean, lean_group, mix, pack, padded, shards, slices, unpack, utf8, windows8
 from bagloom.llm.katz import BLOBS, NAMES, deltas, rows, shard_of, sums
 
 LENGTH, KEY, HOT, CHUNK, ALPHABET = 200, 64, 20_000, 5 << 20, 512
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, n_shards: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, BLOBS)
+    return docs.mapInArrow(lean(run), BLOBS)
 
 
 def answer(group: pa.Table, hot: int) -> pa.Table:
@@ -524,8 +524,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = tables.write(encode(docs, n))
     text = encoded.filter(F.col("kind") == TEXT)
-    answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(lambda g: answer(g, hot), BLOBS))
+    answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(lean_group(lambda g: answer(g, hot)), BLOBS))
     both = text.unionByName(answers)
-    sent = both.groupBy("chunk").applyInArrow(lambda g: Chunk(g).send(n), BLOBS)
-    found = tables.write(sent.groupBy("shard").applyInArrow(lambda g: match(g, n), BLOBS))
-    return both.unionByName(found).groupBy("chunk").applyInArrow(lambda g: Chunk(g).result(n), SCHEMA)
+    sent = both.groupBy("chunk").applyInArrow(lean_group(lambda g: Chunk(g).send(n)), BLOBS)
+    found = tables.write(sent.groupBy("shard").applyInArrow(lean_group(lambda g: match(g, n)), BLOBS))
+    return both.unionByName(found).groupBy("chunk").applyInArrow(lean_group(lambda g: Chunk(g).result(n)), SCHEMA)
