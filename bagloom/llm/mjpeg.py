@@ -8,8 +8,8 @@ index. Reading parses the RIFF chunks, takes the frames from the index and decod
 frames of a batch together, sample by sample across frames.
 
 Shots: histograms of 16 bins per frame; a cut lies where the distance of neighbouring
-histograms exceeds the mean of the preceding distances in the shot (up to 12) by three of
-their deviations and a floor. Each shot is a clip row with start and end in seconds.
+histograms exceeds both a floor and the mean of the preceding distances (up to 12) by three
+of their deviations. Each shot is a clip row with start and end in seconds.
 
 Defined results: null or empty texts are one frame of bytes 255. Equal texts give equal
 files, hence equal values; repeated rows are kept. Extra columns are ignored. A file
@@ -187,14 +187,13 @@ def histograms(frames: np.ndarray) -> np.ndarray:
 
 def cuts(distance: np.ndarray, floor: float = 0.2, span: int = 12) -> list[int]:
     """Frames at which a new shot begins; distance[i] lies between frames i and i + 1, from 0 to 1."""
-    out, first, seen = [], 0, distance.tolist()
+    out, seen = [], distance.tolist()
     for i, x in enumerate(seen):
-        past = seen[max(first, i - span) : i]
+        past = seen[max(0, i - span) : i]
         mean = sum(past) / len(past) if past else 0.0
         spread = (sum((y - mean) ** 2 for y in past) / len(past)) ** 0.5 if past else 0.0
         if x > max(floor, mean + 3 * spread):
             out.append(i + 1)
-            first = i + 1
     return out
 
 
