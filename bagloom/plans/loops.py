@@ -107,6 +107,12 @@ class Loops:
                     self.adopt(n, kind)
                 elif kind[0] in ARRAYS and (value is None or value == Call(kind[0], ())):
                     self.vars[n] = Array(kind[0], None, kind[-1])
+                elif kind[0] in ARRAYS and isinstance(value, Call) and value.name == kind[0]:
+                    rows = [[self.scalar(y) for y in (x.items[0].items if isinstance(x.items[0], Tup) else (x.items[0],))] + [self.scalar(y) for y in x.items[1:]] for x in value.args]
+                    made = self.spark.createDataFrame([tuple(r) for r in rows], list(ARRAYS[kind[0]]))
+                    keys = [F.col(c).cast("long").alias(c) if kind[0] != "map" else F.col(c) for c in ARRAYS[kind[0]][:-1]]
+                    cast = SCALARS.get(kind[-1][0])
+                    self.vars[n] = Array(kind[0], made.select(*keys, F.col("v").cast(cast).alias("v") if cast else F.col("v")), kind[-1])
                 elif kind[0] in ARRAYS and isinstance(value, Var) and isinstance(self.vars.get(value.name), Array):
                     self.vars[n] = self.vars[value.name]
                 else:
@@ -262,12 +268,27 @@ class Loops:
             seen[a, at] = v
             return Var(v)
 
+        def cell(e: Any) -> Any:
+            """The bag of a cell: one value or none."""
+            a, at = e.of.name, tuple(walk(x) for x in e.at)
+            if not isinstance(self.array(a, len(at)), Array):
+                raise QueryError(f"{a} is no array")
+            keys, v = [fresh("k") for _ in at], fresh("v")
+            return Select(Var(v), (Gen(PTup((*map(PVar, keys), PVar(v))), Var(a)), *(Pred(Bin("==", Var(k), x)) for k, x in zip(keys, at, strict=True))))
+
         def walk(e: Any) -> Any:
+            match e:
+                case Call("exists", (Index(Var(a), _) as x,)):
+                    return Lit(False) if self.array(a).df is None else Bin(">", Reduce("count", cell(x)), Lit(0))
+                case Call("default", (Index(Var(a), _) as x, other)):
+                    return walk(other) if self.array(a).df is None else Call("coalesce", (Method(cell(x), "head", ()), walk(other)))
             if isinstance(e, Index) and isinstance(e.of, Var):
                 return read(e.of.name, e.at)
             return rebuilt(e, walk)
 
         def plain(e: Any) -> list[tuple[str, tuple]]:
+            if isinstance(e, Call) and e.name in ("exists", "default"):
+                return [y for c in e.args[1:] for y in plain(c)]
             out = [(e.of.name, e.at)] if isinstance(e, Index) and isinstance(e.of, Var) and all(isinstance(x, Var) and x.name in pending for x in e.at) else []
             return out + [y for c in children(e) for y in plain(c)]
 

@@ -381,6 +381,8 @@ class Lowering:
             q = self.next_of(ready, todo, preds, f)
             todo.remove(q)
             self.step(q, f, preds, set(qual_vars(tuple(todo))))
+        if f.df is None:
+            f.df = self.spark.range(1).toDF(fresh("one"))
         for p in preds:
             self.where(p, f)
         return f

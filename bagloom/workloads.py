@@ -300,3 +300,35 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stream_group"], ORACLE_SQL["stream_group"] = _streamed, "SELECT event_type AS t, count(*) AS n, round(sum(value), 2) AS s, round(max(value), 2) AS m FROM events GROUP BY 1"
+
+
+def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.streaming.windows import windowed
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(windowed(events, "ts", "1 day", [F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")], ["event_type"]).select(F.col("start").cast("date").cast("string").alias("d"), "event_type", "n", "s"), 2)
+
+
+QUERIES["event_windows"], ORACLE_SQL["event_windows"] = _tumbling, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS d, event_type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1, 2"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.sources.scans import vector
+
+    return vector(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name"), ["s_name"])
+
+
+QUERIES["vector_index"], ORACLE_SQL["vector_index"] = _indexed, "SELECT row_number() OVER (ORDER BY s_name) - 1 AS i, s_name AS v FROM supplier"
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.operators.bags import multiply_grid
+
+    m = _matrix(Lazy(spark, sf_dir)).filter("i <= 30")
+    return rounded(multiply_grid(m, m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), 4, 4), 2)
+
+
+QUERIES["matmul_grid"], ORACLE_SQL["matmul_grid"] = _grid, f"WITH m AS (SELECT * FROM {MATRIX} WHERE i <= 30) SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2"
+query("range_generator", "select (i, count/(select n from n <- nation where n.n_nationkey < i)) from i <- (0 to 25)", "i n", "SELECT i, (SELECT count(*) FROM nation WHERE n_nationkey < i) AS n FROM range(0, 26) t(i)")
+query("nest_group_count", "select (s, n) from (s, n) <- (select (s, count/o) from o <- orders group by s: o.o_custkey) where n > 10", "k n", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 10")
+program("defaults", "var R: vector[Double] = vector(); for i = 0, 9 do R[i] := (V[i] : 0.0) + 1.0;", "R", "SELECT i, round(coalesce(v, 0) + 1, 2) AS v FROM range(0, 10) t(i) LEFT JOIN (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0) ON k = i", lambda t: {"V": t["orders"].filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v"))}, twin=False, places=2)

@@ -63,3 +63,12 @@ def test_printed(run, spark):
 def test_errors(run, text):
     with pytest.raises(QueryError):
         run(text)
+
+
+def test_defaults_and_literals(spark):
+    a = spark.createDataFrame([(1, 10.0), (3, 30.0)], "i long, v double")
+    out = run_loops("var R: vector[Double] = vector(); for i = 0, 3 do R[i] := (A[i] : 0.5) * 2.0; var H: vector[Boolean] = vector(); for i = 0, 3 do H[i] := exists(A[i]); var M: matrix[Double] = matrix(((0,1),2.0),((1,1),3.0)); M[1,1] += 1.0;", {"spark": spark, "A": a}, Session())
+    rows = lambda n: sorted(map(tuple, out[n].collect()))
+    assert rows("R") == [(0, 1.0), (1, 20.0), (2, 1.0), (3, 60.0)]
+    assert rows("H") == [(0, False), (1, True), (2, False), (3, True)]
+    assert rows("M") == [(0, 1, 2.0), (1, 1, 4.0)]
