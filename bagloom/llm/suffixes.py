@@ -10,8 +10,8 @@ place. So:
 1. A chunk of documents is stored with its anchors, and asks the anchors' shards which of
    them occur twice or more. Copies of whole documents are told apart by a digest: one of
    them represents the others, which are covered wholly.
-2. Each chunk sends the text around its repeated anchors (all windows that can have that
-   anchor) to the anchor's shard, overlapping pieces of a document joined into one.
+2. Each chunk sends the text of its windows with a repeated anchor to the anchor's shard,
+   overlapping pieces of a document joined into one.
 3. A shard joins its pieces (with separators) and sorts their suffixes: suffixes are
    classified as smaller or larger than their right neighbours, leftmost-smaller (LMS)
    substrings are sorted by a first induction and named, the string of names is sorted
@@ -129,7 +129,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
             return order
         who = order[open_]
         nxt = np.where(who + step < n, rank[np.minimum(who + step, n - 1)] + 1, 0)
-        again = np.lexsort((nxt, rank[who]))
+        again = np.argsort(rank[who] * (n + 1) + nxt)
         who, nxt, old = who[again], nxt[again], rank[who[again]]
         order[open_] = who
         new = np.append(True, (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1]))
@@ -143,10 +143,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    values, codes = np.unique(text, return_inverse=True)
-    if len(values) > ALPHABET:
+    if text.dtype == np.uint8:
+        used = np.bincount(text, minlength=256) > 0
+        codes, top = (np.cumsum(used) - 1)[text], int(used.sum())
+    else:
+        values, codes = np.unique(text, return_inverse=True)
+        top = len(values)
+    if top > ALPHABET:
         return doubled(codes.astype(np.int64))
-    top = len(values)
     t = np.zeros(n + 1, np.uint8 if top < 256 else np.uint16)
     t[:n] = codes + 1
     # smaller than the right neighbour; equal characters take the neighbour's kind
@@ -239,11 +243,12 @@ def key_hashes(buffer: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all windows inside texts."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each anchor; first window, number of windows and hash of each run of windows with one anchor hash)."""
     n, width = len(data), LENGTH - KEY + 1
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        z = np.zeros(0, np.int64)
+        return z.astype(U), z, z, z.astype(U)
     h = key_hashes(padded(data))[: n - KEY + 1] | U(1)
     least = sliding(h, width, np.minimum)  # of windows 0 to n - LENGTH
     ok = np.ones(n + 1, bool)
@@ -251,10 +256,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = np.minimum(size, LENGTH - 1)
     at = np.repeat(offsets[1:] - last, last) + np.arange(last.sum()) - np.repeat(np.cumsum(last) - last, last)
     ok[at] = False
-    least[~ok[: len(least)]] = 0
+    ok = ok[: len(least)]
+    least[~ok] = 0
     around = np.concatenate([np.zeros(width - 1, U), least, np.zeros(len(h) - len(least), U)])
-    found = np.flatnonzero(sliding(around, width, np.maximum)[: len(h)] == h)
-    return found, h[found]
+    found = h[np.flatnonzero(sliding(around, width, np.maximum)[: len(h)] == h)]
+    new = np.append(True, least[1:] != least[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(least)))
+    inside = ok[first]
+    return found, first[inside], count[inside], least[first[inside]]
 
 
 def window_hashes(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,16 +289,16 @@ def encode(docs: DataFrame, n_shards: int) -> DataFrame:
             held, size = [], 0
             column = whole.column("text").combine_chunks()
             data, offsets = utf8(column)
-            places, hashes = [], []
+            parts = []
             for i, j in slices(column, 256 << 10):
-                p, h = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                places.append(p + offsets[i])
-                hashes.append(h)
-            places, hashes = np.concatenate(places), np.concatenate(hashes)
+                found, first, count, least = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                parts.append((found, first + offsets[i], count, least))
+            hashes, first, windows, least = (np.concatenate(x) for x in zip(*parts, strict=True))
             raw = data.tobytes()
             o = offsets.tolist()
             digest = np.frombuffer(b"".join(hashlib.blake2b(raw[o[i] : o[i + 1]], digest_size=16).digest() for i in range(len(o) - 1)), np.uint64).reshape(-1, 2)
-            unique, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            unique, count = np.unique(hashes, return_counts=True)
+            inverse = np.searchsorted(unique, least)
             to = shard_of(unique, n_shards)
             order = np.argsort(to, kind="stable")
             rank = np.empty(len(order), np.uint32)
@@ -296,7 +306,7 @@ def encode(docs: DataFrame, n_shards: int) -> DataFrame:
             unique, count, to = unique[order], count[order], to[order]
             ids = whole.column("doc_id")
             known = ids.is_valid().to_numpy().astype(np.uint8)
-            head = pack(ids.fill_null(0).to_numpy().view(U), known, np.diff(offsets).astype(np.uint64), np.diff(places, prepend=0).astype(np.uint64), rank[inverse])
+            head = pack(ids.fill_null(0).to_numpy().view(U), known, np.diff(offsets).astype(np.uint64), np.diff(first, prepend=0).astype(np.uint64), windows.astype(np.uint64), rank[inverse])
             found = [(chunk, -1, TEXT, len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(raw))]
             doc_to = shard_of(digest[:, 0], n_shards)
             doc_order = np.argsort(doc_to, kind="stable")
@@ -322,7 +332,7 @@ def encode(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def answer(group: pa.Table, hot: int) -> pa.Table:
-    """For each chunk: its anchors' kinds (0 unique, 1 repeated, 2 hot), and for its documents 0 sole, 1 first of copies, 2 another copy."""
+    """For each chunk: its anchors' kinds (0 unique, 1 repeated, 2 hot; above them the finer shard), and for its documents 0 sole, 1 first of copies, 2 another copy."""
     shard = group.column("shard")[0].as_py()
     found = sorted(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist(), strict=True))
     parts = [unpack(b) for _, b in found]
@@ -330,6 +340,7 @@ def answer(group: pa.Table, hot: int) -> pa.Table:
     _, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, np.concatenate([p[1] for p in parts])) if len(keys) else np.zeros(0)
     kind = np.where(total > hot, 2, np.where(total > 1, 1, 0)).astype(np.uint8)[inverse]
+    kind |= (keys % U(61) % U(FINER)).astype(np.uint8) << np.uint8(2)
     digests = np.concatenate([np.column_stack([p[3].astype(U), p[4].astype(U)]) for p in parts])
     _, first, owner, copies = np.unique(digests, axis=0, return_index=True, return_inverse=True, return_counts=True)
     state = np.where(copies[owner.ravel()] > 1, 2, 0).astype(np.uint8)
@@ -351,7 +362,7 @@ class Chunk:
         for shard, kind, blob in zip(*(group.column(c).to_pylist() for c in NAMES[1:]), strict=True):
             if kind == TEXT:
                 n = int.from_bytes(blob[:8], "little")
-                ids, self.known, sizes, places, rank = unpack(blob[8 : 8 + n])
+                ids, self.known, sizes, first, windows, rank = unpack(blob[8 : 8 + n])
                 self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + n :]), np.uint8)
             elif kind == ANSWER:
                 answers.append((shard, unpack(blob)))
@@ -363,20 +374,21 @@ class Chunk:
         self.ids = ids.astype(U).view(np.int64)
         self.offsets = np.append(0, np.cumsum(sizes.astype(np.int64)))
         kinds = np.concatenate([a[0] for _, a in answers]) if answers else np.zeros(0, np.uint8)
+        shard = np.repeat([s for s, _ in answers], [len(a[0]) for _, a in answers]) if answers else np.zeros(0, np.int64)
         self.state = np.zeros(len(sizes), np.uint8)
         for _, (_, own, state) in answers:
             self.state[own] = state
-        places = np.cumsum(places.astype(np.int64))
-        doc = np.searchsorted(self.offsets, places, "right") - 1
+        first = np.cumsum(first.astype(np.int64))
+        doc = np.searchsorted(self.offsets, first, "right") - 1
         own = kinds[rank] if len(rank) else np.zeros(0, np.uint8)
-        keep = (own > 0) & (self.state[doc] != 2)
-        self.places, self.doc, self.kind = places[keep], doc[keep], own[keep]
-        self.key = rank[keep]
+        keep = ((own & 3) > 0) & (self.state[doc] != 2)
+        #: runs of windows with one repeated anchor, their documents, kinds and fine shards
+        self.low, self.high, self.doc, self.kind = first[keep], first[keep] + windows.astype(np.int64)[keep] - 1, doc[keep], own[keep] & 3
+        self.shard = (shard[rank[keep]] if len(rank) else np.zeros(0, np.int64)) * FINER + (own[keep] >> 2)
 
     def spans(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The stretch of text around anchors that their windows can reach."""
-        p, d = self.places[which], self.doc[which]
-        return np.maximum(p - (LENGTH - KEY), self.offsets[d]), np.minimum(p + LENGTH, self.offsets[d + 1])
+        """The stretch of text that the possible windows of anchors cover."""
+        return self.low[which], self.high[which] + LENGTH
 
     def hot_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, first and second hash) of all windows around hot anchors, by place."""
@@ -389,9 +401,7 @@ class Chunk:
         """PIECES by fine shard, and WINDOWS of hot anchors by shard (shifted behind the fine ones)."""
         out = []
         which = np.flatnonzero(self.kind == 1)
-        # the anchor's content decides its shard: the key's bytes, hashed again
-        content = hash_spans(padded(self.data), self.places[which], np.full(len(which), KEY), 3)
-        to = shard_of(content, n_shards * FINER)
+        to = self.shard[which]
         a, b = self.spans(which)
         order = np.lexsort((a, to))
         a, b, to, d = a[order], b[order], to[order], self.doc[which][order]
