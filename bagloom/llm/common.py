@@ -168,6 +168,11 @@ class Tables:
         out._shared_path = path
         return out
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of plans that nothing holds any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a written table that nothing reads any more."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)

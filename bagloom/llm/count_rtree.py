@@ -141,8 +141,8 @@ def digest(one: np.ndarray) -> bytes:
 # ---- exchanges -----------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> DataFrame:
-    """For each chunk a TEXT row, a META row (ids and set sizes) and ASKED rows (signatures and digests by shard)."""
+def encode(docs: DataFrame) -> DataFrame:
+    """A TEXT row for each chunk: its documents with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 20
@@ -151,36 +151,13 @@ def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> Dat
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal chunk, held, total
-            whole = pa.Table.from_batches(held).combine_chunks()
+            whole = pa.Table.from_batches(held)
             held, total = [], 0
-            data, offsets = utf8(whole.column("text").combine_chunks())
-            sets, bounds = shingle_sets(data, offsets, size)
-            n = np.diff(bounds)
-            sig, who = signatures(sets, bounds, num, den)
-            to = shard_of(sig, n_shards)
-            order = np.argsort(sig)
-            order = order[np.argsort(to[order].astype(np.uint32), kind="stable")]
-            sig, who, to = sig[order], who[order], to[order]
-            full = np.flatnonzero(n > 0)
-            b = bounds.tolist()
-            marks = np.frombuffer(b"".join(digest(sets[b[i] : b[i + 1]]) for i in full.tolist()), np.uint64).reshape(-1, 2)
-            mark_to = shard_of(marks[:, 0], n_shards)
-            mark_order = np.argsort(mark_to, kind="stable")
-            mark_cut = np.searchsorted(mark_to[mark_order], np.arange(n_shards + 1))
-            cut = np.searchsorted(to, np.arange(n_shards + 1))
-            ids = whole.column("doc_id")
-            ids = ids.fill_null(NO_ID).to_numpy()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as out:
                 out.write_table(whole)
-            found = [(chunk, -1, TEXT, zstandard.ZstdCompressor(level=1).compress(sink.getvalue())), (chunk, -1, META, pack(ids.view(U), n.astype(np.uint64)))]
-            for s in range(n_shards):
-                x, y, own = cut[s], cut[s + 1], mark_order[mark_cut[s] : mark_cut[s + 1]]
-                if x < y or len(own):
-                    i = full[own]
-                    found.append((chunk, s, ASKED, pack(deltas(sig[x:y]), who[x:y].astype(np.uint32), i.astype(np.uint32), marks[own, 0], marks[own, 1], ids[i].view(U))))
             chunk += 1
-            yield from rows(*found).to_batches()
+            yield from rows((chunk - 1, -1, TEXT, zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))).to_batches()
 
         for batch in batches:
             for i, j in slices(batch.column("text"), CHUNK):
@@ -194,6 +171,63 @@ def encode(docs: DataFrame, n_shards: int, size: int, num: int, den: int) -> Dat
     return docs.mapInArrow(lean(run), BLOBS)
 
 
+def documents(text: bytes) -> pa.Table:
+    """A TEXT row's documents."""
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(text)).read_all()
+
+
+def ask(chunks: DataFrame, n_shards: int, size: int, num: int, den: int) -> DataFrame:
+    """ASKED rows of each TEXT row: signatures and digests by shard."""
+
+    def one(chunk: int, text: bytes) -> pa.Table:
+        whole = documents(text)
+        data, offsets = utf8(whole.column("text").combine_chunks())
+        ids = whole.column("doc_id").fill_null(NO_ID).to_numpy()
+        del whole
+        sets, bounds = shingle_sets(data, offsets, size)
+        n = np.diff(bounds)
+        sig, who = signatures(sets, bounds, num, den)
+        to = shard_of(sig, n_shards)
+        order = np.argsort(sig)
+        order = order[np.argsort(to[order].astype(np.uint32), kind="stable")]
+        sig, who, to = sig[order], who[order], to[order]
+        full = np.flatnonzero(n > 0)
+        b = bounds.tolist()
+        marks = np.frombuffer(b"".join(digest(sets[b[i] : b[i + 1]]) for i in full.tolist()), np.uint64).reshape(-1, 2)
+        mark_to = shard_of(marks[:, 0], n_shards)
+        mark_order = np.argsort(mark_to, kind="stable")
+        mark_cut = np.searchsorted(mark_to[mark_order], np.arange(n_shards + 1))
+        cut = np.searchsorted(to, np.arange(n_shards + 1))
+        found = []
+        for s in range(n_shards):
+            x, y, own = cut[s], cut[s + 1], mark_order[mark_cut[s] : mark_cut[s + 1]]
+            if x < y or len(own):
+                i = full[own]
+                found.append((chunk, s, ASKED, pack(deltas(sig[x:y]), who[x:y].astype(np.uint32), i.astype(np.uint32), marks[own, 0], marks[own, 1], ids[i].view(U))))
+        return rows(*found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from one(batch.column("chunk")[k].as_py(), batch.column("blob")[k].as_py()).to_batches()
+
+    return chunks.mapInArrow(lean(run), BLOBS)
+
+
+def ask_meta(chunks: DataFrame, size: int) -> DataFrame:
+    """META rows (ids and set sizes) of TEXT rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                whole = documents(batch.column("blob")[k].as_py())
+                _, bounds = shingle_sets(*utf8(whole.column("text").combine_chunks()), size)
+                ids = whole.column("doc_id").fill_null(NO_ID).to_numpy()
+                yield from rows((batch.column("chunk")[k].as_py(), -1, META, pack(ids.view(U), np.diff(bounds).astype(np.uint64)))).to_batches()
+
+    return chunks.mapInArrow(lean(run), BLOBS)
+
+
 def answer(group: pa.Table) -> pa.Table:
     """For each chunk its documents' representatives (of equal sets), and the star edges of this shard's signature groups."""
     shard = group.column("shard")[0].as_py()
@@ -295,13 +329,13 @@ class Sets:
 
     def rows(self) -> pa.Table:
         """The chunk's documents with all their columns."""
-        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(self.text)).read_all()
+        return documents(self.text)
 
 
-def ship(group: pa.Table, size: int) -> pa.Table:
-    """(block, ref, doc_id, n, members) of the representatives that lie in a block."""
+def ship(group: pa.Table) -> pa.Table:
+    """(block, ref, doc_id, n, text) of the representatives that lie in a block: compressed texts are smaller than their sets."""
     own = Sets(group)
-    names = ["block", "ref", "doc_id", "n", "members"]
+    names = ["block", "ref", "doc_id", "n", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     ids, n = own.meta
     refs = (own.chunk << 20) + np.arange(len(ids))
@@ -313,13 +347,8 @@ def ship(group: pa.Table, size: int) -> pa.Table:
     wanted = sorted(i for i in label if rep[i] == refs[i])
     if wanted:
         data, offsets = utf8(own.rows().column("text").combine_chunks())
-        lengths = np.diff(offsets)
-        for i in range(0, len(wanted), 500):
-            some = wanted[i : i + 500]
-            cut = np.append(0, np.cumsum(lengths[some]))
-            sets, bounds = shingle_sets(np.concatenate([data[offsets[j] : offsets[j + 1]] for j in some]), cut, size)
-            for x, j in enumerate(some):
-                out.append((label[j], int(refs[j]), int(ids[j]), int(n[j]), pack(deltas(sets[bounds[x] : bounds[x + 1]]))))
+        press, o = zstandard.ZstdCompressor(level=3), offsets.tolist()
+        out = [(label[j], int(refs[j]), int(ids[j]), int(n[j]), press.compress(data[o[j] : o[j + 1]].tobytes())) for j in wanted]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
 
 
@@ -372,7 +401,7 @@ class RTree:
         return self.order[found], bound
 
 
-def link(group: pa.Table, num: int, den: int) -> pa.Table:
+def link(group: pa.Table, size_of_shingle: int, num: int, den: int) -> pa.Table:
     """Spanning links of a block, or of a pair of its parts (side 0 against side 1; side 2: both in one)."""
     size = group.column("n").to_numpy()
     ref, ids = group.column("ref").to_numpy(), group.column("doc_id").to_numpy()
@@ -380,7 +409,15 @@ def link(group: pa.Table, num: int, den: int) -> pa.Table:
     m = len(size)
     out_a, out_b = [], []
     if m > 1 and (side.min() == 2 or (side.min() == 0 and side.max() == 1)):
-        sets = [sums(unpack(b)[0]) for b in group.column("members").to_pylist()]
+        open_ = zstandard.ZstdDecompressor()
+        raws = [open_.decompress(b) for b in group.column("text").to_pylist()]
+        sets = []
+        for i in range(0, m, 500):
+            some = raws[i : i + 500]
+            data, bounds = np.frombuffer(b"".join(some), np.uint8), np.append(0, np.cumsum([len(x) for x in some]))
+            found, cut = shingle_sets(data, bounds, size_of_shingle)
+            sets += np.split(found, cut[1:-1])
+        del raws
         width = int(min(256, max(8, 1 << int(np.median(size) // 8).bit_length())))
         points = np.stack([np.bincount((s >> U(20) & U(width - 1)).astype(np.int64), minlength=width) for s in sets]).astype(np.int32)
         held = np.flatnonzero(side >= 1)
@@ -424,26 +461,35 @@ def solve(docs: DataFrame, size: int, num: int, den: int, limit: int) -> tuple[D
     """(encoded chunks, answers about equal sets, rep / least_id / least of the representatives that link)."""
     spark = docs.sparkSession
     tables, n = Tables(spark, "rtree"), shards(spark)
-    encoded = tables.write(encode(docs, n, size, num, den))
-    answers = tables.write(encoded.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(lean_group(answer), BLOBS))
+    encoded = tables.write(encode(docs))
+    asked = ask(encoded, n, size, num, den)
+    answers = tables.write(asked.groupBy("shard").applyInArrow(lean_group(answer), BLOBS))
+    meta = tables.write(ask_meta(encoded, size))
+    del asked
+    tables.sweep()
     blocks = components(opened(answers), tables)
     member = blocks.select("a", "b").unionByName(blocks.select(F.col("b").alias("a"), "b").distinct())
     told = answers.filter(F.col("kind") == ANSWER)
-    chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), member)
-    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(lambda g: ship(g, size)), "block long, ref long, doc_id long, n long, members binary"))
+    chunks = with_labels(encoded.unionByName(meta).unionByName(told), member)
+    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(ship), "block long, ref long, doc_id long, n long, text binary"))
+    del chunks
+    tables.sweep()
     weight = sets.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("block", F.ceil(F.col("w") / limit).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
     dealt = sets.join(weight, "block").withColumn("__own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("__own")).alias("i"), F.greatest(t, F.col("__own")).alias("j"), F.when(t == F.col("__own"), 2).when(t > F.col("__own"), 0).otherwise(1).alias("side")))
-    dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "members")
-    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, num, den)), "a long, a_id long, b long, b_id long"))
+    dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "text")
+    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, size, num, den)), "a long, a_id long, b long, b_id long"))
+    del dealt
+    tables.sweep()
     found = components(links.select("a", "b").distinct(), tables)
     ids = links.select("a", "a_id").unionByName(links.select(F.col("b").alias("a"), F.col("b_id").alias("a_id"))).distinct()
     named = ids.join(found, "a", "left").withColumn("c", F.coalesce("b", "a"))
     least = named.groupBy("c").agg(F.min(F.struct("a_id", "a")).alias("least"))
     component = named.join(least, "c").select(F.col("a").alias("rep"), F.col("least.a_id").alias("least_id"), F.col("least.a").alias("least"))
     tables.drop(sets)
-    return encoded, told, component
+    tables.sweep()
+    return encoded.unionByName(meta), told, component
 
 
 def with_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -464,5 +510,5 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limi
     whole = typed(docs)
     encoded, told, component = solve(whole, size, num, den, limit)
     drop = component.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    chunks = with_labels(encoded.filter(F.col("kind").isin(TEXT, META)).unionByName(told), drop)
+    chunks = with_labels(encoded.unionByName(told), drop)
     return chunks.groupBy("chunk").applyInArrow(lean_group(kept_rows), whole.schema)
