@@ -25,3 +25,31 @@ def test_pagerank_of_all_edges(spark, name):
             new[d] += 0.85 * rank[s] / degree[s]
         rank = new
     assert dict(map(tuple, workloads.QUERIES[name](spark, DATA).collect())) == pytest.approx(rank, abs=2e-10)
+
+
+@pytest.mark.parametrize("name", ["matmul_join_group_all", "matmul_grid_all", "loop_matrix_mult_all", "sql_matrix_mult_all"])
+def test_the_full_product(spark, name):
+    m = defaultdict(lambda: defaultdict(float))
+    for s, p, x in rows(spark, "lineitem", "l_suppkey", "l_partkey", "l_quantity"):
+        m[s][p % 40] += x
+    want = {(i, j): round(sum(x * b[k] for k, x in a.items() if k in b), 2) for i, a in m.items() for j, b in m.items() if a.keys() & b.keys()}
+    got = {(r[0], r[1]): r[2] for r in workloads.QUERIES[name](spark, DATA).collect()}
+    if "loop" in name or "sql" in name:
+        top = max(m) + 1
+        want = {(i, j): want.get((i, j), 0.0) for i in range(top) for j in range(top)}
+    assert got == pytest.approx(want, abs=0.011)
+
+
+def test_all_customers_vectors_and_cells(spark):
+    got = {r[0]: [tuple(x) for x in r[1]] for r in workloads.QUERIES["nested_group_in_head_all"](spark, DATA).collect()}
+    want = {k: Counter() for (k,) in rows(spark, "customer", "c_custkey")}
+    for c, s in rows(spark, "orders", "o_custkey", "o_orderstatus"):
+        want[c][s] += 1
+    assert got == {k: sorted(v.items()) for k, v in want.items()}
+    vectors, known = {k for (k,) in rows(spark, "embeddings", "vec_id")}, {k for (k,) in rows(spark, "customer", "c_custkey")}
+    assert workloads.QUERIES["join_behind_unnest_all"](spark, DATA).count() == sum(v + i in known for v in vectors for i in range(3))
+    cells = dict(map(tuple, workloads.QUERIES["loop_defaults_all"](spark, DATA).collect()))
+    lines = defaultdict(float)
+    for k, x in rows(spark, "lineitem", "l_orderkey", "l_quantity"):
+        lines[k] += x
+    assert cells == {i: lines.get(i, 0.0) + 1 for i in range(max(k for (k,) in rows(spark, "orders", "o_orderkey")) + 1)} and 1.0 in cells.values()
