@@ -373,3 +373,32 @@ def _grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["matmul_grid_all"], ORACLE_SQL["matmul_grid_all"] = _grid_all, PRODUCT
 program("defaults_all", "var R: vector[Double] = vector(); for i = 0, n do R[i] := (V[i] : 0.0) + 1.0;", "R", "SELECT i, round(coalesce(v, 0) + 1, 2) AS v FROM (SELECT unnest(range(0, max(o_orderkey) + 1)) AS i FROM orders) LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1) ON k = i", lambda t: {"V": t["lineitem"].groupBy(F.col("l_orderkey").alias("i")).agg(F.sum("l_quantity").alias("v")), "n": _top(t["orders"], "o_orderkey")}, twin=False, places=2)
+
+
+def _components(t: Lazy) -> DataFrame:
+    return t["embeddings"].select("vec_id", F.posexplode("embedding").alias("j", "x")).select(F.col("vec_id").alias("i"), F.col("j").cast("long"), F.col("x").cast("double").alias("v"))
+
+
+program("pca_cov_all", "var mean: vector[Double] = vector(); var cov: matrix[Double] = matrix(); for i = 0, d do for r = 0, n - 1 do mean[i] += P[r,i]; for i = 0, d do mean[i] := mean[i] / n; for i = 0, d do for j = 0, d do for r = 0, n - 1 do cov[i,j] += (P[r,i] - mean[i]) * (P[r,j] - mean[j]); for i = 0, d do for j = 0, d do cov[i,j] := cov[i,j] / (n - 1);", "cov", "WITH p AS (SELECT vec_id AS r, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS v FROM p a JOIN p b ON a.r = b.r GROUP BY 1, 2", lambda t: {"P": _components(t), "n": t["embeddings"].count(), "d": t["embeddings"].agg(F.max(F.size("embedding"))).first()[0] - 1}, places=5)
+STARTS = ((0, 5.0, 5.0), (1, 40.0, 10.0), (2, 10.0, 40.0), (3, 45.0, 45.0))
+
+
+def _kmeans_all_sql(k: int) -> str:
+    ctes = ["p AS (SELECT l_quantity AS x, l_discount * 500 AS y, count(*) AS n FROM lineitem GROUP BY 1, 2)", f"c0 AS (SELECT j, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES {', '.join(map(str, STARTS))}) t(j, x, y))"]
+    for i in range(1, k + 1):
+        ctes.append(f"d{i} AS (SELECT p.x, p.y, p.n, arg_min(c.j, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.j)) AS j FROM p, c{i - 1} c GROUP BY ALL)")
+        ctes.append(f"c{i} AS (SELECT j, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y FROM d{i} GROUP BY j)")
+    return f"WITH {', '.join(ctes)} SELECT j::BIGINT AS i, round(x, 5) AS x, round(y, 5) AS y FROM c{k}"
+
+
+def _points(t: Lazy) -> dict[str, Any]:
+    from bagloom.sources.scans import vector
+
+    points = vector(t["lineitem"].select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 500).alias("y")), ["x", "y"])
+    starts = t.spark.createDataFrame([(i, (x, y)) for i, x, y in STARTS], "i long, v struct<_1: double, _2: double>")
+    return {"P": points, "n": t["lineitem"].count(), "S": starts}
+
+
+program("kmeans_all", "var C: vector[(Double, Double)] = vector(); var D: matrix[Double] = matrix(); var closer: matrix[Long] = matrix(); var sx: vector[Double] = vector(); var sy: vector[Double] = vector(); var m: vector[Double] = vector(); for j = 0, 3 do C[j] := S[j]; var k: Int = 0; while (k < 3) { k += 1; for i = 0, n - 1 do for j = 0, 3 do D[i,j] := (P[i].x - C[j]._1) * (P[i].x - C[j]._1) + (P[i].y - C[j]._2) * (P[i].y - C[j]._2); for i = 0, n - 1 do for j = 0, 3 do closer[i,j] := 0L; for i = 0, n - 1 do for j = 0, 3 do for l = 0, 3 do if (D[i,l] < D[i,j] || (D[i,l] == D[i,j] && l < j)) closer[i,j] += 1L; for j = 0, 3 do { sx[j] := 0.0; sy[j] := 0.0; m[j] := 0.0; }; for i = 0, n - 1 do for j = 0, 3 do if (closer[i,j] == 0L) { sx[j] += P[i].x; sy[j] += P[i].y; m[j] += 1.0; }; for j = 0, 3 do C[j] := (sx[j] / m[j], sy[j] / m[j]); };", "C", _kmeans_all_sql(3), _points)
+for _name in ("loop_kmeans_all", "sql_kmeans_all"):
+    QUERIES[_name] = lambda spark, sf_dir, run=QUERIES[_name]: run(spark, sf_dir).select("i", F.round(F.col("v").getField("_1"), 5).alias("x"), F.round(F.col("v").getField("_2"), 5).alias("y"))

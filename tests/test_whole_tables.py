@@ -53,3 +53,24 @@ def test_all_customers_vectors_and_cells(spark):
     for k, x in rows(spark, "lineitem", "l_orderkey", "l_quantity"):
         lines[k] += x
     assert cells == {i: lines.get(i, 0.0) + 1 for i in range(max(k for (k,) in rows(spark, "orders", "o_orderkey")) + 1)} and 1.0 in cells.values()
+
+
+@pytest.mark.parametrize("name", ["loop_pca_cov_all", "sql_pca_cov_all"])
+def test_covariance_of_all_components(spark, name):
+    np = pytest.importorskip("numpy")
+    x = np.array([v for (v,) in rows(spark, "embeddings", "embedding")], float)
+    got = {(r[0], r[1]): r[2] for r in workloads.QUERIES[name](spark, DATA).collect()}
+    want = np.cov(x.T)
+    assert len(got) == x.shape[1] ** 2 and all(abs(want[i, j] - v) < 2e-5 for (i, j), v in got.items())
+
+
+@pytest.mark.parametrize("name", ["loop_kmeans_all", "sql_kmeans_all"])
+def test_points_join_their_nearest_centroid(spark, name):
+    points, centroids = [(q, d * 500) for q, d in rows(spark, "lineitem", "l_quantity", "l_discount")], {i: (x, y) for i, x, y in workloads.STARTS}
+    for _ in range(3):
+        own = defaultdict(list)
+        for x, y in points:
+            own[min(centroids, key=lambda j: ((x - centroids[j][0]) ** 2 + (y - centroids[j][1]) ** 2, j))].append((x, y))
+        centroids = {j: (sum(p[0] for p in own[j]) / len(own[j]), sum(p[1] for p in own[j]) / len(own[j])) for j in centroids}
+    got = {r[0]: (r[1], r[2]) for r in workloads.QUERIES[name](spark, DATA).collect()}
+    assert {j: pytest.approx(c, abs=2e-5) for j, c in centroids.items()} == got
