@@ -16,8 +16,10 @@ digest first, and one of them represents the others, so copies add no work.
 R-tree. A block's sets become points: the numbers of their hashes in each of some groups.
 The overlap of two sets is at most the sum of the coordinates' minima; below a node it is
 at most the sum of minima with the node's upper corner. An R-tree, packed by size and
-coordinates, gives the points whose bound reaches the needed overlap; these pairs are
-verified by exact intersection unless already connected. A block of more than LIMIT
+coordinates, gives the points whose bound reaches the needed overlap. Where numbers of
+links are asked for, all these pairs are verified by exact intersection, each in one block
+or pair of parts, and count as many documents as have the sets; else pairs already
+connected are left out. A block of more than LIMIT
 shingles is dealt out by hash into parts, and each pair of parts is one task, so memory is
 bounded whatever the block's size.
 
@@ -245,10 +247,11 @@ def answer(group: pa.Table) -> pa.Table:
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))]
         rep = np.empty(len(m), np.int64)
         rep[order] = head
+        copies = np.bincount(head, minlength=len(m))
         at = 0
         for c, p in zip(chunk.tolist(), parts, strict=True):
             own = rep[at : at + len(p[2])]
-            out.append((c, shard, ANSWER, pack(p[2], ref[own].astype(U), ids[own].view(U))))
+            out.append((c, shard, ANSWER, pack(p[2], ref[own].astype(U), ids[own].view(U), copies[own].astype(U))))
             at += len(own)
     keys = np.concatenate([sums(p[0]) for p in parts])
     if len(keys):
@@ -333,43 +336,43 @@ class Sets:
 
 
 def ship(group: pa.Table) -> pa.Table:
-    """(block, ref, doc_id, n, text) of the representatives that lie in a block: compressed texts are smaller than their sets."""
+    """(block, ref, doc_id, n, copies, text) of the representatives that lie in a block: compressed texts are smaller than their sets."""
     own = Sets(group)
-    names = ["block", "ref", "doc_id", "n", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["block", "ref", "doc_id", "n", "copies", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     ids, n = own.meta
     refs = (own.chunk << 20) + np.arange(len(ids))
-    rep = refs.copy()
-    for doc, ref, _ in own.rep:
-        rep[doc] = ref.astype(np.int64)
+    rep, copies = refs.copy(), np.ones(len(ids), np.int64)
+    for doc, ref, _, same in own.rep:
+        rep[doc], copies[doc] = ref.astype(np.int64), same.astype(np.int64)
     out = []
     label = {a & ((1 << 20) - 1): b for a, b in own.labels}
     wanted = sorted(i for i in label if rep[i] == refs[i])
     if wanted:
         data, offsets = utf8(own.rows().column("text").combine_chunks())
         press, o = zstandard.ZstdCompressor(level=3), offsets.tolist()
-        out = [(label[j], int(refs[j]), int(ids[j]), int(n[j]), press.compress(data[o[j] : o[j + 1]].tobytes())) for j in wanted]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
+        out = [(label[j], int(refs[j]), int(ids[j]), int(n[j]), int(copies[j]), press.compress(data[o[j] : o[j + 1]].tobytes())) for j in wanted]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
 
 
 def kept_rows(group: pa.Table) -> pa.Table:
     """A chunk's documents but for those that another one represents or that a label drops."""
     own = Sets(group)
     keep = np.ones(len(own.meta[0]), bool)
-    for doc, ref, _ in own.rep:
+    for doc, ref, _, _ in own.rep:
         keep[doc] = ref.astype(np.int64) == (own.chunk << 20) + doc.astype(np.int64)
     keep[[a & ((1 << 20) - 1) for a, _ in own.labels]] = False
     return own.rows().filter(pa.array(keep))
 
 
 def final_rows(group: pa.Table) -> pa.Table:
-    """(doc_id, n, rep, rep_id) of every document of a chunk."""
+    """(doc_id, n, rep, rep_id, copies) of every document of a chunk."""
     own = Sets(group)
     ids, n = own.meta
-    rep, rep_id = (own.chunk << 20) + np.arange(len(ids)), ids.copy()
-    for doc, ref, first in own.rep:
-        rep[doc], rep_id[doc] = ref.astype(np.int64), first.astype(U).view(np.int64)
-    return pa.Table.from_arrays([pa.array(x) for x in (ids, n, rep, rep_id)], names=["doc_id", "n", "rep", "rep_id"])
+    rep, rep_id, copies = (own.chunk << 20) + np.arange(len(ids)), ids.copy(), np.ones(len(ids), np.int64)
+    for doc, ref, first, same in own.rep:
+        rep[doc], rep_id[doc], copies[doc] = ref.astype(np.int64), first.astype(U).view(np.int64), same.astype(np.int64)
+    return pa.Table.from_arrays([pa.array(x) for x in (ids, n, rep, rep_id, copies)], names=["doc_id", "n", "rep", "rep_id", "copies"])
 
 
 # ---- R-tree --------------------------------------------------------------------------
@@ -401,12 +404,32 @@ class RTree:
         return self.order[found], bound
 
 
-def link(group: pa.Table, size_of_shingle: int, num: int, den: int) -> pa.Table:
-    """Spanning links of a block, or of a pair of its parts (side 0 against side 1; side 2: both in one)."""
+def linked(one: np.ndarray, sets: list[np.ndarray], near: np.ndarray, num: int, den: int, at_once: int = 1 << 20) -> np.ndarray:
+    """Those of the sets at `near` whose likeness with `one` suffices; some at once, of `at_once` members in all."""
+    size = np.array([len(sets[p]) for p in near.tolist()], np.int64)
+    upto = np.cumsum(size)
+    ok, i = np.zeros(len(near), bool), 0
+    while i < len(near):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + at_once, "right")))
+        joined = np.concatenate([sets[p] for p in near[i:j].tolist()])
+        hit = np.append(0, np.cumsum(one[np.minimum(np.searchsorted(one, joined), len(one) - 1)] == joined))
+        ends = upto[i:j] - (upto[i] - size[i])
+        both = hit[ends] - hit[ends - size[i:j]]
+        ok[i:j] = both * den >= num * (len(one) + size[i:j] - both)
+        i = j
+    return near[ok]
+
+
+def link(group: pa.Table, size_of_shingle: int, num: int, den: int, links: bool = False) -> pa.Table:
+    """Spanning links of a block, or of a pair of its parts (side 0 against side 1; side 2: both in one).
+
+    With `links` also a row for each set that has any (b is null): the documents its set links with.
+    """
     size = group.column("n").to_numpy()
     ref, ids = group.column("ref").to_numpy(), group.column("doc_id").to_numpy()
     side = group.column("side").to_numpy()
     m = len(size)
+    copies, partners = group.column("copies").to_numpy(), np.zeros(m, np.int64)
     out_a, out_b = [], []
     if m > 1 and (side.min() == 2 or (side.min() == 0 and side.max() == 1)):
         open_ = zstandard.ZstdDecompressor()
@@ -428,6 +451,16 @@ def link(group: pa.Table, size_of_shingle: int, num: int, den: int) -> pa.Table:
             near = held[near]
             if side[q] == 2:
                 bound, near = bound[near < q], near[near < q]
+            if links:
+                near = linked(sets[q], sets, near, num, den)
+                partners[q] += copies[near].sum()
+                partners[near] += copies[q]
+                for p in near.tolist():
+                    if label[p] != label[q]:
+                        out_a.append(q)
+                        out_b.append(p)
+                        label[label == label[p]] = label[q]
+                continue
             near = near[np.argsort(-bound, kind="stable")]
             at = 0
             while True:
@@ -445,7 +478,11 @@ def link(group: pa.Table, size_of_shingle: int, num: int, den: int) -> pa.Table:
                         out_b.append(p)
                         label[label == label[p]] = label[q]
                         break
-    return pa.Table.from_arrays([pa.array(ref[np.array(out_a, np.int64)]), pa.array(ids[np.array(out_a, np.int64)]), pa.array(ref[np.array(out_b, np.int64)]), pa.array(ids[np.array(out_b, np.int64)])], names=["a", "a_id", "b", "b_id"])
+    some = np.flatnonzero(partners)
+    a = np.concatenate([np.array(out_a, np.int64), some])
+    b, none = np.array(out_b, np.int64), pa.nulls(len(some), pa.int64())
+    columns = [pa.array(ref[a]), pa.array(ids[a]), *(pa.concat_arrays([pa.array(x[b]), none]) for x in (ref, ids)), pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(partners[some])])]
+    return pa.Table.from_arrays(columns, names=["a", "a_id", "b", "b_id", "links"])
 
 
 def typed(docs: DataFrame) -> DataFrame:
@@ -457,8 +494,8 @@ def to_chunks(labels: DataFrame) -> DataFrame:
     return labels.select(F.shiftright("a", 20).alias("chunk"), F.lit(-1).alias("shard"), F.lit(LABEL).alias("kind"), F.lit(None).cast("binary").alias("blob"), "a", "b")
 
 
-def solve(docs: DataFrame, size: int, num: int, den: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(encoded chunks, answers about equal sets, rep / least_id / least of the representatives that link)."""
+def solve(docs: DataFrame, size: int, num: int, den: int, limit: int, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(encoded chunks, answers about equal sets, rep / least_id / least / links of the representatives that link; links are counted if `count`)."""
     spark = docs.sparkSession
     tables, n = Tables(spark, "rtree"), shards(spark)
     encoded = tables.write(encode(docs))
@@ -471,22 +508,26 @@ def solve(docs: DataFrame, size: int, num: int, den: int, limit: int) -> tuple[D
     member = blocks.select("a", "b").unionByName(blocks.select(F.col("b").alias("a"), "b").distinct())
     told = answers.filter(F.col("kind") == ANSWER)
     chunks = with_labels(encoded.unionByName(meta).unionByName(told), member)
-    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(ship), "block long, ref long, doc_id long, n long, text binary"))
+    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(ship), "block long, ref long, doc_id long, n long, copies long, text binary"))
     del chunks
     tables.sweep()
     weight = sets.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("block", F.ceil(F.col("w") / limit).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
     dealt = sets.join(weight, "block").withColumn("__own", own)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("__own")).alias("i"), F.greatest(t, F.col("__own")).alias("j"), F.when(t == F.col("__own"), 2).when(t > F.col("__own"), 0).otherwise(1).alias("side")))
-    dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "text")
-    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, size, num, den)), "a long, a_id long, b long, b_id long"))
+    dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "copies", "text")
+    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, size, num, den, count)), "a long, a_id long, b long, b_id long, links long"))
     del dealt
     tables.sweep()
+    partners = links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    links = links.filter("b is not null")
     found = components(links.select("a", "b").distinct(), tables)
     ids = links.select("a", "a_id").unionByName(links.select(F.col("b").alias("a"), F.col("b_id").alias("a_id"))).distinct()
     named = ids.join(found, "a", "left").withColumn("c", F.coalesce("b", "a"))
     least = named.groupBy("c").agg(F.min(F.struct("a_id", "a")).alias("least"))
     component = named.join(least, "c").select(F.col("a").alias("rep"), F.col("least.a_id").alias("least_id"), F.col("least.a").alias("least"))
+    if count:
+        component = component.join(partners.withColumnRenamed("a", "rep"), "rep", "left")
     tables.drop(sets)
     tables.sweep()
     return encoded.unionByName(meta), told, component
@@ -496,13 +537,13 @@ def with_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     return chunks.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}).unionByName(to_chunks(labels))
 
 
-def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more."""
-    encoded, told, component = solve(typed(docs).select("doc_id", "text"), size, num, den, limit)
-    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(lean_group(final_rows), "doc_id long, n long, rep long, rep_id long")
-    out = final.join(component.select("rep", "least_id"), "rep", "left")
+def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more; with `links` also n_links, the other documents of that likeness."""
+    encoded, told, component = solve(typed(docs).select("doc_id", "text"), size, num, den, limit, links)
+    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(lean_group(final_rows), "doc_id long, n long, rep long, rep_id long, copies long")
+    out = final.join(component.drop("least"), "rep", "left")
     clean = lambda c: F.when(c != F.lit(NO_ID), c)
-    return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least_id", "rep_id")).alias("component_id"))
+    return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least_id", "rep_id")).alias("component_id"), *([(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:

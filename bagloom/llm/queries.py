@@ -42,7 +42,7 @@ def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.llm import count_rtree
 
-    return count_rtree.join(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100)
+    return count_rtree.join(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100, links=True)
 
 
 def op6_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

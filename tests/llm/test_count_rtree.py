@@ -77,3 +77,19 @@ def test_search_finds_all_within_the_bound():
 
 def test_empty_table(spark):
     assert count_rtree.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3_000_000, 300])
+def test_every_link_is_counted(spark, limit):
+    docs = made(5)
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+    count = [sum(i != j and bool(a) and 10 * len(a & b) >= 9 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    df = spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string").repartition(3)
+    got = count_rtree.join(df, 3, 9, 10, limit, links=True).collect()
+    want = [(*row, n) for (row, n) in zip([(d, len(s)) for (d, _), s in zip(docs, sets)], count)]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert max(count) > 3
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 3, 9, 10)
