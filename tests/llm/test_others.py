@@ -303,3 +303,27 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), DATA).count() == 0
 
+
+
+# ---- 7: whole candidates, labels of all documents ----
+def test_a_secret_behind_a_long_prefix_is_seen():
+    class Digits:
+        threshold = 0.5
+
+        def forward(self, x):
+            return ((x[:, 24:72] >= 54) & (x[:, 24:72] < 64)).mean(axis=1), ()
+
+    import pyarrow as pa
+
+    run = "path/of/some/letters/" * 6 + "12345Z7890" * 5
+    ((_, spans),) = secrets.scan_batch(pa.array([f"see {run} there"]), Digits())
+    assert spans == [(4, 3, 4 + len(run))]
+    assert len(secrets.windows(run, 0, len(run))) == 7 and secrets.scan_batch(pa.array(["z" * 300 + "1"]), Digits())[0][1] == []
+
+
+def test_labels_come_from_all_documents(spark):
+    rows = [(i, "no secret in here") for i in range(3000)] + [(5000, " ".join(f"password=hunter{i:04d}" for i in range(30)) + " a-long-run-of-letters/and/paths")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    x, y = secrets.labelled(docs, sample=100)
+    assert (int(y.sum()), int((y == 0).sum())) == (30, 1)
+    assert int(secrets.labelled(docs, sample=10)[1].sum()) == 10
