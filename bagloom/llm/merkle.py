@@ -8,7 +8,8 @@ walking from differing sections to differing paragraphs locates an edit.
 A fingerprint is `root:sketch`: the root, then the SKETCH smallest distinct leaf hashes
 (8 hexadecimal digits each). The likeness of two fingerprints is the share of the SKETCH
 smallest of both sketches that lie in both: the Jaccard likeness of the leaf sets, exact up
-to SKETCH leaves (some thousand words) and estimated beyond.
+to SKETCH leaves (some thousand words) and estimated beyond. compare_trees has fingerprints of
+the whole tree instead, `root:sections:paragraphs`, and the exact likeness of all leaves.
 
 Next documents are found without one global sort: ids are cut at quantiles into as many
 ranges as the session has shuffle partitions, each range is sorted by itself, and the first
@@ -50,6 +51,25 @@ def tree(text: Column) -> Column:
     return let(leaves(text), lambda found: let(F.transform(found, hashed), lambda paragraphs: top(found, paragraphs)))
 
 
+def whole_tree(text: Column) -> Column:
+    """struct(root, sections, paragraphs, leaves): as tree(), with all distinct leaf hashes instead of a sketch."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    hashed = lambda nodes: F.sha2(F.array_join(nodes, ""), 256)
+    top = lambda found, paragraphs: let(groups(paragraphs, SECTION, hashed), lambda sections: F.struct(hashed(sections).alias("root"), sections.alias("sections"), paragraphs.alias("paragraphs"), F.array_distinct(F.flatten(found)).alias("leaves")))
+    return let(leaves(text), lambda found: let(F.transform(found, hashed), lambda paragraphs: top(found, paragraphs)))
+
+
+def whole_fingerprint(t: Column) -> Column:
+    """root:sections:paragraphs, from which differing branches can be found."""
+    return F.concat_ws(":", t["root"], F.array_join(t["sections"], ""), F.array_join(t["paragraphs"], ""))
+
+
+def shared(a: Column, b: Column) -> Column:
+    """The share of equal leaves among all leaves of two trees, from 0 to 1."""
+    both = F.size(F.array_intersect(a["leaves"], b["leaves"]))
+    return both / (F.size(a["leaves"]) + F.size(b["leaves"]) - both)
+
+
 def fingerprint(t: Column) -> Column:
     return F.concat(t["root"], F.lit(":"), F.array_join(t["sketch"], ""))
 
@@ -125,6 +145,29 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     )
 
 
+def compare_trees(docs: DataFrame) -> DataFrame:
+    """As compare_edits, from all hashes of the trees."""
+    dealt, order = with_next(docs)
+    dealt = dealt.withColumn("__next", F.lead("text").over(order)).filter(~F.col("__end"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    out = dealt.select("doc_id", n.cast("long").alias("n_chars"), "__next", whole_tree(F.col("text")).alias("__tree"), F.concat(F.left("text", n - half), F.left("__next", half)).alias("edited"))
+    out = out.withColumn("__edited", whole_tree(F.col("edited"))).withColumn("__after", whole_tree(F.col("__next")))
+    where = located(F.col("__tree"), F.col("__edited"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        whole_fingerprint(F.col("__tree")).alias("fingerprint"),
+        whole_fingerprint(F.col("__edited")).alias("edited_fingerprint"),
+        shared(F.col("__tree"), F.col("__edited")).alias("near_edited"),
+        shared(F.col("__tree"), F.col("__after")).alias("near_next"),
+        F.size("__tree.paragraphs").cast("long").alias("n_paragraphs"),
+        F.size(where).cast("long").alias("changed_paragraphs"),
+        F.get(where, F.lit(0)).cast("long").alias("first_changed"),
+    )
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn, count(*) OVER () AS n FROM documents
@@ -151,3 +194,29 @@ SELECT doc_id, n_chars, edited_sha256, root[1] || ':' || array_to_string(sketch[
   len(pars[1]) AS n_paragraphs, len(changed) AS changed_paragraphs, changed[1] AS first_changed
 FROM s
 """
+
+TREES = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn, count(*) OVER () AS n FROM documents
+), e AS (
+  SELECT a.doc_id, a.text, b.text AS nxt, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited
+  FROM d a JOIN d b ON b.rn = a.rn % a.n + 1
+), l AS (
+  SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, list_transform([text, edited, nxt], lambda t: list_transform(string_split(t, chr(10)), lambda p: list_transform(range(0, (len(string_split(p, ' ')) - 1) // {LEAF} + 1), lambda i: md5(array_to_string(string_split(p, ' ')[i * {LEAF} + 1 : i * {LEAF} + {LEAF}], ' '))))) AS leaves
+  FROM e
+), p AS (
+  SELECT *, list_transform(leaves, lambda f: list_transform(f, lambda x: sha256(array_to_string(x, '')))) AS pars, list_transform(leaves, lambda f: list_distinct(flatten(f))) AS own
+  FROM l
+), s AS (
+  SELECT *, list_transform(pars, lambda q: list_transform(range(0, (len(q) - 1) // {SECTION} + 1), lambda i: sha256(array_to_string(q[i * {SECTION} + 1 : i * {SECTION} + {SECTION}], '')))) AS secs,
+    list_filter(range(0, greatest(len(pars[1]), len(pars[2]))), lambda i: pars[1][i + 1] IS DISTINCT FROM pars[2][i + 1]) AS changed
+  FROM p
+)
+SELECT doc_id, n_chars, edited_sha256,
+  sha256(array_to_string(secs[1], '')) || ':' || array_to_string(secs[1], '') || ':' || array_to_string(pars[1], '') AS fingerprint,
+  sha256(array_to_string(secs[2], '')) || ':' || array_to_string(secs[2], '') || ':' || array_to_string(pars[2], '') AS edited_fingerprint,
+  len(list_intersect(own[1], own[2])) / len(list_distinct(list_concat(own[1], own[2]))) AS near_edited,
+  len(list_intersect(own[1], own[3])) / len(list_distinct(list_concat(own[1], own[3]))) AS near_next,
+  len(pars[1]) AS n_paragraphs, len(changed) AS changed_paragraphs, changed[1] AS first_changed
+FROM s
+"""

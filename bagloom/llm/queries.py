@@ -33,6 +33,10 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_merkle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.llm import mjpeg
 
@@ -78,5 +82,5 @@ def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op4_avi_mjpeg, op5_count_rtree, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares, op10_induced_suffixes)}
-ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": merkle.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_pivotal_mix, op3_merkle_fingerprints, op3_merkle_trees, op4_avi_mjpeg, op5_count_rtree, op6_kneser_ney_langid, op7_secret_cnn, op8_url_trees, op9_sum_of_squares, op10_induced_suffixes)}
+ORACLE_SQL: dict[str, str] = {"op3_merkle_fingerprints": merkle.ORACLE, "op3_merkle_trees": merkle.TREES}

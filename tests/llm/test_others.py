@@ -327,3 +327,18 @@ def test_labels_come_from_all_documents(spark):
     x, y = secrets.labelled(docs, sample=100)
     assert (int(y.sum()), int((y == 0).sum())) == (30, 1)
     assert int(secrets.labelled(docs, sample=10)[1].sum()) == 10
+
+
+# ---- 3: whole trees ----
+def test_whole_trees_against_sql_and_a_short_shared_passage(spark):
+    con = duckdb.connect()
+    long = [" ".join(f"{k}{i}" for i in range(8000)) for k in "ab"]
+    long[1] += "\n" + " ".join(f"a{i}" for i in range(8))
+    rows = [(i, t) for i, t, *_ in ODD if i != 2] + [(2, "a b\n" * 40), (2, "a b\n" * 40), (9, "q " * 3000), (11, None), (20, long[0]), (21, long[1])]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = merkle.compare_trees(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    result = con.execute(f"SELECT {', '.join(got[0].asDict().keys())} FROM ({merkle.TREES})").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(result, key=repr)
+    assert next(r["near_next"] for r in got if r["doc_id"] == 20) == 1 / 2000
+    assert merkle.compare_trees(empty(spark)).count() == 0
