@@ -34,6 +34,7 @@ unless its component has no other. Extra columns are ignored. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,19 +103,19 @@ def parts_of(upper: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all parts of all sets, in their own band and the next one if a link can reach it."""
+    """(signature, text) of all parts of all sets, in their own band and those above that a link can reach."""
     n = np.diff(bounds)
-    edges = band_edges(int(n.max()) * 2 if len(n) else 1)
+    edges = band_edges(int(n.max()) * max(2, -(-den // num)) if len(n) else 1)
     band = np.searchsorted(edges, n, "right") - 1
     out, who = [], []
     mixed = np.append(U(0), np.cumsum(mix(sets ^ U(0xA0761D6478BD642F)), dtype=U))
-    for step in (0, 1):
+    for step in itertools.count():
         docs = np.flatnonzero(n > 0)
         if step:
             reach = n[docs] * den // num
-            docs = docs[reach >= edges[band[docs] + 1]]
+            docs = docs[reach >= edges[np.minimum(band[docs] + step, len(edges) - 1)]]
         if not len(docs):
-            continue
+            break
         to = band[docs] + step
         k, slack = parts_of(edges[to + 1] - 1, num, den)
         size = n[docs]

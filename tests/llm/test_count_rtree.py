@@ -93,3 +93,13 @@ def test_every_link_is_counted(spark, limit):
     assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=repr) == sorted(want, key=repr)
     assert max(count) > 3
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 3, 9, 10)
+
+
+def test_sets_two_bands_apart_share_a_signature():
+    r = np.random.default_rng(6)
+    for n in range(1, 60):
+        for num, den in ((1, 2), (1, 3)):
+            whole = np.unique(r.integers(0, 2**63, n * den // num).astype(np.uint64))
+            part = np.sort(r.permutation(whole)[:n])
+            sig, who = count_rtree.signatures(np.concatenate([part, whole]), np.array([0, n, n + len(whole)]), num, den)
+            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
