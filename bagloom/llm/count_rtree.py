@@ -2,57 +2,64 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles of `size` words (of its
 whole word sequence if it has fewer). Two documents link if their Jaccard likeness is
-num / den or more; components of links are returned.
-
-Blocks. If two sets link, their symmetric difference has at most
-D = (n_a + n_b) (den - num) / (den + num) members. Sets of similar size (a band of sizes,
-and those that can link into it) are cut by hash into more than D parts, so at least one
-part of two linked sets is equal; a few more parts than D + 1 make it one that isn't empty
-(a set with more empty parts than that slack also uses its empty parts). Part signatures are counted in
-shards; the members of a group point to its first member, and connected components of
-these edges are the blocks: every link lies inside one block. Equal sets are found by a
-digest first, and one of them represents the others, so copies add no work.
-
-R-tree. A block's sets become points: the numbers of their hashes in each of some groups.
-The overlap of two sets is at most the sum of the coordinates' minima; below a node it is
-at most the sum of minima with the node's upper corner. An R-tree, packed by size and
-coordinates, gives the points whose bound reaches the needed overlap. Where numbers of
-links are asked for, all these pairs are verified by exact intersection, each in one block
-or pair of parts, and count as many documents as have the sets; else pairs already
-connected are left out. A block of more than LIMIT
-shingles is dealt out by hash into parts, and each pair of parts is one task, so memory is
-bounded whatever the block's size.
-
-Links found become edges again, whose components (large-star and small-star steps on
-tables, nothing on the driver) end in the smallest doc_id.
+num / den or more; components of links are returned. Equal sets are found by a digest
+first, and one row represents the others, so copies add no work.
+
+Points. A set becomes a point twice: as its counts in WIDTH groups of hashes, and as its
+counts in 2^64 groups, of which all but some coordinates are 0. The overlap of two sets is
+at most the sum of the coordinates' minima, and below a node of the tree at most the sum of
+minima with the node's upper corner.
+
+The tree. Leaves are packed by size (bands of a factor of den / num) and by the rarest
+coordinate of their members; a leaf above `limit` shingles is split. Corners of leaves are
+rows (coordinate, leaf). A set x can have a smaller partner y below a leaf only if the sum
+of minima with the corner reaches num / (num + den) of both sizes, so among the
+n - ceil(num n / den) + 1 coordinates of x that come first in any fixed order there is one
+that the corner has from the first n - ceil(2 num n / (num + den)) + 1 of one of its
+members. That is an equi-join of coordinates, which neither misses a leaf nor visits those
+whose bound can't suffice, in place of a descent from one root: over dense groups the upper
+corners of any sixteen texts of some hundred shingles already admit nearly every query of
+that size (README has the figures). The order puts coordinates that a sample of texts holds
+often last, so passages that many texts share route few of them; the sample and its number
+of coordinates are bounded, and only the speed depends on them.
+
+A leaf with its queries (in parts of bounded size) is one R-tree over the dense points,
+which drops the queries and members without a pair in reach. Texts are fetched for the
+rest, the tree is searched again, and pairs are verified by exact intersection, each pair
+once: y below x by (size, row). Where numbers of links are asked for, all pairs that the
+bound leaves are verified and count as many documents as have the sets; else pairs already
+connected are left out. No pair is written but the spanning links.
+
+Links found become edges, whose components (large-star and small-star steps on tables,
+nothing on the driver) end in the smallest doc_id.
 
 Defined results: null texts and texts without words have an empty set, n_shingles 0 and
 link with nothing. Repeated rows are copies. A null doc_id is never the smallest one
-unless its component has no other. Extra columns are ignored. An empty table gives no rows.
+unless its component has no other. Extra columns are kept where rows are returned and
+ignored elsewhere, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, lean_group, mix, pack, padded, shards, slices, unpack, utf8, words
-from bagloom.llm.katz import BLOBS, NAMES, deltas, rows, shard_of, sums
+from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, mix, padded, slices, utf8, words
 
-CHUNK, LIMIT, GROW = 5 << 20, 3_000_000, 1.5
-TEXT, ASKED, ANSWER, EDGES, META, LABEL = range(6)
-NO_ID = (1 << 63) - 1
+#: bytes of text at once; shingles of a leaf and of its queries in one task; groups of the dense points
+CHUNK, LIMIT, WIDTH = 5 << 20, 2_000_000, 64
+#: texts whose coordinates are counted for the order, and how many coordinates that leaves at most
+SAMPLE, COMMON = 4096, 1 << 16
 
 
-# ---- sets and signatures -------------------------------------------------------------
+# ---- sets and points -----------------------------------------------------------------
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,293 +94,136 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return grams, np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-def band_edges(top: int) -> np.ndarray:
-    """Lower ends of the bands of set sizes."""
+def band_edges(top: int, num: int, den: int) -> np.ndarray:
+    """Lower ends of the bands of set sizes: a set can link into its own band and the next only."""
     out = [1]
     while out[-1] <= top:
-        out.append(max(out[-1] + 1, int(out[-1] * GROW)))
+        out.append(out[-1] * den // num + 1)
     return np.array(out, np.int64)
 
 
-def parts_of(upper: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, slack) for sets of up to `upper` members: parts - slack exceeds the largest symmetric difference."""
-    differ = 2 * upper * (den - num) // (den + num)
-    slack = np.where(differ == 0, 0, 2 + (differ * (10 if 10 * num < 9 * den else 3)) // 60)
-    return differ + 1 + slack, slack
+def query_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Coordinates of a set of size n that it looks for in corners."""
+    return n + (-num * n // den) + 1
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all parts of all sets, in their own band and those above that a link can reach."""
+def ordered(sets: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, offsets): the first `length` of each set, those that `common` holds often last."""
     n = np.diff(bounds)
-    edges = band_edges(int(n.max()) * max(2, -(-den // num)) if len(n) else 1)
-    band = np.searchsorted(edges, n, "right") - 1
-    out, who = [], []
-    mixed = np.append(U(0), np.cumsum(mix(sets ^ U(0xA0761D6478BD642F)), dtype=U))
-    for step in itertools.count():
-        docs = np.flatnonzero(n > 0)
-        if step:
-            reach = n[docs] * den // num
-            docs = docs[reach >= edges[np.minimum(band[docs] + step, len(edges) - 1)]]
-        if not len(docs):
-            break
-        to = band[docs] + step
-        k, slack = parts_of(edges[to + 1] - 1, num, den)
-        size = n[docs]
-        at = np.repeat(bounds[docs], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        part = ((sets[at] >> U(32)) * np.repeat(k, size).astype(U) >> U(32)).astype(np.int64)
-        base = np.cumsum(k) - k
-        count = np.bincount(part + np.repeat(base, size), minlength=int(k.sum()))
-        owner = np.repeat(np.arange(len(docs)), k)
-        inner = np.cumsum(count)
-        begin = inner - count - np.repeat(np.cumsum(size) - size, k) + np.repeat(bounds[docs], k)
-        with np.errstate(over="ignore"):
-            value = mixed[begin + count] - mixed[begin]
-            index = np.arange(len(count)) - base[owner]
-            sig = mix(value + mix(index.astype(U) + (to[owner].astype(U) << U(40)) + U(1)))
-        empties = np.bincount(owner, count == 0, len(docs))
-        keep = (count > 0) | (empties > slack)[owner]
-        out.append(sig[keep])
-        who.append(docs[owner[keep]])
-    return (np.concatenate(out), np.concatenate(who)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
+    doc = np.repeat(np.arange(len(n)), n)
+    often = np.zeros(len(sets), U)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], sets), len(common[0]) - 1)
+        often = np.where(common[0][at] == sets, common[1][at], U(0)).astype(U)
+    order = np.argsort((np.minimum(often, U(0xFFFF)) << U(48)) | (mix(sets) >> U(16)), kind="stable")
+    order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
+    place = np.arange(len(sets)) - np.repeat(bounds[:-1], n)
+    return sets[order][place < np.repeat(length, n)], np.append(0, np.cumsum(length))
+
+
+def points_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each set's counts in WIDTH groups of hashes."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    group = (sets >> U(20) & U(WIDTH - 1)).astype(np.int64)
+    return np.bincount(doc * WIDTH + group, minlength=(len(bounds) - 1) * WIDTH).reshape(-1, WIDTH).astype(np.int32)
 
 
 def digest(one: np.ndarray) -> bytes:
     return hashlib.blake2b(one.tobytes(), digest_size=16).digest()
 
 
-# ---- exchanges -----------------------------------------------------------------------
+def common_coordinates(docs: DataFrame, size: int, sample: int, at_most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, numbers of texts) of shingles that some `sample` distinct texts, chosen by hash, hold twice or more."""
+    share = max(1, docs.count() // max(1, sample))
+    some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0)).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(0), CHUNK):
+                sets, _ = shingle_sets(*utf8(batch.column(0).slice(i, j - i)), size)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["h"])
 
-def encode(docs: DataFrame) -> DataFrame:
-    """A TEXT row for each chunk: its documents with all their columns."""
+    found = some.mapInArrow(lean(run), "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(at_most).toPandas()
+    hashes = found["h"].to_numpy(np.int64).view(U)
+    order = np.argsort(hashes)
+    return hashes[order], found["count"].to_numpy(np.int64).astype(U)[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 20
-        held: list[pa.RecordBatch] = []
-        total = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal chunk, held, total
-            whole = pa.Table.from_batches(held)
-            held, total = [], 0
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole.schema) as out:
-                out.write_table(whole)
-            chunk += 1
-            yield from rows((chunk - 1, -1, TEXT, zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))).to_batches()
 
-        for batch in batches:
-            for i, j in slices(batch.column("text"), CHUNK):
-                held.append(batch.slice(i, j - i))
-                total += utf8(held[-1].column("text"))[1][-1]
-                if total >= CHUNK or sum(h.num_rows for h in held) >= 1 << 18:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    return docs.mapInArrow(lean(run), BLOBS)
-
-
-def documents(text: bytes) -> pa.Table:
-    """A TEXT row's documents."""
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(text)).read_all()
-
-
-def ask(chunks: DataFrame, n_shards: int, size: int, num: int, den: int) -> DataFrame:
-    """ASKED rows of each TEXT row: signatures and digests by shard."""
-
-    def one(chunk: int, text: bytes) -> pa.Table:
-        whole = documents(text)
-        data, offsets = utf8(whole.column("text").combine_chunks())
-        ids = whole.column("doc_id").fill_null(NO_ID).to_numpy()
-        del whole
-        sets, bounds = shingle_sets(data, offsets, size)
-        n = np.diff(bounds)
-        sig, who = signatures(sets, bounds, num, den)
-        to = shard_of(sig, n_shards)
-        order = np.argsort(sig)
-        order = order[np.argsort(to[order].astype(np.uint32), kind="stable")]
-        sig, who, to = sig[order], who[order], to[order]
-        full = np.flatnonzero(n > 0)
-        b = bounds.tolist()
-        marks = np.frombuffer(b"".join(digest(sets[b[i] : b[i + 1]]) for i in full.tolist()), np.uint64).reshape(-1, 2)
-        mark_to = shard_of(marks[:, 0], n_shards)
-        mark_order = np.argsort(mark_to, kind="stable")
-        mark_cut = np.searchsorted(mark_to[mark_order], np.arange(n_shards + 1))
-        cut = np.searchsorted(to, np.arange(n_shards + 1))
-        found = []
-        for s in range(n_shards):
-            x, y, own = cut[s], cut[s + 1], mark_order[mark_cut[s] : mark_cut[s + 1]]
-            if x < y or len(own):
-                i = full[own]
-                found.append((chunk, s, ASKED, pack(deltas(sig[x:y]), who[x:y].astype(np.uint32), i.astype(np.uint32), marks[own, 0], marks[own, 1], ids[i].view(U))))
-        return rows(*found)
+# ---- tables --------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield from one(batch.column("chunk")[k].as_py(), batch.column("blob")[k].as_py()).to_batches()
+SET = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("point", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
+SET_ARROW = pa.struct([("ref", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("band", pa.int32()), ("point", pa.binary()), ("first", pa.list_(pa.int64()))])
 
-    return chunks.mapInArrow(lean(run), BLOBS)
 
+def fresh(taken: list[str]) -> str:
+    """A column name that none of those taken resembles."""
+    name = "__set"
+    while name in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
-def ask_meta(chunks: DataFrame, size: int) -> DataFrame:
-    """META rows (ids and set sizes) of TEXT rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                whole = documents(batch.column("blob")[k].as_py())
-                _, bounds = shingle_sets(*utf8(whole.column("text").combine_chunks()), size)
-                ids = whole.column("doc_id").fill_null(NO_ID).to_numpy()
-                yield from rows((batch.column("chunk")[k].as_py(), -1, META, pack(ids.view(U), np.diff(bounds).astype(np.uint64)))).to_batches()
-
-    return chunks.mapInArrow(lean(run), BLOBS)
-
-
-def answer(group: pa.Table) -> pa.Table:
-    """For each chunk its documents' representatives (of equal sets), and the star edges of this shard's signature groups."""
-    shard = group.column("shard")[0].as_py()
-    found = sorted(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist(), strict=True))
-    parts = [unpack(b) for _, b in found]
-    chunk = np.array([c for c, _ in found], np.int64)
-    out = []
-    marks = np.concatenate([np.column_stack([p[3].astype(U), p[4].astype(U)]) for p in parts])
-    if len(marks):
-        ids = np.concatenate([p[5].astype(U) for p in parts]).view(np.int64)
-        ref = np.concatenate([(c << 20) + p[2].astype(np.int64) for c, p in zip(chunk.tolist(), parts, strict=True)])
-        order = np.lexsort((ref, ids, marks[:, 1], marks[:, 0]))
-        m = marks[order]
-        new = np.append(True, (m[1:] != m[:-1]).any(axis=1))
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))]
-        rep = np.empty(len(m), np.int64)
-        rep[order] = head
-        copies = np.bincount(head, minlength=len(m))
-        at = 0
-        for c, p in zip(chunk.tolist(), parts, strict=True):
-            own = rep[at : at + len(p[2])]
-            out.append((c, shard, ANSWER, pack(p[2], ref[own].astype(U), ids[own].view(U), copies[own].astype(U))))
-            at += len(own)
-    keys = np.concatenate([sums(p[0]) for p in parts])
-    if len(keys):
-        ref = np.concatenate([(c << 20) + p[1].astype(np.int64) for c, p in zip(chunk.tolist(), parts, strict=True)])
-        order = np.argsort(keys, kind="stable")
-        k, ref = keys[order], ref[order]
-        new = np.append(True, k[1:] != k[:-1])
-        first = ref[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        pair = np.unique(np.column_stack([ref, first])[ref != first], axis=0)
-        if len(pair):
-            out.append((-1, shard, EDGES, pack(pair[:, 0].view(U), pair[:, 1].view(U))))
-    return rows(*out)
-
-
-def opened(table: DataFrame) -> DataFrame:
-    """(a, b) rows of EDGES blobs."""
+def with_sets(docs: DataFrame, name: str, size: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs with a column of that name: row, size, digest, band, dense point and first coordinates of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, seen = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                a, b = unpack(blob)
-                for i in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in (a, b)], names=["a", "b"])
+            for i, j in slices(batch.column("text"), CHUNK):
+                part = batch.slice(i, j - i)
+                sets, bounds = shingle_sets(*utf8(part.column("text")), size)
+                n, b = np.diff(bounds), bounds.tolist()
+                marks = [digest(sets[b[k] : b[k + 1]]) for k in range(len(n))]
+                new = np.array([n[k] > 0 and marks[k] not in seen and not seen.add(marks[k]) for k in range(len(n))], bool)  # a task's first copy only
+                length = np.where(new, query_length(n, num, den), 0)
+                first, upto = ordered(sets, bounds, common, length)
+                edges = band_edges(int(n.max()), num, den)
+                points = points_of(sets, bounds).astype("<u4")
+                keys = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                arrays = [
+                    pa.array(ref + np.arange(len(n))),
+                    pa.array(n),
+                    *(pa.array(keys[:, k], mask=n == 0) for k in (0, 1)),
+                    pa.array((np.searchsorted(edges, n, "right") - 1).astype(np.int32)),
+                    pa.array([p.tobytes() if x else None for p, x in zip(points, new)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first.view(np.int64))),
+                ]
+                ref += len(n)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(arrays, fields=list(SET_ARROW))], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, SET)]))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of whole groups of the first two columns, which the rows are sorted by; about `at_once` rows, or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(k).to_numpy() for k in (0, 1))
+        turn = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        if held:
+            last = held[-1]
+            if (last.column(0)[-1], last.column(1)[-1]) != (batch.column(0)[0], batch.column(1)[0]):
+                turn = np.append(0, turn)
+        if len(turn) and sum(h.num_rows for h in held) + batch.num_rows >= at_once:
+            cut = int(turn[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    return table.filter(F.col("kind") == EDGES).select("blob").mapInArrow(lean(run), "a long, b long").distinct()
 
+def groups(table: pa.Table) -> list[tuple[int, int]]:
+    a, b = (table.column(k).to_numpy() for k in (0, 1))
+    turn = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+    return list(zip([0, *turn.tolist()], [*turn.tolist(), len(a)], strict=True))
 
-def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(a, b): the smallest member b of the component of each a that isn't it; by alternating large and small stars."""
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    def star(both: DataFrame, large: bool) -> DataFrame:
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        met = both.join(least, "a")
-        if large:
-            return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        return met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-
-    now = tables.write(edges.filter("a <> b"))
-    before = state(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = tables.write(star(both, True))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = tables.write(star(down, False))
-        after = state(small)
-        tables.drop(now)
-        tables.drop(large)
-        now = small
-        if after == before:
-            break
-        before = after
-    return now
-
-
-class Sets:
-    """A chunk's answers: representatives, and sets of those that lie in a block."""
-
-    def __init__(self, group: pa.Table):
-        self.text, self.meta, self.rep, self.labels = None, None, [], []
-        names = group.column_names
-        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
-            if kind == TEXT:
-                self.text = blob
-            elif kind == META:
-                ids, n = unpack(blob)
-                self.meta = ids.astype(U).view(np.int64), n.astype(np.int64)
-            elif kind == ANSWER:
-                self.rep.append(unpack(blob))
-        self.chunk = group.column("chunk")[0].as_py()
-        if "a" in names:
-            mask = [k == LABEL for k in group.column("kind").to_pylist()]
-            own = group.filter(pa.array(mask))
-            self.labels = list(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True))
-
-
-    def rows(self) -> pa.Table:
-        """The chunk's documents with all their columns."""
-        return documents(self.text)
-
-
-def ship(group: pa.Table) -> pa.Table:
-    """(block, ref, doc_id, n, copies, text) of the representatives that lie in a block: compressed texts are smaller than their sets."""
-    own = Sets(group)
-    names = ["block", "ref", "doc_id", "n", "copies", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    ids, n = own.meta
-    refs = (own.chunk << 20) + np.arange(len(ids))
-    rep, copies = refs.copy(), np.ones(len(ids), np.int64)
-    for doc, ref, _, same in own.rep:
-        rep[doc], copies[doc] = ref.astype(np.int64), same.astype(np.int64)
-    out = []
-    label = {a & ((1 << 20) - 1): b for a, b in own.labels}
-    wanted = sorted(i for i in label if rep[i] == refs[i])
-    if wanted:
-        data, offsets = utf8(own.rows().column("text").combine_chunks())
-        press, o = zstandard.ZstdCompressor(level=3), offsets.tolist()
-        out = [(label[j], int(refs[j]), int(ids[j]), int(n[j]), int(copies[j]), press.compress(data[o[j] : o[j + 1]].tobytes())) for j in wanted]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
-
-
-def kept_rows(group: pa.Table) -> pa.Table:
-    """A chunk's documents but for those that another one represents or that a label drops."""
-    own = Sets(group)
-    keep = np.ones(len(own.meta[0]), bool)
-    for doc, ref, _, _ in own.rep:
-        keep[doc] = ref.astype(np.int64) == (own.chunk << 20) + doc.astype(np.int64)
-    keep[[a & ((1 << 20) - 1) for a, _ in own.labels]] = False
-    return own.rows().filter(pa.array(keep))
-
-
-def final_rows(group: pa.Table) -> pa.Table:
-    """(doc_id, n, rep, rep_id, copies) of every document of a chunk."""
-    own = Sets(group)
-    ids, n = own.meta
-    rep, rep_id, copies = (own.chunk << 20) + np.arange(len(ids)), ids.copy(), np.ones(len(ids), np.int64)
-    for doc, ref, first, same in own.rep:
-        rep[doc], rep_id[doc], copies[doc] = ref.astype(np.int64), first.astype(U).view(np.int64), same.astype(np.int64)
-    return pa.Table.from_arrays([pa.array(x) for x in (ids, n, rep, rep_id, copies)], names=["doc_id", "n", "rep", "rep_id", "copies"])
+def in_leaves(rows: DataFrame, run, schema: str) -> DataFrame:
+    """run over whole groups (leaf, part), members (side 0) before queries (side 1)."""
+    return rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side", "n", "ref").mapInArrow(lean(run), schema)
 
 
 # ---- R-tree --------------------------------------------------------------------------
@@ -421,136 +271,187 @@ def linked(one: np.ndarray, sets: list[np.ndarray], near: np.ndarray, num: int,
     return near[ok]
 
 
-def link(group: pa.Table, size_of_shingle: int, num: int, den: int, links: bool = False) -> pa.Table:
-    """Spanning links of a block, or of a pair of its parts (side 0 against side 1; side 2: both in one).
-
-    With `links` also a row for each set that has any (b is null): the documents its set links with.
-    """
-    size = group.column("n").to_numpy()
-    ref, ids = group.column("ref").to_numpy(), group.column("doc_id").to_numpy()
-    side = group.column("side").to_numpy()
-    m = len(size)
-    copies, partners = group.column("copies").to_numpy(), np.zeros(m, np.int64)
-    out_a, out_b = [], []
-    if m > 1 and (side.min() == 2 or (side.min() == 0 and side.max() == 1)):
-        open_ = zstandard.ZstdDecompressor()
-        raws = [open_.decompress(b) for b in group.column("text").to_pylist()]
-        sets = []
-        for i in range(0, m, 500):
-            some = raws[i : i + 500]
-            data, bounds = np.frombuffer(b"".join(some), np.uint8), np.append(0, np.cumsum([len(x) for x in some]))
-            found, cut = shingle_sets(data, bounds, size_of_shingle)
+def reachable(table: pa.Table, num: int, den: int) -> np.ndarray:
+    """Which rows of a table (leaf, part, side, n, ref, point) have a pair in their group that the bound leaves."""
+    side, n, ref = (table.column(c).to_numpy() for c in ("side", "n", "ref"))
+    points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int32)
+    keep = np.zeros(table.num_rows, bool)
+    for i, j in groups(table):
+        m = i + int(np.searchsorted(side[i:j], 1))
+        if m in (i, j):
+            continue
+        tree = RTree(points[i:m], n[i:m])
+        for q in range(m, j):
+            near = i + tree.search(points[q], int(n[q]), num, den)[0]
+            near = near[(n[near] < n[q]) | ((n[near] == n[q]) & (ref[near] < ref[q]))]
+            keep[near] = True
+            keep[q] |= len(near) > 0
+    return keep
+
+
+def links_of(table: pa.Table, size: int, num: int, den: int, every: bool) -> pa.RecordBatch:
+    """(a, b, links) of a table (leaf, part, side, n, ref, copies, text): spanning links, and with `every` (a, null, documents a's set links with)."""
+    side, n, ref, copies = (table.column(c).to_numpy() for c in ("side", "n", "ref", "copies"))
+    out_a, out_b, out_n = [], [], []
+    for i, j in groups(table):
+        m = i + int(np.searchsorted(side[i:j], 1))
+        if m in (i, j):
+            continue
+        text = table.column("text").slice(i, j - i)
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        sets, at = [], 0
+        for x, y in slices(text, CHUNK):
+            found, cut = shingle_sets(*utf8(text.slice(x, y - x)), size)
+            at += y - x
             sets += np.split(found, cut[1:-1])
-        del raws
-        width = int(min(256, max(8, 1 << int(np.median(size) // 8).bit_length())))
-        points = np.stack([np.bincount((s >> U(20) & U(width - 1)).astype(np.int64), minlength=width) for s in sets]).astype(np.int32)
-        held = np.flatnonzero(side >= 1)
-        tree = RTree(points[held], size[held])
-        label = np.arange(m)
-        for q in np.flatnonzero(side != 1).tolist():
-            near, bound = tree.search(points[q], int(size[q]), num, den)
-            near = held[near]
-            if side[q] == 2:
-                bound, near = bound[near < q], near[near < q]
-            if links:
+        points = np.concatenate([points_of(s, np.array([0, len(s)])) for s in sets])
+        own = n[i:j]
+        tree = RTree(points[: m - i], own[: m - i])
+        who, index = np.unique(ref[i:j], return_inverse=True)
+        label, partners, same = np.arange(len(who)), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
+        same[index] = copies[i:j]
+
+        def connect(a: int, b: int) -> None:
+            if label[a] != label[b]:
+                out_a.append(who[a])
+                out_b.append(who[b])
+                out_n.append(None)
+                label[label == label[b]] = label[a]
+
+        for q in range(m - i, j - i):
+            near, bound = tree.search(points[q], int(own[q]), num, den)
+            ok = (own[near] < own[q]) | ((own[near] == own[q]) & (who[index[near]] < who[index[q]]))
+            near, bound = near[ok], bound[ok]
+            if every:
                 near = linked(sets[q], sets, near, num, den)
-                partners[q] += copies[near].sum()
-                partners[near] += copies[q]
+                partners[index[q]] += same[index[near]].sum()
+                partners[index[near]] += same[index[q]]
                 for p in near.tolist():
-                    if label[p] != label[q]:
-                        out_a.append(q)
-                        out_b.append(p)
-                        label[label == label[p]] = label[q]
+                    connect(index[q], index[p])
                 continue
             near = near[np.argsort(-bound, kind="stable")]
-            at = 0
-            while True:
-                near = near[at:]
-                near = near[label[near] != label[q]]
-                if not len(near):
-                    break
-                # the likeliest first; then more at once, until one links
-                at = 0
+            while len(near := near[label[index[near]] != label[index[q]]]):
+                # the likeliest first, until one links
                 for at, p in enumerate(near.tolist(), 1):
                     a, b = sets[q], sets[p]
                     both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                     if both * den >= num * (len(a) + len(b) - both):
-                        out_a.append(q)
-                        out_b.append(p)
-                        label[label == label[p]] = label[q]
+                        connect(index[q], index[p])
                         break
-    some = np.flatnonzero(partners)
-    a = np.concatenate([np.array(out_a, np.int64), some])
-    b, none = np.array(out_b, np.int64), pa.nulls(len(some), pa.int64())
-    columns = [pa.array(ref[a]), pa.array(ids[a]), *(pa.concat_arrays([pa.array(x[b]), none]) for x in (ref, ids)), pa.concat_arrays([pa.nulls(len(b), pa.int64()), pa.array(partners[some])])]
-    return pa.Table.from_arrays(columns, names=["a", "a_id", "b", "b_id", "links"])
+                near = near[at:]
+        some = np.flatnonzero(partners)
+        out_a += who[some].tolist()
+        out_b += [None] * len(some)
+        out_n += partners[some].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b, out_n)], names=["a", "b", "links"])
+
+
+# ---- the join ------------------------------------------------------------------------
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b): the smallest member b of the component of each a that isn't it; by alternating large and small stars."""
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    def star(both: DataFrame, large: bool) -> DataFrame:
+        # written, so that adaptive execution can split the join of a hub's rows
+        least = tables.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        met = both.join(least, "a")
+        if large:
+            return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        return met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+
+    now = tables.write(edges.filter("a <> b"))
+    before = state(now)
+    while before[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = tables.write(star(both, True))
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        small = tables.write(star(down, False))
+        after = state(small)
+        tables.drop(now)
+        tables.drop(large)
+        now = small
+        if after == before:
+            break
+        before = after
+    return now
 
 
 def typed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
 
 
-def to_chunks(labels: DataFrame) -> DataFrame:
-    """(a, b) rows as LABEL rows of a's chunk."""
-    return labels.select(F.shiftright("a", 20).alias("chunk"), F.lit(-1).alias("shard"), F.lit(LABEL).alias("kind"), F.lit(None).cast("binary").alias("blob"), "a", "b")
-
-
-def solve(docs: DataFrame, size: int, num: int, den: int, limit: int, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(encoded chunks, answers about equal sets, rep / least_id / least / links of the representatives that link; links are counted if `count`)."""
-    spark = docs.sparkSession
-    tables, n = Tables(spark, "rtree"), shards(spark)
-    encoded = tables.write(encode(docs))
-    asked = ask(encoded, n, size, num, den)
-    answers = tables.write(asked.groupBy("shard").applyInArrow(lean_group(answer), BLOBS))
-    meta = tables.write(ask_meta(encoded, size))
-    del asked
-    tables.sweep()
-    blocks = components(opened(answers), tables)
-    member = blocks.select("a", "b").unionByName(blocks.select(F.col("b").alias("a"), "b").distinct())
-    told = answers.filter(F.col("kind") == ANSWER)
-    chunks = with_labels(encoded.unionByName(meta).unionByName(told), member)
-    sets = tables.write(chunks.groupBy("chunk").applyInArrow(lean_group(ship), "block long, ref long, doc_id long, n long, copies long, text binary"))
-    del chunks
-    tables.sweep()
-    weight = sets.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("block", F.ceil(F.col("w") / limit).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
-    dealt = sets.join(weight, "block").withColumn("__own", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("__own")).alias("i"), F.greatest(t, F.col("__own")).alias("j"), F.when(t == F.col("__own"), 2).when(t > F.col("__own"), 0).otherwise(1).alias("side")))
-    dealt = dealt.withColumn("__to", F.explode(pairs)).select("block", "__to.i", "__to.j", F.col("__to.side").cast("int").alias("side"), "ref", "doc_id", "n", "copies", "text")
-    links = tables.write(dealt.groupBy("block", "i", "j").applyInArrow(lean_group(lambda g: link(g, size, num, den, count)), "a long, a_id long, b long, b_id long, links long"))
-    del dealt
-    tables.sweep()
-    partners = links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    links = links.filter("b is not null")
-    found = components(links.select("a", "b").distinct(), tables)
-    ids = links.select("a", "a_id").unionByName(links.select(F.col("b").alias("a"), F.col("b_id").alias("a_id"))).distinct()
-    named = ids.join(found, "a", "left").withColumn("c", F.coalesce("b", "a"))
-    least = named.groupBy("c").agg(F.min(F.struct("a_id", "a")).alias("least"))
-    component = named.join(least, "c").select(F.col("a").alias("rep"), F.col("least.a_id").alias("least_id"), F.col("least.a").alias("least"))
-    if count:
-        component = component.join(partners.withColumnRenamed("a", "rep"), "rep", "left")
-    tables.drop(sets)
-    tables.sweep()
-    return encoded.unionByName(meta), told, component
-
-
-def with_labels(chunks: DataFrame, labels: DataFrame) -> DataFrame:
-    return chunks.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}).unionByName(to_chunks(labels))
-
-
-def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT, links: bool = False) -> DataFrame:
+def parts_of(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """How many parts of about `limit` shingles each key's rows make."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter(f"c > 1 or w > {limit}").select(*keys, F.ceil(F.col("w") / limit).cast("int").alias("parts"), (F.col("c") > 1).alias("many"))
+
+
+def solve(docs: DataFrame, name: str, size: int, num: int, den: int, limit: int, every: bool = False, sample: int = SAMPLE, at_most: int = COMMON) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs with sets, classes of equal sets, ref / least / least_id / links of the representatives that link)."""
+    tables = Tables(docs.sparkSession, "rtree")
+    whole = tables.write(with_sets(docs, name, size, num, den, common_coordinates(docs, size, sample, at_most)))
+    sets = whole.select(f"{name}.*", F.col("doc_id").alias("id")).filter("n > 0")
+    # a class's representative is the row of its smallest id; its point and coordinates are those of the first copy
+    classes = tables.write(sets.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("least"), F.min(F.when(F.col("point").isNotNull(), F.col("ref"))).alias("ref"), F.count(F.lit(1)).alias("copies")))
+    reps = sets.drop("k1", "k2", "id").join(classes.select("ref"), "ref", "leftsemi")
+    reps = reps.withColumn("rarest", F.col("first")[0])
+    sizes = tables.write(parts_of(reps, ["rarest", "band"], limit))
+    salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ref"), F.col("parts"))).otherwise(0)
+    # the leaf's band is its last byte
+    leaf = F.xxhash64("rarest", salt).bitwiseAND(F.lit(~255)).bitwiseOR(F.col("band").cast("long"))
+    placed = reps.join(sizes, ["rarest", "band"], "left").withColumn("leaf", leaf)
+
+    index = F.expr(f"cast(n - ((n * {2 * num} + {num + den - 1}) div {num + den}) + 1 as int)")
+    asked = placed.select("ref", "leaf", F.explode("first").alias("at"))
+    single, shared = (placed.filter(F.coalesce("many", F.lit(False)) == x).select(F.col("leaf").alias("to"), F.explode(F.slice("first", F.lit(1), index)).alias("at")) for x in (False, True))
+    near = (F.col("leaf").bitwiseAND(F.lit(255)) - F.col("to").bitwiseAND(F.lit(255))).between(0, 1)
+    met = asked.join(single.unionByName(shared.distinct()), "at").filter((F.col("leaf") != F.col("to")) & near).select("ref", "to").distinct()
+    routes = met.unionByName(placed.filter("many").select("ref", F.col("leaf").alias("to")))
+    queries = tables.write(routes.join(reps.select("ref", "n", "point"), "ref").withColumnRenamed("to", "leaf"))
+    load = tables.write(parts_of(queries, ["leaf"], limit).drop("many"))
+    parts = F.coalesce("parts", F.lit(1))
+    members = placed.drop("parts").join(queries.select("leaf").distinct(), "leaf", "leftsemi").join(load, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    queries_in = queries.join(load, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("ref"), parts).cast("int"))
+    rows = members.select("leaf", "part", F.lit(0).alias("side"), "n", "ref", "point").unionByName(queries_in.select("leaf", "part", F.lit(1).alias("side"), "n", "ref", "point"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches):
+            yield from table.filter(pa.array(reachable(table, num, den))).drop_columns(["point"]).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, 1 << 11):
+            yield links_of(table, size, num, den, every)
+
+    left = tables.write(in_leaves(rows, prune, "leaf long, part int, side int, n long, ref long"))
+    tables.drop(queries)
+    texts = left.join(classes.select("ref", "copies"), "ref").join(whole.select(F.col(f"{name}.ref").alias("ref"), "text"), "ref")
+    links = tables.write(in_leaves(texts.select("leaf", "part", "side", "n", "ref", "copies", "text"), verify, "a long, b long, links long"))
+    partners = links.filter("b is null").groupBy(F.col("a").alias("ref")).agg(F.sum("links").alias("links"))
+    found = components(links.filter("b is not null").select("a", "b").distinct(), tables)
+    member = found.unionByName(found.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "ref")
+    named = member.join(classes, "ref")
+    ends = named.groupBy("b").agg(F.min("least.id").alias("least_id"), F.min("least").alias("end"))
+    component = member.join(ends, "b").select("ref", "least_id", F.col("end.ref").alias("end"))
+    return whole, classes, component.join(partners, "ref", "left") if every else component
+
+
+def join(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT, links: bool = False, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text): components of likeness num / den or more; with `links` also n_links, the other documents of that likeness."""
-    encoded, told, component = solve(typed(docs).select("doc_id", "text"), size, num, den, limit, links)
-    final = encoded.filter(F.col("kind") == META).unionByName(told).groupBy("chunk").applyInArrow(lean_group(final_rows), "doc_id long, n long, rep long, rep_id long, copies long")
-    out = final.join(component.drop("least"), "rep", "left")
-    clean = lambda c: F.when(c != F.lit(NO_ID), c)
-    return out.select(clean(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), clean(F.coalesce("least_id", "rep_id")).alias("component_id"), *([(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []))
+    docs = typed(docs).select("doc_id", "text")
+    whole, classes, component = solve(docs, "__set", size, num, den, limit, links, sample)
+    known = classes.join(component, "ref", "left").select("k1", "k2", F.coalesce("least_id", "least.id").alias("component_id"), *([(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []))
+    out = whole.select("doc_id", F.col("__set.n").alias("n_shingles"), F.col("__set.k1").alias("k1"), F.col("__set.k2").alias("k2")).join(known, ["k1", "k2"], "left")
+    component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component_id, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limit: int = LIMIT) -> DataFrame:
     """The rows of docs, with all their columns, but one only of each component: the one with the smallest doc_id."""
-    whole = typed(docs)
-    encoded, told, component = solve(whole, size, num, den, limit)
-    drop = component.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    chunks = with_labels(encoded.unionByName(told), drop)
-    return chunks.groupBy("chunk").applyInArrow(lean_group(kept_rows), whole.schema)
+    name = fresh(docs.columns)
+    whole, classes, component = solve(typed(docs), name, size, num, den, limit)
+    keep = classes.join(component, "ref", "left").select(F.coalesce("end", "least.ref").alias("kept")).distinct()
+    some = whole.filter(F.col(f"{name}.n") > 0).join(keep, F.col(f"{name}.ref") == F.col("kept"), "leftsemi")
+    return whole.filter(F.col(f"{name}.n") == 0).unionByName(some).drop(name)

@@ -49,19 +49,32 @@ def test_against_all_pairs(spark, seed, size, num, den, limit, monkeypatch):
     assert got == brute(docs, size, num, den)
 
 
-def test_linked_sets_share_a_signature():
-    r = np.random.default_rng(3)
-    for trial in range(300):
-        num, den = (9, 10) if trial % 2 else (4, 5)
+def meet(sets, num, den, common):
+    """Whether the larger of two sets finds the smaller one's corner."""
+    a, b = sorted(sets, key=len)
+    both, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+    n = np.diff(bounds)
+    first, upto = count_rtree.ordered(both, bounds, common, count_rtree.query_length(n, num, den))
+    index = n[0] - -(-2 * num * int(n[0]) // (num + den)) + 1
+    bands = np.searchsorted(count_rtree.band_edges(int(n.max()), num, den), n, "right")
+    return set(first[:index].tolist()) & set(first[upto[1] :].tolist()) and bands[1] - bands[0] in (0, 1)
+
+
+def test_linked_sets_meet_in_a_corner():
+    r, met = np.random.default_rng(3), 0
+    for trial in range(600):
+        num, den = [(9, 10), (4, 5), (1, 2), (1, 3)][trial % 4]
         n = int(r.integers(1, 400))
         base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop = int(r.integers(0, max(1, len(base) // 8 + 1)))
+        drop = int(r.integers(0, max(1, int(len(base) * (1 - num / den)) + 1)))
         other = np.unique(np.concatenate([base[drop:], r.integers(0, 2**63, int(r.integers(0, max(1, n // 12 + 1)))).astype(np.uint64)]))
         both = len(np.intersect1d(base, other))
+        often = np.unique(r.choice(base, max(1, n // 2)))
         if len(other) and den * both >= num * (len(base) + len(other) - both):
-            sets, bounds = np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)])
-            sig, who = count_rtree.signatures(sets, bounds, num, den)
-            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+            met += 1
+            for common in ((np.zeros(0, np.uint64),) * 2, (often, r.integers(2, 9, len(often)).astype(np.uint64))):
+                assert meet((base, other), num, den, common)
+    assert met > 200
 
 
 def test_search_finds_all_within_the_bound():
@@ -95,11 +108,22 @@ def test_every_link_is_counted(spark, limit):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 3, 9, 10)
 
 
-def test_sets_two_bands_apart_share_a_signature():
+def test_parts_of_sets_meet_in_a_corner():
     r = np.random.default_rng(6)
     for n in range(1, 60):
         for num, den in ((1, 2), (1, 3)):
             whole = np.unique(r.integers(0, 2**63, n * den // num).astype(np.uint64))
-            part = np.sort(r.permutation(whole)[:n])
-            sig, who = count_rtree.signatures(np.concatenate([part, whole]), np.array([0, n, n + len(whole)]), num, den)
-            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+            assert meet((np.sort(r.permutation(whole)[:n]), whole), num, den, (np.zeros(0, np.uint64),) * 2)
+
+
+def test_one_row_of_each_component_with_clashing_columns(spark):
+    docs = made(7)
+    df = spark.createDataFrame([(d, t, i, "x", 1) for i, (d, t) in enumerate(docs)], "doc_id long, text string, ref int, __set string, leaf int").repartition(3)
+    got = count_rtree.one_of_each(df, 5, 4, 5, 500)
+    assert got.columns == df.columns
+    rows = got.collect()
+    comp = brute(docs, 5, 4, 5)
+    empty = sum(n == 0 for _, n, _ in comp)
+    assert sum(not (r["text"] or "").split() for r in rows) == empty
+    assert len(rows) == empty + len({c for _, n, c in comp if n})
+    assert {r["doc_id"] for r in rows if (r["text"] or "").split()} == {c for _, n, c in comp if n}
