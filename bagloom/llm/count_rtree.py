@@ -397,7 +397,7 @@ def solve(docs: DataFrame, name: str, size: int, num: int, den: int, limit: int,
     # a class's representative is the row of its smallest id; its point and coordinates are those of the first copy
     classes = tables.write(sets.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("least"), F.min(F.when(F.col("point").isNotNull(), F.col("ref"))).alias("ref"), F.count(F.lit(1)).alias("copies")))
     reps = sets.drop("k1", "k2", "id").join(classes.select("ref"), "ref", "leftsemi")
-    reps = reps.withColumn("rarest", F.col("first")[0])
+    reps = reps.withColumn("rarest", F.get("first", F.lit(0)))
     sizes = tables.write(parts_of(reps, ["rarest", "band"], limit))
     salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ref"), F.col("parts"))).otherwise(0)
     # the leaf's band is its last byte
