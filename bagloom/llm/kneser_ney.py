@@ -8,17 +8,28 @@ The tables of all languages share sorted arrays of 64-bit n-gram hashes: a row h
 interpolated log-probability under every language, and the log of its back-off weight.
 A text's score under a language is its length-normalised cross-entropy; the lowest wins.
 
+All languages share one alphabet (every character learned, the word's end, and one unknown
+character), whose uniform distribution ends the interpolation, so the probabilities of the
+alphabet add up to 1 in every context of every language and likelihoods are comparable.
+
 Words repeat, so a batch scores its distinct words once. The fit takes a bounded sample:
-at most `sample` documents of each language, the smallest hashes of their ids.
+at most `sample` distinct documents of each language, the smallest hashes of id and text.
+
+Rejection has two rules. A text goes if the uniform model is 1 / ALPHA times as likely as
+the best language: by Markov's inequality a text that follows a language's model is lost
+with a probability of at most ALPHA, whatever the language's number of rows. And for
+languages with ENOUGH documents, folds of the sample are scored by tables fitted on the
+other folds; a text of SHORT predicted characters or more goes if its cross-entropy is more
+than SIGMAS standard deviations above the held-out mean. Rare languages thus have no limit
+of their own. The tables are then fitted on all of the sample.
 
-Calibration: the documents of the sample with an even hash fit the tables first and the
-others give, per language, the cross-entropies of its own texts; the rejection limit is
-their 99.9 % quantile plus `slack` bits, so that clean documents pass. The tables are
-then fitted on all of the sample.
+The score is the probability that the language is right: a logistic function of the
+evidence, log2(1 + bits by which the best language beats the second), fitted on whole texts
+and runs of one to eight words of the held-out folds, whose short runs are often mistaken.
 
 Defined results: a text that is null or has no letter is `und` with score 0, rejected.
-Languages and texts that are null are not learned from. With nothing to learn from, all
-texts are `und`. Repeated rows are judged each; extra columns are ignored; ties go to the
+Languages and texts that are null are not learned from, nor languages without a letter in
+their texts. With nothing to learn from, all texts are `und`. Repeated rows are judged each; extra columns are ignored; ties go to the
 first language by code point.
 """
 
@@ -34,7 +45,8 @@ from pyspark.sql import functions as F
 
 from bagloom.llm.common import U, hash_spans, lean, mix, padded, slices, utf8
 
-ORDER, SAMPLE, SLACK = 5, 150, 1.5
+ORDER, SAMPLE, FOLDS = 5, 150, 3
+ALPHA, ENOUGH, SHORT, SIGMAS = 1e-3, 30, 100, 8.0
 BOUND = 0x20
 
 
@@ -126,8 +138,9 @@ class Models:
         self.prob: list[np.ndarray] = []
         self.heads: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
-        self.floor = np.zeros(len(langs))
+        self.floor = -1.0
         self.limit = np.full(len(langs), np.inf)
+        self.odds = np.array([0.0, 1.0])
 
     def fit(self, texts: list[tuple[str, str]]) -> Models:
         """texts: (language, text)."""
@@ -137,8 +150,7 @@ class Models:
             chars, place = contexts(points, starts, ends)
             since = self.since(starts, ends)
             per.append((chars, place, since))
-        alphabet = [np.unique(c[p]) for c, p, _ in per]
-        self.floor = np.array([-np.log2(max(2, len(a)) + 1.0) for a in alphabet])
+        self.floor = -np.log2(len(np.unique(np.concatenate([c[p] for c, p, _ in per]))) + 1.0)
         grams = [gram_hashes(c, p, s, self.order) for c, p, s in per]
         heads = [context_hashes(c, p, s, self.order) for c, p, s in per]
         lower = None
@@ -169,7 +181,7 @@ class Models:
                 total = np.bincount(own, count, len(tops))
                 taken = np.bincount(own, np.minimum(discount, count), len(tops))
                 weight = np.divide(taken, total, out=np.ones(len(tops)), where=total > 0)
-                back[:, k] = np.log2(np.maximum(weight, 1e-12))
+                back[:, k] = np.log2(weight)
                 direct = np.zeros(len(keys))
                 direct[np.searchsorted(keys, key)] = np.maximum(count - discount, 0) / total[own]
                 # the context and the shorter n-gram of each key, from any place where it stands
@@ -183,12 +195,12 @@ class Models:
                 context[mine] = np.searchsorted(tops, heads[k][n - 1][source[mine, 1]])
                 if n > 1:
                     shorter[mine] = grams[k][n - 2][source[mine, 1]]
-            base = np.repeat(2.0 ** self.floor[None], len(keys), axis=0) if n == 1 else 2.0 ** lower(shorter)
+            base = np.full(prob.shape, 2.0**self.floor) if n == 1 else 2.0 ** lower(shorter)
             prob = np.log2(prob + 2.0 ** back[context] * base)
             self.keys.append(keys)
-            self.prob.append(prob.astype(np.float32))
+            self.prob.append(prob)
             self.heads.append(tops)
-            self.back.append(back.astype(np.float32))
+            self.back.append(back)
 
             def lower(want: np.ndarray, keys=keys, prob=prob) -> np.ndarray:
                 return prob[np.searchsorted(keys, want)]
@@ -240,15 +252,6 @@ class Models:
             chars_n = np.bincount(owner, size[inverse], n)
         return bits / np.maximum(chars_n, 1)[:, None], chars_n
 
-    def calibrate(self, texts: list[tuple[str, str]], slack: float = SLACK) -> Models:
-        own = pa.array([t for _, t in texts], pa.string())
-        bits, n = self.cross_entropies(own)
-        for k, lang in enumerate(self.langs):
-            mine = np.array([a == lang for a, _ in texts], bool) & (n > 0)
-            if mine.any():
-                self.limit[k] = float(np.quantile(bits[mine, k], 0.999)) + slack
-        return self
-
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score from 0 to 1, rejected) of each text."""
         if not self.langs:
@@ -256,34 +259,110 @@ class Models:
         bits, n = self.cross_entropies(texts)
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(bits)), best]
-        odds = np.exp2(np.maximum((least[:, None] - bits) * np.minimum(n, 50)[:, None], -60)).sum(axis=1)
         none = n == 0
-        score = np.where(none, 0.0, 1.0 / np.maximum(odds, 1.0))
+        score = np.where(none, 0.0, 1 / (1 + np.exp(-np.clip(self.odds[0] + self.odds[1] * evidence(bits, n), -40, 40))))
         names = [("und" if z else self.langs[b]) for b, z in zip(best.tolist(), none.tolist(), strict=True)]
-        return names, score, none | (least > self.limit[best])
+        unlike = ((least + self.floor) * n > -np.log2(ALPHA)) | ((n >= SHORT) & (least > self.limit[best]))
+        return names, score, none | unlike
+
+
+def evidence(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log2(1 + bits by which the best language beats the second)."""
+    if bits.shape[1] < 2:
+        return np.log2(1 + n)
+    two = np.partition(bits, 1, axis=1)
+    return np.log2(1 + (two[:, 1] - two[:, 0]) * n)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(intercept, slope) of the most likely logistic curve, with one right and one wrong case at each end of x for a prior."""
+    x = np.concatenate([x, [0, 0], [x.max(initial=1.0)] * 2])
+    y = np.concatenate([y, [0, 1, 0, 1]]).astype(float)
+    design, w = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-9 * np.eye(2), design.T @ (y - p))
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return np.array([w[0], max(w[1], 0.0)])
+
+
+def runs_of_words(texts: list[str], seed: int) -> list[str]:
+    """For each text one run of one to eight of its words."""
+    rng, out = np.random.default_rng(seed), []
+    for t in texts:
+        own = t.split()
+        k = int(rng.integers(1, 9))
+        i = int(rng.integers(0, max(1, len(own) - k + 1)))
+        out.append(" ".join(own[i : i + k]))
+    return out
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, slack: float = SLACK) -> Models:
-    """Fits on at most `sample` rows of each language of labelled (doc_id, text, lang)."""
-    good = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = {r[0]: r[1] for r in good.groupBy("lang").count().collect()}
-    if not counts:
+def fitted(rows: list[tuple[str, int, str]], order: int = ORDER, folds: int = FOLDS) -> Models:
+    """Models of (language, hash, text) rows, with limits and scores from held-out folds."""
+    lettered = {lang for lang in {r[0] for r in rows} if len(letter_words(pa.array([t for a, _, t in rows if a == lang], pa.string()))[1])}
+    rows = [r for r in rows if r[0] in lettered]
+    langs = sorted(lettered)
+    if not langs:
         return Models([], order)
-    # an even draw a little above the bound first, so that no language's rows meet in one task
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2.0 * (sample + 20) / n)).otherwise(share)
-    drawn = good.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30))
-    top = drawn.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("__r") <= sample)
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in top.collect())
-    langs = sorted(counts)
-    even, odd = [(a, t) for a, h, t in rows if h % 2 == 0], [(a, t) for a, h, t in rows if h % 2]
-    trial = Models(langs, order).fit(even or odd).calibrate(odd or even, slack)
     out = Models(langs, order).fit([(a, t) for a, _, t in rows])
-    out.limit = trial.limit
+    # folds are dealt within a language, so that each has some of it wherever it has as many rows
+    place: dict[str, int] = {}
+    fold = []
+    for a, _, _ in rows:
+        place[a] = place.get(a, -1) + 1
+        fold.append(place[a] % folds)
+    own_bits: dict[str, list[float]] = {a: [] for a in langs}
+    seen_x, seen_y = [], []
+    for f in range(folds):
+        rest = [(a, t) for (a, _, t), g in zip(rows, fold, strict=True) if g != f]
+        there = {a for a, _ in rest}
+        held = [(a, t) for (a, _, t), g in zip(rows, fold, strict=True) if g == f and a in there]
+        if not held:
+            continue
+        trial = Models(sorted(there), order).fit(rest)
+        truth = np.array([trial.langs.index(a) for a, _ in held])
+        for whole, texts in ((True, [t for _, t in held]), (False, runs_of_words([t for _, t in held], f))):
+            bits, n = trial.cross_entropies(pa.array(texts, pa.string()))
+            some = n > 0
+            seen_x.append(evidence(bits, n)[some])
+            seen_y.append((bits.argmin(axis=1) == truth)[some])
+            if whole:
+                for i in np.flatnonzero(n >= SHORT).tolist():
+                    own_bits[held[i][0]].append(float(bits[i, truth[i]]))
+    for k, a in enumerate(langs):
+        if len(own_bits[a]) >= ENOUGH:
+            out.limit[k] = np.mean(own_bits[a]) + SIGMAS * np.std(own_bits[a])
+    if len(langs) > 1 and seen_x:
+        out.odds = logistic(np.concatenate(seen_x), np.concatenate(seen_y))
     return out
 
 
+def learn(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Models:
+    """Fits on at most `sample` distinct rows of each language of labelled (doc_id, text, lang)."""
+    good = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = {r[0]: r[1] for r in good.groupBy("lang").count().collect()}
+
+    def drawn(shares: dict[str, float]) -> dict[str, list[tuple[str, int, str]]]:
+        # an even draw a little above the bound first, so that no language's rows meet in one task; copies count once
+        share = F.lit(0.0)
+        for lang, x in shares.items():
+            share = F.when(F.col("lang") == lang, x).otherwise(share)
+        some = good.filter(F.pmod("h", F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["lang", "h"])
+        top = some.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("__r") <= sample)
+        out: dict[str, list[tuple[str, int, str]]] = {a: [] for a in shares}
+        for r in top.select("lang", "h", "text").collect():
+            out[r["lang"]].append((r["lang"], r["h"], r["text"]))
+        return out
+
+    found = drawn({a: min(1.0, 2.0 * (sample + 20) / n) for a, n in counts.items()}) if counts else {}
+    # a language of few distinct rows, each many times, may have none drawn
+    few = {a: 1.0 for a, own in found.items() if len(own) < min(sample, counts[a])}
+    found |= drawn(few) if few else {}
+    return fitted(sorted(r for own in found.values() for r in own), order)
+
+
 def accepted(docs: DataFrame, models: Models) -> DataFrame:
     """The rows of docs that the models don't reject, with their columns."""
     kept = docs.columns

@@ -1,6 +1,8 @@
 """Mixing, fingerprints, motion JPEG, language ID, secrets, URLs, packing and the pipeline, against brute force or round trips."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -8,7 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,25 +154,85 @@ def test_languages_on_held_out_rows(spark):
     assert sum(r["rejected"] for r in rows.values()) <= 0.01 * len(rows)
 
 
-def test_probabilities_add_up_to_one():
-    texts = [("aa", "the cat sat on the mat. the hat"), ("aa", "a cat and a hat"), ("bb", "der Hut und die Katze der")]
-    m = kneser_ney.Models(["aa", "bb"], order=4).fit(texts)
+def by_dictionaries(texts, lang, order, word):
+    """Base-2 logarithms of a word's characters and end: interpolated Kneser-Ney from plain dictionaries."""
+    def pieces(t):
+        return ["".join(g) for ok, g in itertools.groupby(t.lower(), str.isalpha) if ok]
+
+    alphabet = {c for _, t in texts for w in pieces(t) for c in w} | {" "}
+    raw = [Counter() for _ in range(order + 1)]
+    for own, t in texts:
+        for w in pieces(t) if own == lang else []:
+            s = " " + w + " "
+            for i in range(1, len(s)):
+                for n in range(1, min(order, i + 1) + 1):
+                    raw[n][s[i - n + 1 : i + 1]] += 1
+    counts = [Counter() for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for g, c in raw[n].items():
+            left = sum(x[1:] == g for x in raw[n + 1]) if n < order else 0
+            counts[n][g] = left or c
+    discount = [0.0]
+    for n in range(1, order + 1):
+        n1, n2 = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5)
+
+    def p(head, c, n):
+        if n == 0:
+            return 1 / (len(alphabet) + 1)
+        head = head[-(n - 1) :] if n > 1 else ""
+        own = {g: k for g, k in counts[n].items() if g[:-1] == head}
+        if len(head) < n - 1 or not own:
+            return p(head, c, n - 1)
+        total = sum(own.values())
+        return max(own.get(head + c, 0) - discount[n], 0) / total + sum(min(discount[n], k) for k in own.values()) / total * p(head, c, n - 1)
+
+    s = " " + word + " "
+    return [math.log2(p(s[:i], s[i], min(order, i + 1))) for i in range(1, len(s))], alphabet, p
+
+
+LETTERS = [("aa", "the cat sat on the mat. the hat"), ("aa", "a cat and a hat"), ("bb", "der Hut und die Katze der"), ("cc", "кот и дом")]
+
+
+def test_probabilities_by_dictionaries():
+    m = kneser_ney.Models(["aa", "bb", "cc"], order=4).fit(LETTERS)
     for k, lang in enumerate(m.langs):
-        alphabet = sorted({c for own, t in texts if own == lang for c in t.lower() if c.isalpha()}) + [" "]
-        known = sorted({c for _, t in texts for c in t.lower() if c.isalpha()} - set(alphabet))
-        for head in ("", "t", "th", "hat", "zz"):
-            total = 0.0
-            for c in alphabet + known + ["Ж"]:
-                chars = np.array([32, *map(ord, head), ord(c)], np.uint32)
-                total += 2 ** m.log_probabilities(chars, np.array([len(head) + 1]), np.array([len(head) + 1]))[0, k]
-            assert 0.999 < total < 1.3  # letters of other languages share the floor's mass
+        for word in ("the", "hat", "der", "кот", "xyz", "a", "katzen", "thehat"):
+            want, alphabet, p = by_dictionaries(LETTERS, lang, 4, word)
+            chars, place = kneser_ney.contexts(np.array([*map(ord, word)], np.uint32), np.array([0]), np.array([len(word)]))
+            got = m.log_probabilities(chars, place, kneser_ney.Models.since(np.array([0]), np.array([len(word)])))[:, k]
+            assert np.allclose(got, want, atol=1e-9), (lang, word)
+            for head in ("", word):
+                total = 0.0
+                for c in sorted(alphabet) + ["\u03a9"]:
+                    chars = np.array([32, *map(ord, head), ord(c)], np.uint32)
+                    total += 2 ** m.log_probabilities(chars, np.array([len(head) + 1]), np.array([len(head) + 1]))[0, k]
+                assert abs(total - 1) < 1e-9
+
+
+RUSSIAN = ["Сегодня утром мы пошли в лес собирать грибы и ягоды.", "Вечером вся семья сидела за столом и пила чай.", "Дети играли во дворе до самого вечера.", "Река медленно текла мимо старой мельницы.", "Зимой здесь бывает очень холодно и снежно.", "Поезд пришёл на станцию точно по расписанию."]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 5])
+def test_rare_languages_are_kept_and_unlike_texts_go(spark, rows):
+    english = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en'").limit(60).collect()]
+    labelled = [(i, t, "en") for i, t in enumerate(english)] + [(1000 + i, t, "ru") for i, t in enumerate(RUSSIAN[:rows])] + [(2000, "123 456", "zz")] * 40
+    models = kneser_ney.learn(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    assert models.langs == ["en", "ru"]
+    new = RUSSIAN[rows:]
+    names, score, gone = models.predict(pa.array([*new, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6\u03b7 \u03b8\u03b9\u03ba\u03bb\u03bc" * 8, english[0]]))
+    assert names[: len(new)] == ["ru"] * len(new) and not gone[: len(new)].any()
+    assert gone[-2] and not gone[-1] and names[-1] == "en"
+    some = models.predict(pa.array(["a", english[0]]))[1]
+    assert some[0] < some[1] <= 1
 
 
 def test_odd_languages(spark):
-    models = kneser_ney.Models(["de", "en"]).fit([("en", "the and of"), ("de", "der die das")])
-    got = kneser_ney.identify(odd(spark), models, ["doc_id", "score"]).collect() if False else kneser_ney.identify(odd(spark, False), models).collect()
-    assert [r["lang_pred"] for r in got if r["doc_id"] in (0, 1)] == ["und", "und"]
-    assert all(0 <= r["score"] <= 1 for r in got)
+    models = kneser_ney.fitted([("en", 0, "the and of"), ("de", 1, "der die das")])
+    for clash in (True, False):
+        got = kneser_ney.identify(odd(spark, clash), models).collect()
+        assert [r["lang_pred"] for r in got if r["doc_id"] in (0, 1)] == ["und", "und"]
+        assert all(0 <= r["score"] <= 1 for r in got)
     nothing = kneser_ney.learn(empty(spark))
     assert {r["lang_pred"] for r in kneser_ney.identify(odd(spark, False), nothing).collect()} == {"und"}
     assert kneser_ney.accepted(odd(spark), models).columns == odd(spark).columns
