@@ -19,9 +19,10 @@ Rejection has two rules. A text goes if the uniform model is 1 / ALPHA times as
 the best language: by Markov's inequality a text that follows a language's model is lost
 with a probability of at most ALPHA, whatever the language's number of rows. And for
 languages with ENOUGH documents, folds of the sample are scored by tables fitted on the
-other folds; a text of SHORT predicted characters or more goes if its cross-entropy is more
-than SIGMAS standard deviations above the held-out mean. Rare languages thus have no limit
-of their own. The tables are then fitted on all of the sample.
+other folds; a text of SHORT predicted characters or more goes if its cross-entropy is
+nearer the uniform model's than the language's held-out mean, as texts in other languages
+of the same script are. Rare languages thus have no limit of their own. The tables are then
+fitted on all of the sample.
 
 The score is the probability that the language is right: a logistic function of the
 evidence, log2(1 + bits by which the best language beats the second), fitted on whole texts
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import U, hash_spans, lean, mix, padded, slices, utf8
 
 ORDER, SAMPLE, FOLDS = 5, 150, 3
-ALPHA, ENOUGH, SHORT, SIGMAS = 1e-3, 30, 100, 8.0
+ALPHA, ENOUGH, SHORT = 1e-3, 30, 100
 BOUND = 0x20
 
 
@@ -333,7 +334,7 @@ def fitted(rows: list[tuple[str, int, str]], order: int = ORDER, folds: int = FO
                     own_bits[held[i][0]].append(float(bits[i, truth[i]]))
     for k, a in enumerate(langs):
         if len(own_bits[a]) >= ENOUGH:
-            out.limit[k] = np.mean(own_bits[a]) + SIGMAS * np.std(own_bits[a])
+            out.limit[k] = (np.mean(own_bits[a]) - out.floor) / 2
     if len(langs) > 1 and seen_x:
         out.odds = logistic(np.concatenate(seen_x), np.concatenate(seen_y))
     return out
