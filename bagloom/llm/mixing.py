@@ -16,8 +16,11 @@ rounded by itself, so a source misses its target by less than one document's siz
 
 Defined results: null or blank texts have size 0 and are taken 0 times. A source of null
 is one source and the last. Repeated rows and repeated ids are rounded each on its own
-(equal rows may then differ in `taken`). The draws hash the seed and the block, and rows
-are put in order first, so reruns agree. An empty table gives no rows.
+(equal rows may then differ in `taken`). The draws hash the seed and the block, blocks
+follow a hash of the whole row (so rows of one id are spread), and rows are put in order by
+size, id and that hash first, so reruns agree whatever the partitions. Rows that are equal
+in all columns meet in one block. Extra columns take part in the hash where whole rows are
+returned and are ignored elsewhere. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagloom.llm.common import Tables, lean, lean_group, slices, utf8, words
@@ -54,8 +57,13 @@ def targets(sized: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] =
     """source, source_size, n_docs, target: one row per source."""
     spark = sized.sparkSession
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ranked = per.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (*x[0], weights[x[1] % len(weights)]))
-    per = spark.createDataFrame(ranked, "source string, source_size long, n_docs long, weight double").persist()
+    # a source's weight follows its place in the order, which is counted range by range
+    ranged = Tables(spark, "sources").write(per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part")))
+    # one row per range here
+    before = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    per = Tables(spark, "weights").write(ranged.join(before, "part").select("source", "source_size", "n_docs", weight.alias("weight")))
     total = per.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # the capped set only grows; it settles after a few rounds
@@ -88,13 +96,14 @@ def pair_down(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> int:
 
 
 def pivotal_copies(sized: DataFrame, wanted: DataFrame, seed: int = 0, block: int = BLOCK, fan_in: int = 4096) -> DataFrame:
-    """Rows of sized (doc_id, source, size, ...) with source_size, target, copies and taken."""
+    """Rows of sized (doc_id, source, size, ...; __tie, a hash of the row) with source_size, target, copies and taken."""
     tables = Tables(sized.sparkSession, "mix")
-    keys = [c for c in sized.columns if c != "size"]
-    # blocks deal out a large source; they follow the id alone, so a rerun makes the same ones
+    keys = [c for c in sized.columns if c not in ("size", "__tie")]
+    # blocks deal out a large source; they follow the rows alone, so a rerun makes the same ones
+    sized = sized if "__tie" in sized.columns else sized.withColumn("__tie", F.xxhash64(*keys))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long")
     spread = sized.join(wanted.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    spread = spread.withColumn("__block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), parts)).withColumn("__expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    spread = spread.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__tie", F.lit(seed)), parts)).withColumn("__expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     spread = spread.withColumn("copies", F.when(F.col("size") > 0, F.floor("__expected")).otherwise(0).cast("long"))
     spread = spread.withColumn("__p", F.when(F.col("size") > 0, F.col("__expected") - F.floor("__expected")).otherwise(0.0)).drop("__expected").withColumn("__open", F.lit(True))
     schema = spread.schema
@@ -102,7 +111,7 @@ def pivotal_copies(sized: DataFrame, wanted: DataFrame, seed: int = 0, block: in
 
     def settle(last: bool):
         def run(group: pa.Table) -> pa.Table:
-            order = [("size", "ascending"), ("doc_id", "ascending")]
+            order = [("size", "ascending"), ("doc_id", "ascending"), ("__tie", "ascending")]
             group = group.sort_by(order)
             p, size = group.column("__p").to_numpy().copy(), group.column("size").to_numpy().astype(float)
             name = f"{seed}|{group.column('source')[0].as_py()}|{group.column('__block')[0].as_py()}|{last}"
@@ -144,14 +153,14 @@ def pivotal_copies(sized: DataFrame, wanted: DataFrame, seed: int = 0, block: in
 def mix(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source)."""
     tables = Tables(docs.sparkSession, "sizes")
-    sized = tables.write(with_sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")))
+    sized = tables.write(with_sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64("doc_id", "source", "text").alias("__tie"))))
     return pivotal_copies(sized, targets(sized, ratio, weights, cap), seed)
 
 
 def mixed(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
     """The rows of docs, with their columns, as often as the mix takes them (0 to 2 times)."""
     tables = Tables(docs.sparkSession, "mixed")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.struct(*docs.columns).alias("__row"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.struct(*docs.columns).alias("__row"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).alias("__tie"))
     sized = tables.write(with_sizes(whole))
     taken = pivotal_copies(sized, targets(sized, ratio, weights, cap), seed)
     return taken.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select("__row.*")

@@ -19,8 +19,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import base64
 import functools
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,37 +38,41 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids of texts by a byte-level BPE vocabulary.
+    """Token ids of texts by a byte-level BPE vocabulary, a file of the tokenizers library.
 
     A space between two other visible characters always begins a pre-token of this
     vocabulary's pattern, so a text may be cut before each such space and the pieces be
-    encoded one by one. Pieces repeat a lot; a bounded cache keeps the ids of those met
-    before. Texts with the special token's string are left to the tokenizer as they are.
+    encoded one by one. Pieces repeat a lot; a bounded cache, keyed by their bytes, keeps
+    the ids of those met before. Texts with a special token's string are encoded whole.
     """
 
     SPECIAL = b"<|endoftext|>"
 
-    def __init__(self, kept: int = 600_000):
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, vocabulary: str | None = None, kept: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode = self.bpe._core_bpe.encode_ordinary
-        self.json, self.full, self.kept = public_tokenizers.path("byte_bpe_50k.json"), None, kept
+        self.bpe, self.kept = Tokenizer.from_file(vocabulary or default_vocabulary()), kept
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.begin = array("I"), array("q", [0])
 
     def slow(self, text: str) -> np.ndarray:
-        if self.full is None:
-            from tokenizers import Tokenizer
-
-            self.full = Tokenizer.from_file(self.json)
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.bpe.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def rows_of(self, pieces: list[bytes]) -> np.ndarray:
+        """The cache's row of each piece; those it lacks are encoded together."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            for p, got in zip(some, self.bpe.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
+                known[p] = len(self.begin) - 1
+                self.flat.extend(got.ids)
+                self.begin.append(len(self.flat))
+        return np.array([known[p] for p in pieces], np.int64)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text's ids) for a batch of texts in UTF-8."""
@@ -76,6 +80,9 @@ class Encoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
+        if self.SPECIAL in raw:
+            out = [self.slow(raw[offsets[i] : offsets[i + 1]].decode()) for i in range(len(offsets) - 1)]
+            return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         plain = (data > 0x20) & (data < 0x7F)
@@ -86,39 +93,36 @@ class Encoder:
         cut[n] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        keys = hash_spans(padded(data), starts, ends - starts)
-        unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.kept:
+        spans = padded(data)
+        keys = hash_spans(spans, starts, ends - starts)
+        _, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # pieces of one hash are one piece: a second hash says so
+        check = hash_spans(spans, starts, ends - starts, 1)
+        if (check[where][inverse] != check).any():
+            where, inverse = np.arange(len(starts)), np.arange(len(starts))
+        if len(self.known) + len(where) > self.kept:
             self.clear()
-        known, flat, begin = self.known, self.flat, self.begin
-        row = np.array([known.get(key, -1) for key in unique.tolist()], np.int64)
-        for i in np.flatnonzero(row < 0).tolist():
-            k = where[i]
-            flat.extend(self.encode(raw[starts[k] : ends[k]].decode()))
-            row[i] = known[int(unique[i])] = len(begin) - 1
-            begin.append(len(flat))
-        flat, begin = np.array(flat, np.uint32), np.array(begin, np.int64)
+        row = self.rows_of([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        flat, begin = np.array(self.flat, np.uint32), np.array(self.begin, np.int64)
         size = (begin[1:] - begin[:-1])[row]
         begin = begin[row]
         sizes = size[inverse]
         total = np.cumsum(sizes)
         at = np.repeat(begin[inverse] - (total - sizes), sizes) + np.arange(total[-1])
-        ids = flat[at]
         before_piece = np.append(0, total)
-        bounds = before_piece[np.searchsorted(starts, offsets)]
-        if self.SPECIAL in raw:
-            out = []
-            for i in range(len(offsets) - 1):
-                own = raw[offsets[i] : offsets[i + 1]]
-                out.append(self.slow(own.decode()) if self.SPECIAL in own else ids[bounds[i] : bounds[i + 1]])
-            return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
-        return ids, bounds
+        return flat[at], before_piece[np.searchsorted(starts, offsets)]
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @functools.cache
-def encoder() -> Encoder:
+def encoder(vocabulary: str | None = None) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder()
+    return Encoder(vocabulary)
 
 
 class Levels:
@@ -179,11 +183,11 @@ class Levels:
         return self.w if left >= self.w else 1 << max(0, left.bit_length() - 1)
 
 
-def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, batch_bytes: int = 4 << 20) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, batch_bytes: int = 4 << 20, vocabulary: str | None = None) -> DataFrame:
+    """One row per piece (vocabulary: a file of the tokenizers library on every worker): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder()
+        bpe = encoder(vocabulary)
         levels = Levels(window, TaskContext.get().partitionId() << 36)
         names = SCHEMA.replace(" long", "").split(", ")
         schema = pa.schema([(n, pa.int64()) for n in names])
