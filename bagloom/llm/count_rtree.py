@@ -10,8 +10,9 @@ counts in 2^64 groups, of which all but some coordinates are 0. The overlap of t
 at most the sum of the coordinates' minima, and below a node of the tree at most the sum of
 minima with the node's upper corner.
 
-The tree. Leaves are packed by size (bands of a factor of den / num) and by the rarest
-coordinate of their members; a leaf above `limit` shingles is split. Corners of leaves are
+The tree. Leaves are packed by size (bands of a factor of den / num) and by a coordinate:
+of a set's four least hashes the one that most sets of its band have among their four, up
+to what a leaf holds, so near copies share leaves. A leaf above `limit` shingles is split. Corners of leaves are
 rows (coordinate, leaf). A set x can have a smaller partner y below a leaf only if the sum
 of minima with the corner reaches num / (num + den) of both sizes, so among the
 n - ceil(num n / den) + 1 coordinates of x that come first in any fixed order there is one
@@ -57,6 +58,8 @@ from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, mix, padded,
 CHUNK, LIMIT, WIDTH = 5 << 20, 2_000_000, 64
 #: texts whose coordinates are counted for the order, and how many coordinates that leaves at most
 SAMPLE, COMMON = 4096, 1 << 16
+#: least hashes by which a set may find its leaf; rows that may be broadcast
+LEAST, BROADCAST = 4, 2_000_000
 
 
 # ---- sets and points -----------------------------------------------------------------
@@ -118,9 +121,14 @@ def ordered(sets: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.n
     order = np.argsort((np.minimum(often, U(0xFFFF)) << U(48)) | (mix(sets) >> U(16)), kind="stable")
     order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
     place = np.arange(len(sets)) - np.repeat(bounds[:-1], n)
+    length = np.minimum(length, n)
     return sets[order][place < np.repeat(length, n)], np.append(0, np.cumsum(length))
 
 
+#: no order but the hashes
+NOTHING = (np.zeros(0, U), np.zeros(0, U))
+
+
 def points_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Each set's counts in WIDTH groups of hashes."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -151,8 +159,8 @@ def common_coordinates(docs: DataFrame, size: int, sample: int, at_most: int) ->
 
 # ---- tables --------------------------------------------------------------------------
 
-SET = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("point", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
-SET_ARROW = pa.struct([("ref", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("band", pa.int32()), ("point", pa.binary()), ("first", pa.list_(pa.int64()))])
+SET = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("point", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))])
+SET_ARROW = pa.struct([("ref", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("band", pa.int32()), ("point", pa.binary()), ("first", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
 
 
 def fresh(taken: list[str]) -> str:
@@ -177,6 +185,7 @@ def with_sets(docs: DataFrame, name: str, size: int, num: int, den: int, common:
                 new = np.array([n[k] > 0 and marks[k] not in seen and not seen.add(marks[k]) for k in range(len(n))], bool)  # a task's first copy only
                 length = np.where(new, query_length(n, num, den), 0)
                 first, upto = ordered(sets, bounds, common, length)
+                low, low_upto = ordered(sets, bounds, NOTHING, np.where(new, LEAST, 0))
                 edges = band_edges(int(n.max()), num, den)
                 points = points_of(sets, bounds).astype("<u4")
                 keys = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
@@ -187,6 +196,7 @@ def with_sets(docs: DataFrame, name: str, size: int, num: int, den: int, common:
                     pa.array((np.searchsorted(edges, n, "right") - 1).astype(np.int32)),
                     pa.array([p.tobytes() if x else None for p, x in zip(points, new)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(low_upto.astype(np.int32)), pa.array(low.view(np.int64))),
                 ]
                 ref += len(n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(arrays, fields=list(SET_ARROW))], names=[*part.schema.names, name])
@@ -222,7 +232,7 @@ def groups(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def in_leaves(rows: DataFrame, run, schema: str) -> DataFrame:
-    """run over whole groups (leaf, part), members (side 0) before queries (side 1)."""
+    """run over whole groups (leaf, part): members (side 0), members that are queries (1), other queries (2)."""
     return rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side", "n", "ref").mapInArrow(lean(run), schema)
 
 
@@ -277,11 +287,11 @@ def reachable(table: pa.Table, num: int, den: int) -> np.ndarray:
     points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int32)
     keep = np.zeros(table.num_rows, bool)
     for i, j in groups(table):
-        m = i + int(np.searchsorted(side[i:j], 1))
-        if m in (i, j):
+        asks, m = (i + int(np.searchsorted(side[i:j], k)) for k in (1, 2))
+        if m == i or asks == j:
             continue
         tree = RTree(points[i:m], n[i:m])
-        for q in range(m, j):
+        for q in range(asks, j):
             near = i + tree.search(points[q], int(n[q]), num, den)[0]
             near = near[(n[near] < n[q]) | ((n[near] == n[q]) & (ref[near] < ref[q]))]
             keep[near] = True
@@ -294,8 +304,8 @@ def links_of(table: pa.Table, size: int, num: int, den: int, every: bool) -> pa.
     side, n, ref, copies = (table.column(c).to_numpy() for c in ("side", "n", "ref", "copies"))
     out_a, out_b, out_n = [], [], []
     for i, j in groups(table):
-        m = i + int(np.searchsorted(side[i:j], 1))
-        if m in (i, j):
+        asks, m = (i + int(np.searchsorted(side[i:j], k)) for k in (1, 2))
+        if m == i or asks == j:
             continue
         text = table.column("text").slice(i, j - i)
         text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
@@ -318,7 +328,7 @@ def links_of(table: pa.Table, size: int, num: int, den: int, every: bool) -> pa.
                 out_n.append(None)
                 label[label == label[b]] = label[a]
 
-        for q in range(m - i, j - i):
+        for q in range(asks - i, j - i):
             near, bound = tree.search(points[q], int(own[q]), num, den)
             ok = (own[near] < own[q]) | ((own[near] == own[q]) & (who[index[near]] < who[index[q]]))
             near, bound = near[ok], bound[ok]
@@ -384,6 +394,11 @@ def typed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
 
 
+def bounded(table: DataFrame, rows: int = BROADCAST) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has so few rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def parts_of(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """How many parts of about `limit` shingles each key's rows make."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter(f"c > 1 or w > {limit}").select(*keys, F.ceil(F.col("w") / limit).cast("int").alias("parts"), (F.col("c") > 1).alias("many"))
@@ -396,26 +411,40 @@ def solve(docs: DataFrame, name: str, size: int, num: int, den: int, limit: int,
     sets = whole.select(f"{name}.*", F.col("doc_id").alias("id")).filter("n > 0")
     # a class's representative is the row of its smallest id; its point and coordinates are those of the first copy
     classes = tables.write(sets.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "ref")).alias("least"), F.min(F.when(F.col("point").isNotNull(), F.col("ref"))).alias("ref"), F.count(F.lit(1)).alias("copies")))
-    reps = sets.drop("k1", "k2", "id").join(classes.select("ref"), "ref", "leftsemi")
-    reps = reps.withColumn("rarest", F.get("first", F.lit(0)))
-    sizes = tables.write(parts_of(reps, ["rarest", "band"], limit))
+    reps = sets.drop("k1", "k2", "id").join(bounded(classes.select("ref")), "ref", "leftsemi")
+    # each set's leaf
+    low = reps.select("ref", "n", "band", F.explode("low").alias("key"))
+    kept = F.col("w") <= limit
+    popular = low.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")).filter("c > 1")
+    choice = low.join(popular, ["key", "band"], "left").withColumn("c", F.coalesce("c", F.lit(1))).groupBy("ref", "n", "band").agg(F.max(F.struct(F.coalesce(kept, F.lit(True)).alias("kept"), "c", "key")).alias("best"))
+    choice = tables.write(choice.select("ref", "n", "band", F.col("best.key").alias("key")))
+    sizes = tables.write(parts_of(choice, ["key", "band"], limit))
     salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("ref"), F.col("parts"))).otherwise(0)
     # the leaf's band is its last byte
-    leaf = F.xxhash64("rarest", salt).bitwiseAND(F.lit(~255)).bitwiseOR(F.col("band").cast("long"))
-    placed = reps.join(sizes, ["rarest", "band"], "left").withColumn("leaf", leaf)
+    leaf = F.xxhash64("key", salt).bitwiseAND(F.lit(~255)).bitwiseOR(F.col("band").cast("long"))
+    leaves = tables.write(choice.join(bounded(sizes), ["key", "band"], "left").select("ref", leaf.alias("leaf"), F.coalesce("many", F.lit(False)).alias("many")))
+    placed = reps.join(bounded(leaves), "ref")
+    if leaves.count() > BROADCAST:  # read more than once
+        placed = tables.write(placed)
 
     index = F.expr(f"cast(n - ((n * {2 * num} + {num + den - 1}) div {num + den}) + 1 as int)")
     asked = placed.select("ref", "leaf", F.explode("first").alias("at"))
-    single, shared = (placed.filter(F.coalesce("many", F.lit(False)) == x).select(F.col("leaf").alias("to"), F.explode(F.slice("first", F.lit(1), index)).alias("at")) for x in (False, True))
+    single, shared = (placed.filter(F.col("many") == x).select(F.col("leaf").alias("to"), F.explode(F.slice("first", F.lit(1), index)).alias("at")) for x in (False, True))
     near = (F.col("leaf").bitwiseAND(F.lit(255)) - F.col("to").bitwiseAND(F.lit(255))).between(0, 1)
     met = asked.join(single.unionByName(shared.distinct()), "at").filter((F.col("leaf") != F.col("to")) & near).select("ref", "to").distinct()
-    routes = met.unionByName(placed.filter("many").select("ref", F.col("leaf").alias("to")))
-    queries = tables.write(routes.join(reps.select("ref", "n", "point"), "ref").withColumnRenamed("to", "leaf"))
-    load = tables.write(parts_of(queries, ["leaf"], limit).drop("many"))
+    routes = tables.write(met.withColumnRenamed("to", "leaf"))
+    points = placed.select("ref", "n", "point")
+    queries = tables.write(routes.join(points, "ref"))
+    own = placed.filter("many").select("leaf", "n")
+    load = tables.write(parts_of(queries.select("leaf", "n").unionByName(own), ["leaf"], limit))
     parts = F.coalesce("parts", F.lit(1))
-    members = placed.drop("parts").join(queries.select("leaf").distinct(), "leaf", "leftsemi").join(load, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    queries_in = queries.join(load, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("ref"), parts).cast("int"))
-    rows = members.select("leaf", "part", F.lit(0).alias("side"), "n", "ref", "point").unionByName(queries_in.select("leaf", "part", F.lit(1).alias("side"), "n", "ref", "point"))
+    # leaves that anything asks: those of several sets, and those that a route leads to
+    asked_of = tables.write(queries.select("leaf").unionByName(own.select("leaf")).distinct())
+    part = F.pmod(F.xxhash64("ref"), parts).cast("int")
+    members = placed.join(bounded(asked_of), "leaf", "leftsemi").join(bounded(load.drop("many")), "leaf", "left").withColumn("own", part).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("many") & (F.col("own") == F.col("part")), 1).otherwise(0)
+    queries_in = queries.join(bounded(load.drop("many")), "leaf", "left").withColumn("part", part)
+    rows = members.select("leaf", "part", side.alias("side"), "n", "ref", "point").unionByName(queries_in.select("leaf", "part", F.lit(2).alias("side"), "n", "ref", "point"))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches):
@@ -427,7 +456,8 @@ def solve(docs: DataFrame, name: str, size: int, num: int, den: int, limit: int,
 
     left = tables.write(in_leaves(rows, prune, "leaf long, part int, side int, n long, ref long"))
     tables.drop(queries)
-    texts = left.join(classes.select("ref", "copies"), "ref").join(whole.select(F.col(f"{name}.ref").alias("ref"), "text"), "ref")
+    counted = tables.write(left.join(classes.select("ref", "copies"), "ref"))
+    texts = whole.select(F.col(f"{name}.ref").alias("ref"), "text").join(bounded(counted), "ref")
     links = tables.write(in_leaves(texts.select("leaf", "part", "side", "n", "ref", "copies", "text"), verify, "a long, b long, links long"))
     partners = links.filter("b is null").groupBy(F.col("a").alias("ref")).agg(F.sum("links").alias("links"))
     found = components(links.filter("b is not null").select("a", "b").distinct(), tables)
@@ -452,6 +482,6 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, limi
     """The rows of docs, with all their columns, but one only of each component: the one with the smallest doc_id."""
     name = fresh(docs.columns)
     whole, classes, component = solve(typed(docs), name, size, num, den, limit)
-    keep = classes.join(component, "ref", "left").select(F.coalesce("end", "least.ref").alias("kept")).distinct()
-    some = whole.filter(F.col(f"{name}.n") > 0).join(keep, F.col(f"{name}.ref") == F.col("kept"), "leftsemi")
+    keep = Tables(docs.sparkSession, "rtree").write(classes.join(component, "ref", "left").select(F.coalesce("end", "least.ref").alias("kept")).distinct())
+    some = whole.filter(F.col(f"{name}.n") > 0).join(bounded(keep), F.col(f"{name}.ref") == F.col("kept"), "leftsemi")
     return whole.filter(F.col(f"{name}.n") == 0).unionByName(some).drop(name)
