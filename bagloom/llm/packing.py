@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import hash_spans, lean, padded, slices, utf8
 
 WINDOW, END_ID = 2048, 1
+#: a space and visible ASCII or Latin characters: pieces that may be joined and cut apart again
+JOINED = re.compile(rb" (?:[!-~]|\xc3[\x80-\xbf])+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,16 +65,30 @@ class Encoder:
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def add(self, piece: bytes, ids: list[int]) -> None:
+        self.known[piece] = len(self.begin) - 1
+        self.flat.extend(ids)
+        self.begin.append(len(self.flat))
+
     def rows_of(self, pieces: list[bytes]) -> np.ndarray:
         """The cache's row of each piece; those it lacks are encoded together."""
         known = self.known
         new = [p for p in pieces if p not in known]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, got in zip(some, self.bpe.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                known[p] = len(self.begin) - 1
-                self.flat.extend(got.ids)
-                self.begin.append(len(self.flat))
+        # pieces that begin with a space are encoded as one text, which is cut before each of them again
+        together = [p for p in new if JOINED.fullmatch(p)]
+        for i in range(0, len(together), 4096):
+            some = together[i : i + 4096]
+            got = self.bpe.encode(b"".join(some).decode(), add_special_tokens=False)
+            ends = np.cumsum([len(p.decode()) for p in some])
+            # a token belongs to the piece of its last character
+            last = np.fromiter((e for _, e in got.offsets), np.int64, len(got.ids))
+            to = np.searchsorted(last, ends, "right") + len(self.flat)
+            known.update(zip(some, range(len(self.begin) - 1, len(self.begin) - 1 + len(some)), strict=True))
+            self.flat.extend(got.ids)
+            self.begin.extend(to.tolist())
+        for p in new:
+            if p not in known:
+                self.add(p, self.bpe.encode(p.decode(), add_special_tokens=False).ids)
         return np.array([known[p] for p in pieces], np.int64)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
