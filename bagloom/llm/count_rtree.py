@@ -5,8 +5,8 @@ whole word sequence if it has fewer). Two documents link if their Jaccard likene
 num / den or more; components of links are returned. Equal sets are found by a digest
 first, and one row represents the others, so copies add no work.
 
-Points. A set becomes a point twice: as its counts in WIDTH groups of hashes, and as its
-counts in 2^64 groups, of which all but some coordinates are 0. The overlap of two sets is
+Points. A set becomes a point twice: as its counts in a number of groups of hashes that
+grows with its size (points of two widths meet over the fewer groups), and as its counts in 2^64 groups, of which all but some coordinates are 0. The overlap of two sets is
 at most the sum of the coordinates' minima, and below a node of the tree at most the sum of
 minima with the node's upper corner.
 
@@ -21,8 +21,8 @@ members. That is an equi-join of coordinates, which neither misses a leaf nor vi
 whose bound can't suffice, in place of a descent from one root: over dense groups the upper
 corners of any sixteen texts of some hundred shingles already admit nearly every query of
 that size (README has the figures). The order puts coordinates that a sample of texts holds
-often last, so passages that many texts share route few of them; the sample and its number
-of coordinates are bounded, and only the speed depends on them.
+often last, so passages that many texts share route few of them; the coordinates that the
+order knows are bounded, and only the speed depends on them.
 
 A leaf with its queries (in parts of bounded size) is one R-tree over the dense points,
 which drops the queries and members without a pair in reach. Texts are fetched for the
@@ -54,10 +54,10 @@ from pyspark.sql import types as T
 
 from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, mix, padded, slices, utf8, words
 
-#: bytes of text at once; shingles of a leaf and of its queries in one task; groups of the dense points
-CHUNK, LIMIT, WIDTH = 5 << 20, 2_000_000, 64
-#: texts whose coordinates are counted for the order, and how many coordinates that leaves at most
-SAMPLE, COMMON = 4096, 1 << 16
+#: bytes of text at once; shingles of a leaf and of its queries in one task; least groups of a dense point, most hashes in one on average
+CHUNK, LIMIT, WIDTH, FILL = 5 << 20, 2_000_000, 16, 8
+#: of so many texts one has its coordinates counted for the order, and how many coordinates that leaves at most
+SAMPLE, COMMON = 8, 1 << 18
 #: least hashes by which a set may find its leaf; rows that may be broadcast
 LEAST, BROADCAST = 4, 2_000_000
 
@@ -129,11 +129,30 @@ def ordered(sets: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.n
 NOTHING = (np.zeros(0, U), np.zeros(0, U))
 
 
-def points_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each set's counts in WIDTH groups of hashes."""
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    group = (sets >> U(20) & U(WIDTH - 1)).astype(np.int64)
-    return np.bincount(doc * WIDTH + group, minlength=(len(bounds) - 1) * WIDTH).reshape(-1, WIDTH).astype(np.int32)
+def width_of(n: int) -> int:
+    """Groups of a set of size n: a power of two that leaves FILL hashes a group at most, for in fuller ones all sets look alike."""
+    return max(WIDTH, 1 << (-(-n // FILL) - 1).bit_length())
+
+
+def point_of(one: np.ndarray, width: int) -> np.ndarray:
+    """A set's counts in groups of hashes."""
+    return np.bincount((one >> U(20) & U(width - 1)).astype(np.int64), minlength=width).astype(np.int32)
+
+
+def point_bytes(one: np.ndarray) -> bytes:
+    p = point_of(one, width_of(len(one)))
+    return p.astype(np.uint8 if p.max() < 256 else "<u4").tobytes()
+
+
+def points_from(blobs: list[bytes], n: list[int]) -> np.ndarray:
+    """Points over the fewest groups that any of them has; wider ones are folded."""
+    width = min(map(width_of, n))
+    out = np.empty((len(n), width), np.int32)
+    for k, (blob, size) in enumerate(zip(blobs, n, strict=True)):
+        own = width_of(size)
+        p = np.frombuffer(blob, np.uint8 if len(blob) == own else "<u4")
+        out[k] = p if own == width else p.reshape(-1, width).sum(axis=0, dtype=np.int32)
+    return out
 
 
 def digest(one: np.ndarray) -> bytes:
@@ -141,9 +160,8 @@ def digest(one: np.ndarray) -> bytes:
 
 
 def common_coordinates(docs: DataFrame, size: int, sample: int, at_most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, numbers of texts) of shingles that some `sample` distinct texts, chosen by hash, hold twice or more."""
-    share = max(1, docs.count() // max(1, sample))
-    some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0)).distinct()
+    """(hashes, numbers of texts) of shingles that one in `sample` distinct texts, chosen by hash, hold twice or more."""
+    some = docs.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,14 +205,13 @@ def with_sets(docs: DataFrame, name: str, size: int, num: int, den: int, common:
                 first, upto = ordered(sets, bounds, common, length)
                 low, low_upto = ordered(sets, bounds, NOTHING, np.where(new, LEAST, 0))
                 edges = band_edges(int(n.max()), num, den)
-                points = points_of(sets, bounds).astype("<u4")
                 keys = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
                 arrays = [
                     pa.array(ref + np.arange(len(n))),
                     pa.array(n),
                     *(pa.array(keys[:, k], mask=n == 0) for k in (0, 1)),
                     pa.array((np.searchsorted(edges, n, "right") - 1).astype(np.int32)),
-                    pa.array([p.tobytes() if x else None for p, x in zip(points, new)], pa.binary()),
+                    pa.array([point_bytes(sets[b[k] : b[k + 1]]) if new[k] else None for k in range(len(n))], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(low_upto.astype(np.int32)), pa.array(low.view(np.int64))),
                 ]
@@ -284,15 +301,16 @@ def linked(one: np.ndarray, sets: list[np.ndarray], near: np.ndarray, num: int,
 def reachable(table: pa.Table, num: int, den: int) -> np.ndarray:
     """Which rows of a table (leaf, part, side, n, ref, point) have a pair in their group that the bound leaves."""
     side, n, ref = (table.column(c).to_numpy() for c in ("side", "n", "ref"))
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, WIDTH).astype(np.int32)
+    blobs = table.column("point")
     keep = np.zeros(table.num_rows, bool)
     for i, j in groups(table):
         asks, m = (i + int(np.searchsorted(side[i:j], k)) for k in (1, 2))
         if m == i or asks == j:
             continue
-        tree = RTree(points[i:m], n[i:m])
+        points = points_from(blobs.slice(i, j - i).to_pylist(), n[i:j].tolist())
+        tree = RTree(points[: m - i], n[i:m])
         for q in range(asks, j):
-            near = i + tree.search(points[q], int(n[q]), num, den)[0]
+            near = i + tree.search(points[q - i], int(n[q]), num, den)[0]
             near = near[(n[near] < n[q]) | ((n[near] == n[q]) & (ref[near] < ref[q]))]
             keep[near] = True
             keep[q] |= len(near) > 0
@@ -314,8 +332,9 @@ def links_of(table: pa.Table, size: int, num: int, den: int, every: bool) -> pa.
             found, cut = shingle_sets(*utf8(text.slice(x, y - x)), size)
             at += y - x
             sets += np.split(found, cut[1:-1])
-        points = np.concatenate([points_of(s, np.array([0, len(s)])) for s in sets])
         own = n[i:j]
+        width = width_of(int(own.min()))
+        points = np.stack([point_of(s, width) for s in sets])
         tree = RTree(points[: m - i], own[: m - i])
         who, index = np.unique(ref[i:j], return_inverse=True)
         label, partners, same = np.arange(len(who)), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)

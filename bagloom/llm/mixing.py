@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import Tables, lean, lean_group, slices, utf8, words
 
 WEIGHTS, RATIO, CAP, BLOCK = (5.0, 2.0, 1.0), 1.5, 2.0, 2048
+#: rows of two numbers that may be broadcast
+BROADCAST = 2_000_000
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,7 +162,15 @@ def mix(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIG
 def mixed(docs: DataFrame, ratio: float = RATIO, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
     """The rows of docs, with their columns, as often as the mix takes them (0 to 2 times)."""
     tables = Tables(docs.sparkSession, "mixed")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.struct(*docs.columns).alias("__row"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).alias("__tie"))
-    sized = tables.write(with_sizes(whole))
-    taken = pivotal_copies(sized, targets(sized, ratio, weights, cap), seed)
-    return taken.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__n")).select("__row.*")
+    row = "__row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    # rows are written with a number each; only the number, id, source and size are dealt about
+    whole = tables.write(docs.withColumn(row, F.monotonically_increasing_id()))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    narrow = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", tie.alias("__tie"), F.col(row).alias("row"))
+    sized = tables.write(with_sizes(narrow))
+    taken = tables.write(pivotal_copies(sized, targets(sized, ratio, weights, cap), seed).filter("copies > 0").select(F.col("row").alias("__taken"), "copies"))
+    few = F.broadcast(taken) if taken.count() <= BROADCAST else taken
+    many = whole.join(few, F.col(row) == F.col("__taken"))
+    return many.select(*[whole[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"].cast("int"))).alias(row)).drop(row)
