@@ -142,7 +142,6 @@ query("multiway_join_4", "select (r, +/o.o_totalprice) from rr <- region, n <- n
 query("join_cross_mix", "select (n.n_name, r.r_name, x) from n <- nation, r <- region, x <- List(1, 2) where n.n_regionkey == r.r_regionkey", "n r x", "SELECT n_name AS n, r_name AS r, x FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES (1), (2)) t(x)")
 query("join_pushdown", 'select (o.o_orderkey, c.c_name) from o <- orders, c <- customer where o.o_custkey == c.c_custkey && c.c_mktsegment == "BUILDING" && o.o_totalprice > 200000.0', "k n", "SELECT o_orderkey AS k, c_name AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 200000")
 query("join_then_group", "select (b, +/l.l_extendedprice) from l <- lineitem, p <- part where l.l_partkey == p.p_partkey group by b: p.p_brand", "b s", "SELECT p_brand AS b, round(sum(l_extendedprice), 2) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1", 2)
-query("join_behind_unnest", "select (l.label, n.n_name) from e <- embeddings, i <- (0 to 2), l <- (select <label = x.label, id = x.vec_id> from x <- embeddings where x.vec_id < 25), n <- nation where e.vec_id == l.id && l.id + i == n.n_nationkey".replace("i <- (0 to 2)", "i <- List(0, 1, 2)"), "l n", "SELECT label AS l, n_name AS n FROM embeddings, (VALUES (0), (1), (2)) t(i), nation WHERE vec_id < 25 AND vec_id + i = n_nationkey")
 query("semi_join_some", "select c.c_custkey from c <- customer where some o <- orders: o.o_custkey == c.c_custkey && o.o_totalprice > 250000.0", "k", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 query("anti_join_all", "select c.c_custkey from c <- customer where all o <- (select o from o <- orders where o.o_custkey == c.c_custkey): o.o_totalprice < 250000.0", "k", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice < 250000)")
 query("not_some", "select n.n_name from n <- nation where !(some s <- supplier: s.s_nationkey == n.n_nationkey)", "n", "SELECT n_name AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
@@ -155,7 +154,6 @@ query("nested_sum_correlated", 'select (c.c_custkey, +/(select o.o_totalprice fr
 query("correlated_agg_filter", "select c.c_name from c <- customer where c.c_acctbal * 300.0 < +/(select o.o_totalprice from o <- orders where o.o_custkey == c.c_custkey)", "n", "SELECT c_name AS n FROM customer WHERE c_acctbal * 300 < coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 0)")
 query("two_level_nested_agg", "select (k, +/t) from c <- customer, t = +/(select o.o_totalprice from o <- orders where o.o_custkey == c.c_custkey && o.o_totalprice > avg/(select p.o_totalprice from p <- orders where p.o_custkey == o.o_custkey)) group by k: c.c_custkey % 10", "k s", "SELECT c_custkey % 10 AS k, round(sum(t), 2) AS s FROM (SELECT c_custkey, coalesce((SELECT sum(o_totalprice) FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_custkey) AS a FROM orders) WHERE o_custkey = c_custkey AND o_totalprice > a), 0) AS t FROM customer) GROUP BY 1", 2)
 query("deep_correlation", "select (r.r_name, +/(select count/(select c from c <- customer where c.c_nationkey == n.n_nationkey && c.c_acctbal > r.r_regionkey * 1000.0) from n <- nation where n.n_regionkey == r.r_regionkey)) from r <- region", "r n", "SELECT r_name AS r, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > r_regionkey * 1000 GROUP BY r_name")
-query("nested_group_in_head", "select (c.c_custkey, select <s = s, n = count/o> from o <- orders where o.o_custkey == c.c_custkey group by s: o.o_orderstatus order by s) from c <- customer where c.c_custkey <= 100", "k g", "SELECT c_custkey AS k, coalesce((SELECT list({'s': s, 'n': n} ORDER BY s) FROM (SELECT o_custkey, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2) WHERE o_custkey = c_custkey), []) AS g FROM customer WHERE c_custkey <= 100", None)
 query("nested_group_flat", "select (c.c_custkey, g._1, g._2) from c <- customer, g <- (select (o.o_custkey, s, n) from (k, s, n) <- (select (k, s, count/o) from o <- orders group by (k, s): (o.o_custkey, o.o_orderstatus)), o <- List(<o_custkey = 1>) where k == c.c_custkey)".replace("g <- (select (o.o_custkey, s, n) from (k, s, n) <- (select (k, s, count/o) from o <- orders group by (k, s): (o.o_custkey, o.o_orderstatus)), o <- List(<o_custkey = 1>) where k == c.c_custkey)", "(k, s, n) <- (select (k, s, count/o) from o <- orders group by (k, s): (o.o_custkey, o.o_orderstatus)) where k == c.c_custkey").replace("g._1, g._2", "s, n"), "k s n", "SELECT c_custkey AS k, o_orderstatus AS s, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
 query("uncorrelated_scalar", "select o.o_orderkey from o <- orders where o.o_totalprice > 2.0 * avg/(select p.o_totalprice from p <- orders)", "k", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 2 * (SELECT avg(o_totalprice) FROM orders)")
 query("nested_head_minby", "select (n.n_name, (select s.s_name from s <- supplier where s.s_nationkey == n.n_nationkey order by (s.s_acctbal desc, s.s_suppkey desc)).head) from n <- nation", "n s", "SELECT n_name AS n, (SELECT arg_max(s_name, (s_acctbal, s_suppkey)) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation")
@@ -195,23 +193,6 @@ def _kmeans_sql(k: int) -> str:
 
 query("kmeans", "repeat centroids = List(<x = 5.0, y = 5.0>, <x = 40.0, y = 10.0>, <x = 10.0, y = 40.0>, <x = 45.0, y = 45.0>) step select <x = avg/px, y = avg/py> from l <- lineitem, px = l.l_quantity, py = l.l_discount * 500.0 group by k: (select c from c <- centroids order by sqrt(pow(px - c.x, 2) + pow(py - c.y, 2))).head limit 3", "x y", _kmeans_sql(3), 5)
 
-NODES = 50
-EDGES = f"(SELECT DISTINCT l_suppkey % {NODES} AS s, l_partkey % {NODES} AS d FROM lineitem WHERE l_orderkey % 4 = 0)"
-
-
-def _pagerank_sql(steps: int) -> str:
-    ctes = [f"e AS {EDGES}", "n AS (SELECT DISTINCT s AS id FROM e)", "o AS (SELECT s, count(*) AS c FROM e GROUP BY 1)", f"r0 AS (SELECT id, 1.0::DOUBLE / {NODES} AS r FROM n)"]
-    for i in range(1, steps + 1):
-        ctes.append(f"r{i} AS (SELECT n.id, 0.15 / {NODES} + 0.85 * coalesce(sum(r / c), 0) AS r FROM n LEFT JOIN e ON e.d = n.id LEFT JOIN o ON o.s = e.s LEFT JOIN r{i - 1} q ON q.id = e.s GROUP BY 1)")
-    return f"WITH {', '.join(ctes)} SELECT id, round(r, 8) AS r FROM r{steps}"
-
-
-def _edges(t: Lazy) -> DataFrame:
-    return t["lineitem"].filter("l_orderkey % 4 = 0").select((F.col("l_suppkey") % NODES).alias("s"), (F.col("l_partkey") % NODES).alias("d")).distinct()
-
-
-query("pagerank", f"let nodes = (select distinct s from (s, d) <- edges) in repeat rank = (select (i, 1.0 / {NODES}) from i <- nodes) step select (i, 0.15 / {NODES} + 0.85 * (+/(select r / c from (s, d) <- edges, (k, r) <- rank, (q, c) <- (select (s, count/d) from (s, d) <- edges group by s) where d == i && k == s && q == s))) from i <- nodes limit 3", "id r", _pagerank_sql(3), 8, bind={"edges": lambda t: _edges(t)})
-
 MATRIX = "(SELECT l_suppkey AS i, l_partkey % 40 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 
 
@@ -219,7 +200,6 @@ def _matrix(t: Lazy, rows: str = "l_suppkey", cols: str = "l_partkey % 40") -> D
     return t["lineitem"].groupBy(F.expr(rows).alias("i"), F.expr(cols).alias("j")).agg(F.sum("l_quantity").alias("v"))
 
 
-query("matmul_join_group", "select (i, k, +/z) from (i, j, x) <- M, (k, j2, y) <- N, z = x * y where j == j2 && i <= 5 && k <= 5 group by (i, k)", "i k v", f"WITH m AS {MATRIX} SELECT a.i AS i, b.i AS k, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b ON a.j = b.j WHERE a.i <= 5 AND b.i <= 5 GROUP BY 1, 2", 2, bind={"M": lambda t: _matrix(t), "N": lambda t: _matrix(t)})
 query("matrix_macros", "select (i, j, v) from (i, j, v) <- cadd(transpose(M), transpose(M))", "i j v", f"WITH m AS {MATRIX} SELECT j AS i, i AS j, round(2 * v, 2) AS v FROM m", 2, bind={"M": lambda t: _matrix(t)}, macros=("def transpose(X: Matrix) = select (j, i, v) from (i, j, v) <- X; def cadd(X: Matrix, Y: Matrix) = select (i, j, +/x + +/y) from (i, j, x) <- X group by (i, j) from (i_, j_, y) <- Y group by (i_, j_)",))
 query("stock_trace", "select (n.n_name, trace(n.n_nationkey + 1)) from n <- nation", "n k", "SELECT n_name AS n, n_nationkey + 1 AS k FROM nation")
 
@@ -264,24 +244,18 @@ program("equal_all", 'var eq: Boolean = true; for l in L do eq := eq && l.l_line
 program("eq_frequency", 'var a: Long = 0L; var b: Long = 0L; var same: Boolean = false; for l in L do { if (l.l_returnflag == "A") a += 1L; if (l.l_returnflag == "R") b += 1L; }; same := a == b;', "a b same", "SELECT count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS b, count(*) FILTER (l_returnflag = 'A') = count(*) FILTER (l_returnflag = 'R') AS same FROM lineitem", _lines)
 program("group_by", "var C: vector[Double] = vector(); for l in L do C[l.l_suppkey] += l.l_quantity;", "C", "SELECT l_suppkey AS i, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1", _lines, places=2)
 program("word_count", "var C: map[String, Long] = map(); for w in W do C[w] += 1L;", "C", "SELECT w AS k, count(*) AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1", lambda t: {"W": t["documents"].select(F.explode(F.split("text", "\\s+")).alias("value")).filter("value <> ''")})
-program("histogram", "var R: vector[Long] = vector(); for p in P do R[p.l_quantity.toLong] += 1L;".replace("p.l_quantity.toLong", "p.q"), "R", "SELECT CAST(l_quantity AS BIGINT) AS i, count(*) AS v FROM lineitem GROUP BY 1", lambda t: {"P": t["lineitem"].select(F.col("l_quantity").cast("long").alias("q"), F.col("l_tax"))})
+program("histogram", "var R: vector[Long] = vector(); for p in P do R[p.l_quantity.toLong] += 1L;", "R", "SELECT CAST(l_quantity AS BIGINT) AS i, count(*) AS v FROM lineitem GROUP BY 1", lambda t: {"P": t["lineitem"].select("l_quantity", "l_tax")})
 program("string_match", "var C: map[String, Boolean] = map(); for w in W do for k in K do if (w == k) C[w] := true;", "C", "SELECT DISTINCT w AS k, true AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w IN ('the', 'and', 'nowhere', 'que')", lambda t: {"W": t["documents"].select(F.explode(F.split("text", "\\s+")).alias("value")), "K": t.spark.createDataFrame([("the",), ("and",), ("nowhere",), ("que",)], ["value"])})
 program("reverse_index", "var R: map[String, Long] = map(); for p in P do R[p.link] += 1L;", "R", "SELECT link AS k, count(*) AS v FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) GROUP BY 1", lambda t: {"P": t["pages"].select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("link"))})
 program("indexed_group", "var C: vector[Double] = vector(); for i = 0, n do C[V[i].K] += V[i].A;", "C", "SELECT o_custkey AS i, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1", lambda t: {"V": t["orders"].select(F.col("o_orderkey").alias("i"), F.struct(F.col("o_custkey").alias("K"), F.col("o_totalprice").alias("A")).alias("v")), "n": 100_000_000}, places=2)
 program("group_by_join", "var W: vector[Double] = vector(); for i = 0, n do W[K[i]] += V[i];", "W", "SELECT o_custkey AS i, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1", lambda t: {"K": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v")), "V": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "n": 100_000_000}, places=2)
 program("matrix_add", "var R: matrix[Double] = matrix(); for i = 0, 99999999 do for j = 0, 39 do R[i,j] := M[i,j] + M[i,j];", "R", f"WITH m AS {MATRIX} SELECT i, j, round(2 * v, 2) AS v FROM m", lambda t: {"M": _matrix(t)}, places=2)
-program("matrix_mult", "var R: matrix[Double] = matrix(); for i = 0, 9 do for j = 0, 9 do { R[i,j] := 0.0; for k = 0, 39 do R[i,j] += M[i,k] * N[k,j]; };", "R", f"WITH m AS {MATRIX}, g AS (SELECT i, j FROM range(0, 10) a(i), range(0, 10) b(j)), x AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2) SELECT g.i AS i, g.j AS j, round(coalesce(x.v, 0), 2) AS v FROM g LEFT JOIN x ON x.i = g.i AND x.j = g.j", lambda t: {"M": _matrix(t), "N": _matrix(t).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")}, places=2)
 program("linear_regression", "var sx: Double = 0.0; var sy: Double = 0.0; var n: Double = 0.0; var mx: Double = 0.0; var my: Double = 0.0; var xx: Double = 0.0; var xy: Double = 0.0; var slope: Double = 0.0; var intercept: Double = 0.0; for p in P do { sx += p.x; sy += p.y; n += 1.0; }; mx := sx / n; my := sy / n; for p in P do { xx += (p.x - mx) * (p.x - mx); xy += (p.x - mx) * (p.y - my); }; slope := xy / xx; intercept := my - slope * mx;", "slope intercept", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem", lambda t: {"P": t["lineitem"].select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))})
 ORACLE_SQL["loop_linear_regression"] = ORACLE_SQL["sql_linear_regression"] = ORACLE_SQL["loop_linear_regression"].replace("l_quantity), 3)", "l_quantity), 4)")
-program("pca_cov", "var mean: vector[Double] = vector(); var cov: matrix[Double] = matrix(); var c: Double = 0.0; for i = 0, d do for r = 0, n - 1 do mean[i] += P[r,i]; for i = 0, d do mean[i] := mean[i] / n; for i = 0, d do for j = 0, d do for r = 0, n - 1 do cov[i,j] += (P[r,i] - mean[i]) * (P[r,j] - mean[j]); for i = 0, d do for j = 0, d do cov[i,j] := cov[i,j] / (n - 1);", "cov", "WITH p AS (SELECT vec_id AS r, unnest(range(0, 3)) AS i, unnest(embedding[1:3])::DOUBLE AS x FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS v FROM p a JOIN p b ON a.r = b.r GROUP BY 1, 2", lambda t: {"P": t["embeddings"].select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("j", "x")).select(F.col("vec_id").alias("i"), F.col("j").cast("long"), F.col("x").cast("double").alias("v")), "n": t["embeddings"].count(), "d": 2}, places=5)
-program("pagerank", f"var P: vector[Double] = vector(); var Q: vector[Double] = vector(); var C: vector[Int] = vector(); var N: Int = {NODES}; var b: Double = 0.85; for i = 0, N - 1 do {{ C[i] := 0; P[i] := 1.0 / N; }}; for i = 0, N - 1 do for j = 0, N - 1 do if (E[i,j]) C[i] += 1; var k: Int = 0; while (k < 3) {{ k += 1; for i = 0, N - 1 do Q[i] := P[i]; for i = 0, N - 1 do P[i] := (1.0 - b) / N; for i = 0, N - 1 do for j = 0, N - 1 do if (E[j,i]) P[i] += b * Q[j] / C[j]; }};", "P", _pagerank_sql(3).replace("n AS (SELECT DISTINCT s AS id FROM e)", f"n AS (SELECT id FROM range(0, {NODES}) t(id))").replace("SELECT id, round(r, 8) AS r FROM", "SELECT id AS i, round(r, 8) AS v FROM"), lambda t: {"E": _edges(t).select(F.col("s").alias("i"), F.col("d").alias("j"), F.lit(True).alias("v"))}, places=8)
-program("kmeans", "var sx: vector[Double] = vector(); var sy: vector[Double] = vector(); var n: vector[Double] = vector(); for p in P do { sx[p.c] += p.x; sy[p.c] += p.y; n[p.c] += 1.0; }; var C: vector[Double] = vector(); for i = 0, 9 do C[i] := sx[i] / n[i];", "C", "SELECT CAST(l_quantity AS BIGINT) // 10 AS i, round(avg(l_quantity), 4) AS v FROM lineitem GROUP BY 1", lambda t: {"P": t["lineitem"].select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.expr("CAST(l_quantity AS BIGINT) div 10").alias("c"))})
-program("kmeans_closest", "var best: vector[(Double, Long)] = vector(); for i = 0, 99999999 do for j = 0, 2 do best[i] := best[i] ^ nearest(j, P[i], C[j]);".replace("nearest(j, P[i], C[j])", "(Math.abs(P[i] - C[j]), j)"), "best", "SELECT o_orderkey AS i, arg_min(j, (abs(o_totalprice - c), j))::BIGINT AS v FROM orders, (VALUES (0, 50000.0), (1, 150000.0), (2, 250000.0)) t(j, c) GROUP BY 1", lambda t: {"P": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "C": t.spark.createDataFrame([(0, 50000.0), (1, 150000.0), (2, 250000.0)], "i long, v double")}, twin=False, monoids=(lambda: ("^", F.least, None, F.min),))
+program("kmeans_closest", "var best: vector[(Double, Long)] = vector(); for i = 0, 99999999 do for j = 0, 2 do best[i] := best[i] ^ (Math.abs(P[i] - C[j]), j);", "best", "SELECT o_orderkey AS i, arg_min(j, (abs(o_totalprice - c), j))::BIGINT AS v FROM orders, (VALUES (0, 50000.0), (1, 150000.0), (2, 250000.0)) t(j, c) GROUP BY 1", lambda t: {"P": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "C": t.spark.createDataFrame([(0, 50000.0), (1, 150000.0), (2, 250000.0)], "i long, v double")}, twin=False, monoids=(lambda: ("^", F.least, None, F.min),))
 _run_closest = QUERIES["loop_kmeans_closest"]
 QUERIES["loop_kmeans_closest"] = lambda spark, sf_dir: _run_closest(spark, sf_dir).select("i", F.col("v").getField("_2").alias("v"))
 
-FACTORS = "WITH r AS (SELECT l_suppkey % 6 AS i, l_partkey % 5 AS j, avg(l_quantity) / 50 AS v FROM lineitem GROUP BY 1, 2), p AS (SELECT i, k, (i + k + 1) / 10.0 AS v FROM range(0, 6) a(i), range(0, 2) b(k)), q AS (SELECT k, j, (k + 2 * j + 1) / 10.0 AS v FROM range(0, 2) a(k), range(0, 5) b(j)), e AS (SELECT r.i, r.j, r.v - sum(p.v * q.v) AS v FROM r JOIN p ON p.i = r.i JOIN q ON q.k = p.k AND q.j = r.j GROUP BY r.i, r.j, r.v)"
-program("matrix_factorization", "var P: matrix[Double] = matrix(); var Q: matrix[Double] = matrix(); var S: matrix[Double] = matrix(); var E: matrix[Double] = matrix(); var a: Double = 0.002; var b: Double = 0.02; for i = 0, 5 do for k = 0, 1 do P[i,k] := (i + k + 1) / 10.0; for k = 0, 1 do for j = 0, 4 do Q[k,j] := (k + 2 * j + 1) / 10.0; for i = 0, 5 do for j = 0, 4 do { S[i,j] := 0.0; for k = 0, 1 do S[i,j] += P[i,k] * Q[k,j]; E[i,j] := R[i,j] - S[i,j]; for k = 0, 1 do P[i,k] += a * (2.0 * E[i,j] * Q[k,j] - b * P[i,k]); };", "P", FACTORS + " SELECT p.i AS i, p.k AS j, round(p.v + sum(0.002 * (2 * e.v * q.v - 0.02 * p.v)), 6) AS v FROM p JOIN e ON e.i = p.i JOIN q ON q.k = p.k AND q.j = e.j GROUP BY p.i, p.k, p.v", lambda t: {"R": t["lineitem"].groupBy((F.col("l_suppkey") % 6).alias("i"), (F.col("l_partkey") % 5).alias("j")).agg((F.avg("l_quantity") / 50).alias("v"))}, places=6)
 program("shifted_index", "var R: vector[Double] = vector(); for i = 2, 99999998 do R[i] := V[i+1] - V[i-1];", "R", "SELECT a.o_orderkey AS i, round(b.o_totalprice - c.o_totalprice, 2) AS v FROM (SELECT o_orderkey + 1 AS o_orderkey FROM orders) a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 JOIN orders c ON c.o_orderkey = a.o_orderkey - 1 WHERE a.o_orderkey >= 2", lambda t: {"V": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v"))}, places=2)
 program("update_wins", "var A: vector[Double] = vector(); for i = 1, 10 do A[i] := 1.0; for i = 5, 15 do A[i] := 2.0; for i = 1, 3 do A[i] += 0.5;", "A", "SELECT i, CASE WHEN i <= 3 THEN 1.5 WHEN i <= 4 THEN 1.0 ELSE 2.0 END::DOUBLE AS v FROM range(1, 16) t(i)", lambda t: {})
 program("component_update", "var A: vector[(Double, Long)] = vector(); for l in L do A[l.l_linenumber] := (0.0, 0L); for l in L do { A[l.l_linenumber]#1 += l.l_quantity; A[l.l_linenumber]#2 += 1L; };", "A", "SELECT l_linenumber::BIGINT AS i, round(sum(l_quantity), 2) AS a, count(*) AS b FROM lineitem GROUP BY 1", _lines, twin=False, places=2)
@@ -321,19 +295,10 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["vector_index"], ORACLE_SQL["vector_index"] = _indexed, "SELECT row_number() OVER (ORDER BY s_name) - 1 AS i, s_name AS v FROM supplier"
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bagloom.operators.bags import multiply_grid
-
-    m = _matrix(Lazy(spark, sf_dir)).filter("i <= 30")
-    return rounded(multiply_grid(m, m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), 4, 4), 2)
-
-
-QUERIES["matmul_grid"], ORACLE_SQL["matmul_grid"] = _grid, f"WITH m AS (SELECT * FROM {MATRIX} WHERE i <= 30) SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2"
 query("range_generator", "select (i, count/(select n from n <- nation where n.n_nationkey < i)) from i <- (0 to 25)", "i n", "SELECT i, (SELECT count(*) FROM nation WHERE n_nationkey < i) AS n FROM range(0, 26) t(i)")
 query("nest_group_count", "select (s, n) from (s, n) <- (select (s, count/o) from o <- orders group by s: o.o_custkey) where n > 10", "k n", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 10")
-program("defaults", "var R: vector[Double] = vector(); for i = 0, 9 do R[i] := (V[i] : 0.0) + 1.0;", "R", "SELECT i, round(coalesce(v, 0) + 1, 2) AS v FROM range(0, 10) t(i) LEFT JOIN (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0) ON k = i", lambda t: {"V": t["orders"].filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v"))}, twin=False, places=2)
 
-# ---- the same over the whole tables: no fold of ids, no subset of keys; the queries above keep the SQL they were given with ----
+# ---- the same over the whole tables: no fold of ids, no subset of keys ----
 GRAPH = "e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS d FROM lineitem)"
 
 
@@ -341,12 +306,16 @@ def _graph(t: Lazy) -> DataFrame:
     return t["lineitem"].select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("d")).distinct()
 
 
+def _nodes(t: Lazy) -> DataFrame:
+    return _graph(t).select(F.explode(F.array("s", "d")).alias("value")).distinct()
+
+
 def _top(df: DataFrame, *columns: str) -> int:
     """The greatest id in any of the columns."""
     return max(df.agg(*(F.max(c) for c in columns)).first())
 
 
-def _pagerank_all_sql(steps: int, nodes: str) -> str:
+def _pagerank_sql(steps: int, nodes: str) -> str:
     ctes = [GRAPH, f"n AS ({nodes})", "k AS (SELECT count(*) AS k FROM n)", "o AS (SELECT s, count(*) AS c FROM e GROUP BY 1)", "r0 AS (SELECT id, 1.0::DOUBLE / k AS r FROM n, k)"]
     for i in range(1, steps + 1):
         ctes.append(f"p{i} AS (SELECT e.d, sum(r / c) AS r FROM e JOIN o ON o.s = e.s JOIN r{i - 1} q ON q.id = e.s GROUP BY 1)")
@@ -354,36 +323,37 @@ def _pagerank_all_sql(steps: int, nodes: str) -> str:
     return f"WITH {', '.join(ctes)} SELECT id, round(r, 10) AS r FROM r{steps}"
 
 
-query("pagerank_all", "let nodes = (select distinct x from x <- ((select s from (s, d) <- edges) union (select d from (s, d) <- edges))) in let N = count/nodes in repeat rank = (select (i, 1.0 / N) from i <- nodes) step select (i, 0.15 / N + 0.85 * (+/(select r / c from (s, d) <- edges, (k, r) <- rank, (q, c) <- (select (s, count/d) from (s, d) <- edges group by s) where d == i && k == s && q == s))) from i <- nodes limit 3", "id r", _pagerank_all_sql(3, "SELECT s AS id FROM e UNION SELECT d FROM e"), 10, bind={"edges": lambda t: _graph(t)})
-program("pagerank_all", "var P: vector[Double] = vector(); var Q: vector[Double] = vector(); var C: vector[Int] = vector(); var b: Double = 0.85; for i = 0, N - 1 do { C[i] := 0; P[i] := 1.0 / N; }; for i = 0, N - 1 do for j = 0, N - 1 do if (E[i,j]) C[i] += 1; var k: Int = 0; while (k < 3) { k += 1; for i = 0, N - 1 do Q[i] := P[i]; for i = 0, N - 1 do P[i] := (1.0 - b) / N; for i = 0, N - 1 do for j = 0, N - 1 do if (E[j,i]) P[i] += b * Q[j] / C[j]; };", "P", _pagerank_all_sql(3, "SELECT id FROM range(0, (SELECT greatest(max(s), max(d)) + 1 FROM e)) t(id)").replace("SELECT id, round(r, 10) AS r FROM", "SELECT id AS i, round(r, 10) AS v FROM"), lambda t: {"E": _graph(t).select(F.col("s").alias("i"), F.col("d").alias("j"), F.lit(True).alias("v")), "N": _top(_graph(t), "s", "d") + 1}, places=10)
+query("pagerank", "let nodes = (select distinct x from x <- ((select s from (s, d) <- edges) union (select d from (s, d) <- edges))) in let N = count/nodes in repeat rank = (select (i, 1.0 / N) from i <- nodes) step select (i, 0.15 / N + 0.85 * (+/(select r / c from (s, d) <- edges, (k, r) <- rank, (q, c) <- (select (s, count/d) from (s, d) <- edges group by s) where d == i && k == s && q == s))) from i <- nodes limit 3", "id r", _pagerank_sql(3, "SELECT s AS id FROM e UNION SELECT d FROM e"), 10, bind={"edges": lambda t: _graph(t)})
+
+program("pagerank", "var out: vector[Long] = vector(); var rank: vector[Double] = vector(); var flow: vector[Double] = vector(); for e in Edge do out[e.s] += 1L; for v in Node do rank[v] := 1.0 / n; var round: Int = 0; while (round < 3) { for v in Node do flow[v] := 0.0; for e in Edge do flow[e.d] += rank[e.s] / out[e.s]; for v in Node do rank[v] := 0.15 / n + 0.85 * flow[v]; round += 1; };", "rank", _pagerank_sql(3, "SELECT s AS id FROM e UNION SELECT d FROM e").replace("SELECT id, round(r, 10) AS r FROM", "SELECT id AS i, round(r, 10) AS v FROM"), lambda t: {"Edge": _graph(t), "Node": _nodes(t), "n": _nodes(t).count()}, places=10)
 
-query("nested_group_in_head_all", "select (c.c_custkey, select <s = s, n = count/o> from o <- orders where o.o_custkey == c.c_custkey group by s: o.o_orderstatus order by s) from c <- customer", "k g", "SELECT c_custkey AS k, coalesce(g, []) AS g FROM customer LEFT JOIN (SELECT o_custkey, list({'s': s, 'n': n} ORDER BY s) AS g FROM (SELECT o_custkey, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1) ON o_custkey = c_custkey", None)
-query("join_behind_unnest_all", "select (l.label, e.vec_id, c.c_name) from e <- embeddings, i <- List(0, 1, 2), l <- (select <label = x.label, id = x.vec_id> from x <- embeddings), c <- customer where e.vec_id == l.id && l.id + i == c.c_custkey", "l k n", "SELECT label AS l, vec_id AS k, c_name AS n FROM embeddings, (VALUES (0), (1), (2)) t(i), customer WHERE vec_id + i = c_custkey")
+query("nested_group_in_head", "select (c.c_custkey, select <s = s, n = count/o> from o <- orders where o.o_custkey == c.c_custkey group by s: o.o_orderstatus order by s) from c <- customer", "k g", "SELECT c_custkey AS k, coalesce(g, []) AS g FROM customer LEFT JOIN (SELECT o_custkey, list({'s': s, 'n': n} ORDER BY s) AS g FROM (SELECT o_custkey, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1) ON o_custkey = c_custkey", None)
+query("join_behind_unnest", "select (l.label, e.vec_id, c.c_name) from e <- embeddings, i <- List(0, 1, 2), l <- (select <label = x.label, id = x.vec_id> from x <- embeddings), c <- customer where e.vec_id == l.id && l.id + i == c.c_custkey", "l k n", "SELECT label AS l, vec_id AS k, c_name AS n FROM embeddings, (VALUES (0), (1), (2)) t(i), customer WHERE vec_id + i = c_custkey")
 PRODUCT = f"WITH m AS {MATRIX} SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2"
-query("matmul_join_group_all", "select (i, k, +/z) from (i, j, x) <- M, (k, j2, y) <- N, z = x * y where j == j2 group by (i, k)", "i j v", PRODUCT, 2, bind={"M": lambda t: _matrix(t), "N": lambda t: _matrix(t)})
-program("matrix_mult_all", "var R: matrix[Double] = matrix(); for i = 0, n do for j = 0, n do { R[i,j] := 0.0; for k = 0, 39 do R[i,j] += M[i,k] * N[k,j]; };", "R", f"WITH m AS {MATRIX}, t AS (SELECT max(i) + 1 AS n FROM m), g AS (SELECT a.i, b.j FROM (SELECT unnest(range(0, n)) AS i FROM t) a, (SELECT unnest(range(0, n)) AS j FROM t) b), x AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2) SELECT g.i AS i, g.j AS j, round(coalesce(x.v, 0), 2) AS v FROM g LEFT JOIN x ON x.i = g.i AND x.j = g.j", lambda t: {"M": _matrix(t), "N": _matrix(t).select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), "n": _top(t["lineitem"], "l_suppkey")}, places=2)
+query("matmul_join_group", "select (i, k, +/z) from (i, j, x) <- M, (k, j2, y) <- N, z = x * y where j == j2 group by (i, k)", "i j v", PRODUCT, 2, bind={"M": lambda t: _matrix(t), "N": lambda t: _matrix(t)})
+program("matrix_mult", "var R: matrix[Double] = matrix(); for i = 0, n do for j = 0, n do { R[i,j] := 0.0; for k = 0, 39 do R[i,j] += M[i,k] * N[k,j]; };", "R", f"WITH m AS {MATRIX}, t AS (SELECT max(i) + 1 AS n FROM m), g AS (SELECT a.i, b.j FROM (SELECT unnest(range(0, n)) AS i FROM t) a, (SELECT unnest(range(0, n)) AS j FROM t) b), x AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2) SELECT g.i AS i, g.j AS j, round(coalesce(x.v, 0), 2) AS v FROM g LEFT JOIN x ON x.i = g.i AND x.j = g.j", lambda t: {"M": _matrix(t), "N": _matrix(t).select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), "n": _top(t["lineitem"], "l_suppkey")}, places=2)
 
 
-def _grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bagloom.operators.bags import multiply_grid
 
     m = _matrix(Lazy(spark, sf_dir))
     return rounded(multiply_grid(m, m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), 4, 4), 2)
 
 
-QUERIES["matmul_grid_all"], ORACLE_SQL["matmul_grid_all"] = _grid_all, PRODUCT
-program("defaults_all", "var R: vector[Double] = vector(); for i = 0, n do R[i] := (V[i] : 0.0) + 1.0;", "R", "SELECT i, round(coalesce(v, 0) + 1, 2) AS v FROM (SELECT unnest(range(0, max(o_orderkey) + 1)) AS i FROM orders) LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1) ON k = i", lambda t: {"V": t["lineitem"].groupBy(F.col("l_orderkey").alias("i")).agg(F.sum("l_quantity").alias("v")), "n": _top(t["orders"], "o_orderkey")}, twin=False, places=2)
+QUERIES["matmul_grid"], ORACLE_SQL["matmul_grid"] = _grid, PRODUCT
+program("defaults", "var R: vector[Double] = vector(); for i = 0, n do R[i] := (V[i] : 0.0) + 1.0;", "R", "SELECT i, round(coalesce(v, 0) + 1, 2) AS v FROM (SELECT unnest(range(0, max(o_orderkey) + 1)) AS i FROM orders) LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1) ON k = i", lambda t: {"V": t["lineitem"].groupBy(F.col("l_orderkey").alias("i")).agg(F.sum("l_quantity").alias("v")), "n": _top(t["orders"], "o_orderkey")}, twin=False, places=2)
 
 
 def _components(t: Lazy) -> DataFrame:
     return t["embeddings"].select("vec_id", F.posexplode("embedding").alias("j", "x")).select(F.col("vec_id").alias("i"), F.col("j").cast("long"), F.col("x").cast("double").alias("v"))
 
 
-program("pca_cov_all", "var mean: vector[Double] = vector(); var cov: matrix[Double] = matrix(); for i = 0, d do for r = 0, n - 1 do mean[i] += P[r,i]; for i = 0, d do mean[i] := mean[i] / n; for i = 0, d do for j = 0, d do for r = 0, n - 1 do cov[i,j] += (P[r,i] - mean[i]) * (P[r,j] - mean[j]); for i = 0, d do for j = 0, d do cov[i,j] := cov[i,j] / (n - 1);", "cov", "WITH p AS (SELECT vec_id AS r, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS v FROM p a JOIN p b ON a.r = b.r GROUP BY 1, 2", lambda t: {"P": _components(t), "n": t["embeddings"].count(), "d": t["embeddings"].agg(F.max(F.size("embedding"))).first()[0] - 1}, places=5)
+program("pca_cov", "var mean: vector[Double] = vector(); var cov: matrix[Double] = matrix(); for i = 0, d do for r = 0, n - 1 do mean[i] += P[r,i]; for i = 0, d do mean[i] := mean[i] / n; for i = 0, d do for j = 0, d do for r = 0, n - 1 do cov[i,j] += (P[r,i] - mean[i]) * (P[r,j] - mean[j]); for i = 0, d do for j = 0, d do cov[i,j] := cov[i,j] / (n - 1);", "cov", "WITH p AS (SELECT vec_id AS r, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS v FROM p a JOIN p b ON a.r = b.r GROUP BY 1, 2", lambda t: {"P": _components(t), "n": t["embeddings"].count(), "d": t["embeddings"].agg(F.max(F.size("embedding"))).first()[0] - 1}, places=5)
 STARTS = ((0, 5.0, 5.0), (1, 40.0, 10.0), (2, 10.0, 40.0), (3, 45.0, 45.0))
 
 
-def _kmeans_all_sql(k: int) -> str:
+def _kmeans_loop_sql(k: int) -> str:
     ctes = ["p AS (SELECT l_quantity AS x, l_discount * 500 AS y, count(*) AS n FROM lineitem GROUP BY 1, 2)", f"c0 AS (SELECT j, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES {', '.join(map(str, STARTS))}) t(j, x, y))"]
     for i in range(1, k + 1):
         ctes.append(f"d{i} AS (SELECT p.x, p.y, p.n, arg_min(c.j, ((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.j)) AS j FROM p, c{i - 1} c GROUP BY ALL)")
@@ -399,6 +369,19 @@ def _points(t: Lazy) -> dict[str, Any]:
     return {"P": points, "n": t["lineitem"].count(), "S": starts}
 
 
-program("kmeans_all", "var C: vector[(Double, Double)] = vector(); var D: matrix[Double] = matrix(); var closer: matrix[Long] = matrix(); var sx: vector[Double] = vector(); var sy: vector[Double] = vector(); var m: vector[Double] = vector(); for j = 0, 3 do C[j] := S[j]; var k: Int = 0; while (k < 3) { k += 1; for i = 0, n - 1 do for j = 0, 3 do D[i,j] := (P[i].x - C[j]._1) * (P[i].x - C[j]._1) + (P[i].y - C[j]._2) * (P[i].y - C[j]._2); for i = 0, n - 1 do for j = 0, 3 do closer[i,j] := 0L; for i = 0, n - 1 do for j = 0, 3 do for l = 0, 3 do if (D[i,l] < D[i,j] || (D[i,l] == D[i,j] && l < j)) closer[i,j] += 1L; for j = 0, 3 do { sx[j] := 0.0; sy[j] := 0.0; m[j] := 0.0; }; for i = 0, n - 1 do for j = 0, 3 do if (closer[i,j] == 0L) { sx[j] += P[i].x; sy[j] += P[i].y; m[j] += 1.0; }; for j = 0, 3 do C[j] := (sx[j] / m[j], sy[j] / m[j]); };", "C", _kmeans_all_sql(3), _points)
-for _name in ("loop_kmeans_all", "sql_kmeans_all"):
+program("kmeans", "var C: vector[(Double, Double)] = vector(); var D: matrix[Double] = matrix(); var closer: matrix[Long] = matrix(); var sx: vector[Double] = vector(); var sy: vector[Double] = vector(); var m: vector[Double] = vector(); for j = 0, 3 do C[j] := S[j]; var k: Int = 0; while (k < 3) { k += 1; for i = 0, n - 1 do for j = 0, 3 do D[i,j] := (P[i].x - C[j]._1) * (P[i].x - C[j]._1) + (P[i].y - C[j]._2) * (P[i].y - C[j]._2); for i = 0, n - 1 do for j = 0, 3 do closer[i,j] := 0L; for i = 0, n - 1 do for j = 0, 3 do for l = 0, 3 do if (D[i,l] < D[i,j] || (D[i,l] == D[i,j] && l < j)) closer[i,j] += 1L; for j = 0, 3 do { sx[j] := 0.0; sy[j] := 0.0; m[j] := 0.0; }; for i = 0, n - 1 do for j = 0, 3 do if (closer[i,j] == 0L) { sx[j] += P[i].x; sy[j] += P[i].y; m[j] += 1.0; }; for j = 0, 3 do C[j] := (sx[j] / m[j], sy[j] / m[j]); };", "C", _kmeans_loop_sql(3), _points)
+for _name in ("loop_kmeans", "sql_kmeans"):
     QUERIES[_name] = lambda spark, sf_dir, run=QUERIES[_name]: run(spark, sf_dir).select("i", F.round(F.col("v").getField("_1"), 5).alias("x"), F.round(F.col("v").getField("_2"), 5).alias("y"))
+
+
+def _factors_sql(steps: int) -> str:
+    """Gradient descent on the squared error of U W' with a penalty; both factors move together."""
+    ctes = ["x AS (SELECT l_suppkey % 6 AS i, l_partkey % 5 AS j, avg(l_quantity) / 50 AS v FROM lineitem GROUP BY 1, 2)", "u0 AS (SELECT i, k, (i + k + 1) / 10.0::DOUBLE AS v FROM range(0, 6) a(i), range(0, 2) b(k))", "w0 AS (SELECT j, k, (k + 2 * j + 1) / 10.0::DOUBLE AS v FROM range(0, 5) a(j), range(0, 2) b(k))"]
+    for t in range(steps):
+        ctes.append(f"g{t} AS (SELECT x.i, x.j, x.v - sum(u.v * w.v) AS v FROM x JOIN u{t} u ON u.i = x.i JOIN w{t} w ON w.j = x.j AND w.k = u.k GROUP BY x.i, x.j, x.v)")
+        ctes.append(f"u{t + 1} AS (SELECT u.i, u.k, u.v + 0.01 * (2 * sum(g.v * w.v) - 0.02 * u.v) AS v FROM u{t} u JOIN g{t} g ON g.i = u.i JOIN w{t} w ON w.j = g.j AND w.k = u.k GROUP BY u.i, u.k, u.v)")
+        ctes.append(f"w{t + 1} AS (SELECT w.j, w.k, w.v + 0.01 * (2 * sum(g.v * u.v) - 0.02 * w.v) AS v FROM w{t} w JOIN g{t} g ON g.j = w.j JOIN u{t} u ON u.i = g.i AND u.k = w.k GROUP BY w.j, w.k, w.v)")
+    return f"WITH {', '.join(ctes)} SELECT j AS i, k AS j, round(v, 6) AS v FROM w{steps}"
+
+
+program("matrix_factorization", "var U: matrix[Double] = matrix(); var W: matrix[Double] = matrix(); var gap: matrix[Double] = matrix(); var down: matrix[Double] = matrix(); var across: matrix[Double] = matrix(); for k = 0, 1 do { for i = 0, 5 do U[i,k] := (i + k + 1) / 10.0; for j = 0, 4 do W[j,k] := (k + 2 * j + 1) / 10.0; }; var t: Int = 0; while (t < 4) { for i = 0, 5 do for j = 0, 4 do gap[i,j] := X[i,j]; for i = 0, 5 do for j = 0, 4 do for k = 0, 1 do gap[i,j] += 0.0 - U[i,k] * W[j,k]; for i = 0, 5 do for k = 0, 1 do down[i,k] := 0.0 - 0.02 * U[i,k]; for j = 0, 4 do for k = 0, 1 do across[j,k] := 0.0 - 0.02 * W[j,k]; for i = 0, 5 do for j = 0, 4 do for k = 0, 1 do { down[i,k] += 2.0 * gap[i,j] * W[j,k]; across[j,k] += 2.0 * gap[i,j] * U[i,k]; }; for i = 0, 5 do for k = 0, 1 do U[i,k] += 0.01 * down[i,k]; for j = 0, 4 do for k = 0, 1 do W[j,k] += 0.01 * across[j,k]; t += 1; };", "W", _factors_sql(4), lambda t: {"X": t["lineitem"].groupBy((F.col("l_suppkey") % 6).alias("i"), (F.col("l_partkey") % 5).alias("j")).agg((F.avg("l_quantity") / 50).alias("v"))}, places=6)
