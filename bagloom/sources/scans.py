@@ -74,3 +74,10 @@ def empty_array(spark: SparkSession, kind: str, item: str) -> DataFrame:
     """An empty vector, matrix or map with cells of a type."""
     keys = {"vector": "i long", "matrix": "i long, j long", "map": "k string"}[kind]
     return spark.createDataFrame([], T.StructType.fromDDL(f"{keys}, v {item}") if hasattr(T.StructType, "fromDDL") else f"{keys}, v {item}")
+
+
+def known(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table made on the driver, handed over by Arrow: its size is known, so joins broadcast it and not the other side."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table([pa.array(list(c)) for c in zip(*rows, strict=True)], names=names))

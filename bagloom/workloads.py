@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagloom.sources.scans import known
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,14 +247,14 @@ program("eq_frequency", 'var a: Long = 0L; var b: Long = 0L; var same: Boolean =
 program("group_by", "var C: vector[Double] = vector(); for l in L do C[l.l_suppkey] += l.l_quantity;", "C", "SELECT l_suppkey AS i, round(sum(l_quantity), 2) AS v FROM lineitem GROUP BY 1", _lines, places=2)
 program("word_count", "var C: map[String, Long] = map(); for w in W do C[w] += 1L;", "C", "SELECT w AS k, count(*) AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1", lambda t: {"W": t["documents"].select(F.explode(F.split("text", "\\s+")).alias("value")).filter("value <> ''")})
 program("histogram", "var R: vector[Long] = vector(); for p in P do R[p.l_quantity.toLong] += 1L;", "R", "SELECT CAST(l_quantity AS BIGINT) AS i, count(*) AS v FROM lineitem GROUP BY 1", lambda t: {"P": t["lineitem"].select("l_quantity", "l_tax")})
-program("string_match", "var C: map[String, Boolean] = map(); for w in W do for k in K do if (w == k) C[w] := true;", "C", "SELECT DISTINCT w AS k, true AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w IN ('the', 'and', 'nowhere', 'que')", lambda t: {"W": t["documents"].select(F.explode(F.split("text", "\\s+")).alias("value")), "K": t.spark.createDataFrame([("the",), ("and",), ("nowhere",), ("que",)], ["value"])})
+program("string_match", "var C: map[String, Boolean] = map(); for w in W do for k in K do if (w == k) C[w] := true;", "C", "SELECT DISTINCT w AS k, true AS v FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE w IN ('the', 'and', 'nowhere', 'que')", lambda t: {"W": t["documents"].select(F.explode(F.split("text", "\\s+")).alias("value")), "K": known(t.spark, [("the",), ("and",), ("nowhere",), ("que",)], ["value"])})
 program("reverse_index", "var R: map[String, Long] = map(); for p in P do R[p.link] += 1L;", "R", "SELECT link AS k, count(*) AS v FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) GROUP BY 1", lambda t: {"P": t["pages"].select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("link"))})
 program("indexed_group", "var C: vector[Double] = vector(); for i = 0, n do C[V[i].K] += V[i].A;", "C", "SELECT o_custkey AS i, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1", lambda t: {"V": t["orders"].select(F.col("o_orderkey").alias("i"), F.struct(F.col("o_custkey").alias("K"), F.col("o_totalprice").alias("A")).alias("v")), "n": 100_000_000}, places=2)
 program("group_by_join", "var W: vector[Double] = vector(); for i = 0, n do W[K[i]] += V[i];", "W", "SELECT o_custkey AS i, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1", lambda t: {"K": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v")), "V": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "n": 100_000_000}, places=2)
 program("matrix_add", "var R: matrix[Double] = matrix(); for i = 0, 99999999 do for j = 0, 39 do R[i,j] := M[i,j] + M[i,j];", "R", f"WITH m AS {MATRIX} SELECT i, j, round(2 * v, 2) AS v FROM m", lambda t: {"M": _matrix(t)}, places=2)
 program("linear_regression", "var sx: Double = 0.0; var sy: Double = 0.0; var n: Double = 0.0; var mx: Double = 0.0; var my: Double = 0.0; var xx: Double = 0.0; var xy: Double = 0.0; var slope: Double = 0.0; var intercept: Double = 0.0; for p in P do { sx += p.x; sy += p.y; n += 1.0; }; mx := sx / n; my := sy / n; for p in P do { xx += (p.x - mx) * (p.x - mx); xy += (p.x - mx) * (p.y - my); }; slope := xy / xx; intercept := my - slope * mx;", "slope intercept", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem", lambda t: {"P": t["lineitem"].select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))})
 ORACLE_SQL["loop_linear_regression"] = ORACLE_SQL["sql_linear_regression"] = ORACLE_SQL["loop_linear_regression"].replace("l_quantity), 3)", "l_quantity), 4)")
-program("kmeans_closest", "var best: vector[(Double, Long)] = vector(); for i = 0, 99999999 do for j = 0, 2 do best[i] := best[i] ^ (Math.abs(P[i] - C[j]), j);", "best", "SELECT o_orderkey AS i, arg_min(j, (abs(o_totalprice - c), j))::BIGINT AS v FROM orders, (VALUES (0, 50000.0), (1, 150000.0), (2, 250000.0)) t(j, c) GROUP BY 1", lambda t: {"P": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "C": t.spark.createDataFrame([(0, 50000.0), (1, 150000.0), (2, 250000.0)], "i long, v double")}, twin=False, monoids=(lambda: ("^", F.least, None, F.min),))
+program("kmeans_closest", "var best: vector[(Double, Long)] = vector(); for i = 0, 99999999 do for j = 0, 2 do best[i] := best[i] ^ (Math.abs(P[i] - C[j]), j);", "best", "SELECT o_orderkey AS i, arg_min(j, (abs(o_totalprice - c), j))::BIGINT AS v FROM orders, (VALUES (0, 50000.0), (1, 150000.0), (2, 250000.0)) t(j, c) GROUP BY 1", lambda t: {"P": t["orders"].select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), "C": known(t.spark, [(0, 50000.0), (1, 150000.0), (2, 250000.0)], ["i", "v"])}, twin=False, monoids=(lambda: ("^", F.least, None, F.min),))
 _run_closest = QUERIES["loop_kmeans_closest"]
 QUERIES["loop_kmeans_closest"] = lambda spark, sf_dir: _run_closest(spark, sf_dir).select("i", F.col("v").getField("_2").alias("v"))
 
