@@ -13,7 +13,8 @@ of their deviations. Each shot is a clip row with start and end in seconds.
 
 Defined results: null or empty texts are one frame of bytes 255. Equal texts give equal
 files, hence equal values; repeated rows are kept. Extra columns are ignored. A file
-whose index or frames are broken raises ValueError.
+whose index is broken, or whose frames end early or hold an unknown code, raises ValueError; a
+flipped bit may decode to other bytes unnoticed, since frames carry no checksum.
 """
 
 from __future__ import annotations
