@@ -1,31 +1,36 @@
-"""Katz back-off scores: Good-Turing discounted bigrams over Good-Turing discounted words.
+"""Katz back-off scores: Good-Turing discounted n-grams (of ORDER words, unless told) over each other.
 
 Texts: lower-case A-Z, words are runs of other bytes than white space, then one end token.
 Training documents are those with learn = true. The vocabulary has every training token
 and one class for all others, which takes the words' discounted mass.
 
-  P(w)     = d(c) c / N                          for a known w, the rest of 1 for the class
-  P(w | h) = d(c(h, w)) c(h, w) / c(h)           for a seen bigram
-           = alpha(h) P(w)                       otherwise
-  alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w) over the w seen after h)
+  P(w)     = d1(c) c / N                         for a known w, the rest of 1 for the class
+  P(w | h) = dn(c(h, w)) c(h, w) / c(h)          for a seen n-gram
+           = alpha(h) P(w | h without its first) otherwise (alpha is 1 for an unseen h)
+  alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w | h without its first) over the w seen after h)
 
-The first word's h is a start token. d is Katz's discount for counts up to K = 5; where
-the counts of counts don't allow it, an absolute discount. A context without discounted
-mass counts one more, so that alpha stays positive: every distribution adds up to 1.
+The first word's h is a start token, which longer contexts begin with; the k-th word has no
+context beyond it. dn is Katz's discount of order n for counts up to K = 5; where the counts
+of counts don't allow it, an absolute discount. A context without discounted mass counts
+one more, so that alpha stays positive: every distribution adds up to 1.
 
 The work is done in chunks of documents and in shards of keys, by numpy on packed arrays:
 
 1. A chunk (some MB of text) becomes a token stream and its distinct word hashes with
    training counts; both are written to a table. A shard of word hashes adds up the counts
    of all chunks, gives each word a dense id and answers every chunk in the chunk's order.
-2. Each chunk asks the shard of a context h for its distinct (h, w), with training counts
-   and c(w). The shard adds up, and answers with c(h, w) and, for each h, the numbers of
-   seen w by count 1 to K and their sum of P(w): all that alpha(h) needs besides d.
-   A context with more than a shard's share is salted by w; a chunk adds up the answers.
-3. Each chunk evaluates its tokens.
+2. For n = 2 to ORDER, each chunk asks the shard of a context h for its distinct (h, w), with
+   training counts and the count one order below. The shard adds up, and answers with
+   c(h, w), whether another chunk has it, and, for each h, the numbers of seen w by count 1
+   to K and their probability one order below: all that alpha(h) needs besides dn. A context
+   that no other chunk has is counted where it is; an n-gram whose context or lower n-gram
+   is unseen isn't asked for. A context with more than a shard's share is salted by w; a
+   chunk adds up the answers.
+3. Each chunk evaluates its tokens, from words up.
 
 So a key that holds a third of all tokens is one entry per chunk at most, shards are as
 many as the session's shuffle partitions, and the driver gets a few counts per shard only.
+Words and contexts of two words or more are named by 64-bit hashes.
 
 Defined results: null texts count as empty (one end token). Null ids are not held out.
 Repeated rows are scored, and learned from, each. Extra columns are ignored. An empty
@@ -34,7 +39,9 @@ table gives no rows; without training tokens every score is that of a sole class
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +52,15 @@ from pyspark.sql import functions as F
 from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, lean_group, mix, pack, padded, shards, slices, unpack, utf8, words
 
 K = 5
+ORDER = 3
 CHUNK = 6 << 20
 END = U(0x2545F4914F6CDD1D)
 UNKNOWN, START, FIRST = 0, 1, 2
+NEXT = U(0xD1342543DE82EF95)
 BLOBS = "chunk long, shard int, kind int, blob binary"
 NAMES = ["chunk", "shard", "kind", "blob"]
-STREAM, WORDS, WORD_ANSWER, PAIR_ANSWER, STATS = range(5)
+#: ANSWER + n: a shard's answer on n-grams
+STREAM, WORDS, WORD_ANSWER, STATS, ANSWER = range(5)
 
 
 def rows(*found: tuple[int, int, int, bytes]) -> pa.Table:
@@ -169,140 +179,192 @@ def count_words(group: pa.Table, n_shards: int) -> pa.Table:
     keys = np.concatenate([sums(p[0]) for p in parts])
     counts = np.concatenate([p[1] for p in parts])
     _, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, counts).astype(np.int64)
+    total, several = np.bincount(inverse, counts).astype(np.int64), np.bincount(inverse) > 1
     order = np.argsort(-total, kind="stable")
     ids = np.empty(len(total), np.uint64)
     ids[order] = np.arange(len(total), dtype=np.uint64) * U(n_shards) + U(shard + FIRST)
     ids[total == 0] = UNKNOWN
-    if len(ids) and ids.max() >= 1 << 32:
-        raise OverflowError("more than 2**32 distinct words; use more shards")
     out, at = [], 0
     for chunk, p in zip(chunks, parts, strict=True):
         own = inverse[at : at + len(p[0])]
-        out.append((chunk, shard, WORD_ANSWER, pack(ids[own], total[own].astype(np.uint64))))
+        out.append((chunk, shard, WORD_ANSWER, pack(ids[own], (total * 2 + several)[own].astype(U))))
         at += len(own)
     out.append((-1, shard, STATS, pack(np.array([total.sum(), (total > 0).sum(), *histogram(total)], np.uint64))))
     return rows(*out)
 
 
+@dataclass
+class Level:
+    """The distinct n-grams of one chunk at one order."""
+
+    inverse: np.ndarray  # the n-gram that ends at each token, -1: the text is too short there
+    key: np.ndarray  # the n-gram's name in all chunks
+    count: np.ndarray  # in all training texts
+    shared: np.ndarray  # whether another chunk may hold it
+    p: np.ndarray
+    scale: np.ndarray  # what its context's counts are divided by
+
+
+def context_stats(owner: np.ndarray, n: int, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n contexts: its seen words by count 1 to K, and their probability one order below."""
+    numbers = np.bincount(owner * (K + 1) + np.where(counts <= K, counts, 0), minlength=n * (K + 1)).reshape(n, K + 1)[:, 1:]
+    return numbers, np.bincount(owner, np.where(counts > 0, lower, 0.0), n).astype(float)
+
+
 class Chunk:
-    """The decoded rows of one chunk after the words' counts are known."""
+    """The decoded rows of one chunk; levels grow by an order with each settled answer."""
 
-    def __init__(self, group: pa.Table, n_shards: int, total: int, n_docs: int):
-        self.answers: list[tuple[int, bytes]] = []
-        words_, stream = [], None
+    def __init__(self, group: pa.Table, n_shards: int, total: int, n_docs: int, unigrams: Unigrams, discounts: list[Discounts]):
+        answers: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        stream = None
         for shard, kind, blob in zip(*(group.column(c).to_pylist() for c in NAMES[1:]), strict=True):
             if kind == STREAM:
                 stream = unpack(blob)
-            elif kind == WORD_ANSWER:
-                words_.append((shard, blob))
             else:
-                self.answers.append((shard, blob))
-        self.chunk = group.column("chunk")[0].as_py()
-        self.answers.sort()
-        got = [unpack(b) for _, b in sorted(words_)]
-        ids, count = np.concatenate([g[0] for g in got]).astype(U), np.concatenate([g[1] for g in got]).astype(np.int64)
-        stream, sizes, self.learn, doc_ids, known = stream
-        self.sizes, self.doc_ids, self.known = sizes.astype(np.int64), doc_ids.astype(U).view(np.int64), known
-        word, self.count = ids[stream], count[stream]
+                answers[kind].append((shard, blob))
+        self.chunk, self.n_shards, self.total = group.column("chunk")[0].as_py(), n_shards, total
+        got = [unpack(b) for _, b in sorted(answers[WORD_ANSWER])]
+        ids, found = np.concatenate([g[0] for g in got]).astype(U), np.concatenate([g[1] for g in got]).astype(np.int64)
+        stream, sizes, self.learn, doc_ids, self.known = stream
+        self.sizes, self.doc_ids = sizes.astype(np.int64), doc_ids.astype(U).view(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        before, self.before_count = np.empty_like(word), np.empty_like(self.count)
-        before[1:], self.before_count[1:] = word[:-1], self.count[:-1]
-        before[self.first], self.before_count[self.first] = START, n_docs
-        self.keys, at, self.inverse = np.unique(before << U(32) | word, return_index=True, return_inverse=True)
-        self.head, self.tail = self.keys >> U(32), self.keys & U(0xFFFFFFFF)
-        self.head_count, self.tail_count = self.before_count[at], self.count[at]
+        self.place = np.arange(len(stream)) - np.repeat(self.first, self.sizes)
+        self.trained = np.repeat(self.learn, self.sizes)
+        self.words, self.count = stream.astype(np.int64), (found >> 1)[stream]
+        # the last word of the first level is the start
+        counts = np.append(found >> 1, n_docs)
+        self.levels = [Level(self.words, np.append(ids, U(START)), counts, np.append(found & 1, 1) > 0, unigrams.of(counts), np.ones(len(counts), np.int64))]
+        for order, d in enumerate(discounts, 2):
+            self.extend()
+            self.settle(d, sorted(answers[ANSWER + order]))
+
+    def extend(self) -> None:
+        """The n-grams of the next order, and what is asked of which shard for them."""
+        below, n_words, k = self.levels[-1], len(self.levels[0].key), len(self.levels) + 1
+        at = np.flatnonzero(self.place >= k - 2)
+        heads = below.inverse[at - 1]
+        if k == 2:
+            heads[self.first] = n_words - 1
+        code, where, inverse = np.unique(heads * n_words + self.words[at], return_index=True, return_inverse=True)
+        self.inverse = np.full(len(self.words), -1)
+        self.inverse[at] = inverse
+        self.head, tail = code // n_words, code % n_words
+        self.lower = below.inverse[at[where]]
+        self.tail = self.levels[0].key[tail]
+        with np.errstate(over="ignore"):
+            self.key = mix(below.key[self.head] * NEXT + self.tail)
+        self.own = np.bincount(inverse, self.trained[at], len(code)).astype(np.int64)
+        # an n-gram can only be seen if its context and its lower n-gram are
+        known = below.count[self.head] > 0
+        can, shared = known & (below.count[self.lower] > 0), below.shared[self.head]
+        self.private = np.flatnonzero(can & ~shared)
+        asked, sample = np.unique(self.head[known & shared], return_index=True)
+        sample = np.flatnonzero(known & shared)[sample]
+        by_key = np.argsort(below.key[asked], kind="stable")
+        asked, sample = asked[by_key], sample[by_key]
+        rank = np.zeros(len(below.key), np.int64)
+        rank[asked] = np.arange(len(asked))
         # salts of contexts above a quarter of a shard's share
-        salts = np.maximum(1, self.head_count * 4 * n_shards // max(1, total))
-        salts[self.head == UNKNOWN] = 1
-        salt = np.where(salts > 1, (mix(self.tail + U(77)) % salts.astype(U)).astype(np.int64), 0)
-        self.asked = np.flatnonzero(self.head != UNKNOWN)
-        heavy = np.unique(self.head[salts > 1], return_index=True)
-        which = np.flatnonzero(salts > 1)[heavy[1]]
-        extra = np.repeat(heavy[0], salts[which])
-        extra_salt = np.concatenate([np.arange(s) for s in salts[which]]) if len(which) else np.zeros(0, np.int64)
-        # what is asked: own keys, and a bare (h, unknown) of every salt of a heavy context
-        keys = np.concatenate([self.keys[self.asked], extra << U(32)])
-        place = np.concatenate([self.asked, np.full(len(extra), -1)])
-        heads = np.concatenate([self.head[self.asked], extra])
-        salts_ = np.concatenate([salt[self.asked], extra_salt])
-        to = shard_of(heads * U(0x9E3779B1) + salts_.astype(U), n_shards)
-        order = np.lexsort((keys, to))
-        self.ask_keys, self.ask_place, self.ask_to = keys[order], place[order], to[order]
-        self.cut = np.searchsorted(self.ask_to, np.arange(n_shards + 1))
-        self.n_shards = n_shards
+        salts = np.maximum(1, below.count[asked] * 4 * self.n_shards // max(1, self.total))
+        entry = np.repeat(np.arange(len(asked)), salts)
+        salt = np.arange(len(entry)) - np.repeat(np.cumsum(salts) - salts, salts)
+        keys = np.flatnonzero(can & shared)
+        of = rank[self.head[keys]]
+        own_salt = (mix(self.tail[keys] + U(77)) % salts[of].astype(U)).astype(np.int64)
+
+        def place(which: np.ndarray, salted: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                to = shard_of(below.key[asked[which]] * U(0x9E3779B1) + salted.astype(U), self.n_shards)
+            return to * max(1, len(asked)) + which
+
+        entries = np.unique(place(entry, salt))
+        owner = np.searchsorted(entries, place(of, own_salt))
+        order = np.lexsort((self.tail[keys], owner))
+        self.keys = keys[order]
+        self.numbers = np.bincount(owner, minlength=len(entries))
+        self.entries, to = asked[entries % max(1, len(asked))], entries // max(1, len(asked))
+        self.sample = sample[entries % max(1, len(asked))]
+        self.entry_cut = np.searchsorted(to, np.arange(self.n_shards + 1))
+        self.key_cut = np.append(0, np.cumsum(self.numbers))[self.entry_cut]
 
     def requests(self) -> pa.Table:
-        trained = np.bincount(self.inverse, np.repeat(self.learn, self.sizes), len(self.keys)).astype(np.uint32)
-        mine = np.maximum(self.ask_place, 0)
-        count = np.where(self.ask_place >= 0, trained[mine], 0)
-        tail = np.where(self.ask_place >= 0, self.tail_count[mine], 0).astype(np.uint64)
-        out = []
+        self.extend()
+        below, out = self.levels[-1], []
         for s in range(self.n_shards):
-            a, b = self.cut[s], self.cut[s + 1]
+            (a, b), (i, j) = self.entry_cut[s : s + 2], self.key_cut[s : s + 2]
             if a < b:
-                k = self.ask_keys[a:b]
-                out.append((self.chunk, s, WORDS, pack(deltas(k >> U(32)), k & U(0xFFFFFFFF), count[a:b], tail[a:b])))
+                k = self.keys[i:j]
+                scale = below.scale[self.lower[self.sample[a:b]]]
+                out.append((self.chunk, s, WORDS, pack(*(x.astype(U) for x in (deltas(below.key[self.entries[a:b]]), self.numbers[a:b], scale, self.tail[k], self.own[k], below.count[self.lower[k]])))))
+        mine = self.own[self.private]
+        out.append((self.chunk, self.chunk % self.n_shards, STATS, pack(histogram(mine[mine > 0]).astype(U))))
         return rows(*out)
 
-    def scores(self, unigrams: Unigrams, pairs: Discounts) -> tuple[np.ndarray, ...]:
-        """For each document: tokens, known tokens, base and back-off sums."""
-        n = len(self.keys)
-        seen = np.zeros(n, np.int64)
-        heads, stats = [], []
-        for shard, blob in self.answers:
-            c, numbers, mass = unpack(blob)
-            a, b = self.cut[shard], self.cut[shard + 1]
-            own = self.ask_place[a:b] >= 0
-            seen[self.ask_place[a:b][own]] = c[own]
-            h = np.unique(self.ask_keys[a:b] >> U(32))
-            heads.append(h)
-            stats.append(np.column_stack([numbers.reshape(len(h), K), mass]))
-        lower = unigrams.of(self.tail_count)
-        if heads:
-            h, inverse = np.unique(np.concatenate(heads), return_inverse=True)
-            stats = np.concatenate(stats)
-            total = np.stack([np.bincount(inverse, stats[:, k], len(h)) for k in range(K + 1)], axis=1)
-            at = np.minimum(np.searchsorted(h, self.head), len(h) - 1)
-            found = h[at] == self.head
-            r = np.arange(1, K + 1)
-            spare = (total[:, :K] * r * (1 - pairs.d[1:])).sum(axis=1)[at]
-            rest = np.maximum(1 - total[:, K][at], 1e-12)
-            context = np.maximum(self.head_count, 1).astype(float)
-            # spare tokens; a context that spares none counts one more
-            more = np.where(spare > 1e-9, 0.0, 1.0)
-            alpha = np.where(found & (self.head_count > 0), np.where(more > 0, 1.0, spare) / (context + more) / rest, 1.0)
-            direct = pairs.of(seen) * seen / (context + more)
-            p = np.where(seen > 0, direct, alpha * lower)
-        else:
-            p = lower
-        logs = np.log10(np.maximum(p, 1e-300))[self.inverse]
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return self.sizes, np.bincount(doc, self.count > 0, len(self.sizes)), np.bincount(doc, logs, len(self.sizes))
-
-
-def count_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """One shard of bigrams: counts for each chunk in its order, and what each context's alpha needs."""
+    def settle(self, d: Discounts, answers: list[tuple[int, bytes]]) -> None:
+        """The level's counts and probabilities, from the answers and from contexts no other chunk has."""
+        below = self.levels[-1]
+        count, shared, n = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), bool), len(below.key)
+        count[self.private] = self.own[self.private]
+        numbers, mass = context_stats(self.head[self.private], n, count[self.private], below.p[self.lower[self.private]])
+        numbers = numbers.astype(np.int64)
+        for shard, blob in answers:
+            found, more, weight = unpack(blob)
+            k, h = self.keys[self.key_cut[shard] : self.key_cut[shard + 1]], self.entries[self.entry_cut[shard] : self.entry_cut[shard + 1]]
+            count[k], shared[k] = found.astype(np.int64) >> 1, found & 1
+            numbers[h] += more.reshape(K, len(h)).T.astype(np.int64)
+            mass[h] += weight
+        spare = (numbers * np.arange(1, K + 1) * (1 - d.d[1:])).sum(axis=1)
+        rest = np.maximum(1 - mass, 1e-12)
+        # spare tokens; a context that spares none counts one more
+        none = spare <= 1e-9
+        scale = np.maximum(below.count, 1) + none
+        alpha = np.where(below.count > 0, np.where(none, 1.0, spare) / scale / rest, 1.0)
+        p = np.where(count > 0, d.of(count) * count / scale[self.head], alpha[self.head] * below.p[self.lower])
+        self.levels.append(Level(self.inverse, self.key, count, shared, p, scale[self.head]))
+
+    def scores(self) -> tuple[np.ndarray, ...]:
+        """For each document: tokens, known tokens, back-off sum."""
+        p = self.levels[0].p[self.words]
+        for level in self.levels[1:]:
+            has = level.inverse >= 0
+            p[has] = level.p[level.inverse[has]]
+        doc, n = np.repeat(np.arange(len(self.sizes)), self.sizes), len(self.sizes)
+        return self.sizes, np.bincount(doc, self.count > 0, n), np.bincount(doc, np.log10(np.maximum(p, 1e-300)), n)
+
+
+def count_grams(group: pa.Table, order: int, unigrams: Unigrams, below: Discounts | None) -> pa.Table:
+    """One shard of n-grams: counts for each chunk in its order, and what each context's alpha needs."""
     shard = group.column("shard")[0].as_py()
-    chunks, parts = group.column("chunk").to_pylist(), [unpack(b) for b in group.column("blob").to_pylist()]
-    heads = [sums(p[0]) for p in parts]
-    keys = np.concatenate([h << U(32) | p[1].astype(U) for h, p in zip(heads, parts, strict=True)])
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([p[2] for p in parts])).astype(np.int64)
-    tail_count = np.concatenate([p[3] for p in parts])[first].astype(np.int64)
-    tail = unique & U(0xFFFFFFFF)
-    seen = (total > 0) & (tail != UNKNOWN)
-    total[tail == UNKNOWN] = 0
-    head, owner = np.unique(unique >> U(32), return_inverse=True)
-    mass = np.bincount(owner, np.where(seen, unigrams.of(tail_count), 0.0), len(head))
-    numbers = np.bincount(owner * (K + 1) + np.where(seen & (total <= K), total, 0), minlength=len(head) * (K + 1)).reshape(-1, K + 1)[:, 1:]
-    out, at = [], 0
-    for chunk, h, p in zip(chunks, heads, parts, strict=True):
-        own = inverse[at : at + len(p[0])]
-        which = np.searchsorted(head, np.unique(h))
-        out.append((chunk, shard, PAIR_ANSWER, pack(total[own].astype(np.uint64), numbers[which].astype(np.uint64).ravel(), mass[which])))
-        at += len(own)
-    out.append((-1, shard, STATS, pack(histogram(total[seen]).astype(np.uint64))))
+    asked, private = [], np.zeros(K + 1, np.int64)
+    for chunk, kind, blob in zip(*(group.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
+        if kind == STATS:
+            private += unpack(blob)[0].astype(np.int64)
+        else:
+            asked.append((chunk, unpack(blob)))
+    if not asked:
+        return rows((-1, shard, STATS, pack(private.astype(U))))
+    heads, first, which = np.unique(np.concatenate([sums(p[0]) for _, p in asked]), return_index=True, return_inverse=True)
+    scale = np.concatenate([p[2] for _, p in asked])[first].astype(float)
+    n_keys = np.concatenate([p[1] for _, p in asked]).astype(np.int64)
+    owner = np.repeat(which, n_keys)
+    tail = np.concatenate([p[3] for _, p in asked]).astype(U)
+    if len(tail) and (int(tail.max()) + 1) * len(heads) >= 1 << 63:
+        tail = np.unique(tail, return_inverse=True)[1].astype(U)
+    width = int(tail.max()) + 1 if len(tail) else 1
+    unique, at, inverse = np.unique(owner * width + tail.astype(np.int64), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([p[4] for _, p in asked]), len(unique)).astype(np.int64)
+    several = np.bincount(inverse, minlength=len(unique)) > 1
+    count = np.concatenate([p[5] for _, p in asked])[at].astype(np.int64)
+    owner = unique // width
+    lower = unigrams.of(count) if order == 2 else below.of(count) * count / scale[owner]
+    numbers, mass = context_stats(owner, len(heads), total, lower)
+    out, i, j = [], 0, 0
+    answer = (total * 2 + several).astype(U)
+    for chunk, p in asked:
+        h, k = which[i : i + len(p[0])], inverse[j : j + len(p[3])]
+        out.append((chunk, shard, ANSWER + order, pack(answer[k], numbers[h].T.astype(U).ravel(), mass[h])))
+        i, j = i + len(h), j + len(k)
+    out.append((-1, shard, STATS, pack((private + histogram(total[total > 0])).astype(U))))
     return rows(*out)
 
 
@@ -314,8 +376,8 @@ def stats_of(table: DataFrame) -> list[np.ndarray]:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. docs: doc_id, text, learn."""
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score by n-grams of `order` words. docs: doc_id, text, learn."""
     spark = docs.sparkSession
     tables, n_shards = Tables(spark, "katz"), shards(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("learn", F.lit(True)).alias("learn"))
@@ -328,18 +390,29 @@ def score(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(total, sums_[2:].tolist())
     n_docs = docs.filter("learn").count()
     known = stream.unionByName(words_.filter(F.col("kind") == WORD_ANSWER))
-    asked = known.groupBy("chunk").applyInArrow(lean_group(lambda g: Chunk(g, n_shards, total, n_docs).requests()), BLOBS)
-    pairs = tables.write(asked.groupBy("shard").applyInArrow(lean_group(lambda g: count_pairs(g, unigrams)), BLOBS))
-    stats = stats_of(pairs)
-    discounts = Discounts(np.sum(stats, axis=0).tolist() if stats else [0] * (K + 1))
+
+    def ask(discounts: list[Discounts]):
+        return lean_group(lambda g: Chunk(g, n_shards, total, n_docs, unigrams, discounts).requests())
+
+    def answer(k: int, below: Discounts | None):
+        return lean_group(lambda g: count_grams(g, k, unigrams, below))
+
+    discounts: list[Discounts] = []
+    for k in range(2, order + 1):
+        asked = known.groupBy("chunk").applyInArrow(ask(list(discounts)), BLOBS)
+        counted = tables.write(asked.groupBy("shard").applyInArrow(answer(k, discounts[-1] if discounts else None), BLOBS))
+        stats = stats_of(counted)
+        discounts.append(Discounts(np.sum(stats, axis=0).tolist() if stats else [0] * (K + 1)))
+        known = known.unionByName(counted.filter(F.col("kind") == ANSWER + k))
+        tables.sweep()
 
     def finish(group: pa.Table) -> pa.Table:
-        own = Chunk(group, n_shards, total, n_docs)
-        sizes, n_known, logs = own.scores(unigrams, discounts)
+        own = Chunk(group, n_shards, total, n_docs, unigrams, discounts)
+        sizes, n_known, logs = own.scores()
         doc = np.repeat(np.arange(len(sizes)), sizes)
         base = np.log10((own.count + 0.5) / (total + 0.5 * (vocabulary + 1)))
         base = np.bincount(doc, base, len(sizes))
         n = len(sizes)
         return pa.Table.from_arrays([pa.array(own.doc_ids, mask=own.known == 0), pa.array(own.learn == 0), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(np.full(n, total)), pa.array(base), pa.array(logs)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return known.unionByName(pairs.filter(F.col("kind") == PAIR_ANSWER)).groupBy("chunk").applyInArrow(lean_group(finish), SCHEMA)
+    return known.groupBy("chunk").applyInArrow(lean_group(finish), SCHEMA)
