@@ -53,7 +53,7 @@ from bagloom.llm.common import LOWER, U, Tables, hash_spans, lean, lean_group, m
 
 K = 5
 ORDER = 3
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 END = U(0x2545F4914F6CDD1D)
 UNKNOWN, START, FIRST = 0, 1, 2
 NEXT = U(0xD1342543DE82EF95)
@@ -205,14 +205,8 @@ class Level:
     scale: np.ndarray  # what its context's counts are divided by
 
 
-def context_stats(owner: np.ndarray, n: int, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n contexts: its seen words by count 1 to K, and their probability one order below."""
-    numbers = np.bincount(owner * (K + 1) + np.where(counts <= K, counts, 0), minlength=n * (K + 1)).reshape(n, K + 1)[:, 1:]
-    return numbers, np.bincount(owner, np.where(counts > 0, lower, 0.0), n).astype(float)
-
-
 class Chunk:
-    """The decoded rows of one chunk; levels grow by an order with each settled answer."""
+    """The decoded rows of one chunk; its level grows by an order with each settled answer."""
 
     def __init__(self, group: pa.Table, n_shards: int, total: int, n_docs: int, unigrams: Unigrams, discounts: list[Discounts]):
         answers: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
@@ -228,32 +222,36 @@ class Chunk:
         stream, sizes, self.learn, doc_ids, self.known = stream
         self.sizes, self.doc_ids = sizes.astype(np.int64), doc_ids.astype(U).view(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(stream)) - np.repeat(self.first, self.sizes)
+        self.place = (np.arange(len(stream)) - np.repeat(self.first, self.sizes)).astype(np.int32)
         self.trained = np.repeat(self.learn, self.sizes)
-        self.words, self.count = stream.astype(np.int64), (found >> 1)[stream]
-        # the last word of the first level is the start
-        counts = np.append(found >> 1, n_docs)
-        self.levels = [Level(self.words, np.append(ids, U(START)), counts, np.append(found & 1, 1) > 0, unigrams.of(counts), np.ones(len(counts), np.int64))]
+        self.words, self.order = stream.astype(np.int32), 1
+        # the last word is the start
+        self.ids, counts = np.append(ids, U(START)), np.append(found >> 1, n_docs)
+        self.count, p = counts[self.words], unigrams.of(counts)
+        self.below = Level(self.words, self.ids, counts, np.append(found & 1, 1) > 0, p, np.ones(len(counts), np.int64))
+        self.p = p[self.words]
         for order, d in enumerate(discounts, 2):
             self.extend()
             self.settle(d, sorted(answers[ANSWER + order]))
 
     def extend(self) -> None:
         """The n-grams of the next order, and what is asked of which shard for them."""
-        below, n_words, k = self.levels[-1], len(self.levels[0].key), len(self.levels) + 1
-        at = np.flatnonzero(self.place >= k - 2)
-        heads = below.inverse[at - 1]
-        if k == 2:
+        below, n_words = self.below, len(self.ids)
+        at = np.flatnonzero(self.place >= self.order - 1)
+        heads = below.inverse[at - 1].astype(np.int64)
+        if self.order == 1:
             heads[self.first] = n_words - 1
-        code, where, inverse = np.unique(heads * n_words + self.words[at], return_index=True, return_inverse=True)
-        self.inverse = np.full(len(self.words), -1)
+        heads *= n_words
+        code, where, inverse = np.unique(heads + self.words[at], return_index=True, return_inverse=True)
+        self.inverse = np.full(len(self.words), -1, np.int32)
         self.inverse[at] = inverse
         self.head, tail = code // n_words, code % n_words
+        del code, heads
         self.lower = below.inverse[at[where]]
-        self.tail = self.levels[0].key[tail]
+        self.tail = self.ids[tail]
         with np.errstate(over="ignore"):
             self.key = mix(below.key[self.head] * NEXT + self.tail)
-        self.own = np.bincount(inverse, self.trained[at], len(code)).astype(np.int64)
+        self.own = np.bincount(inverse, self.trained[at], len(where)).astype(np.int64)
         # an n-gram can only be seen if its context and its lower n-gram are
         known = below.count[self.head] > 0
         can, shared = known & (below.count[self.lower] > 0), below.shared[self.head]
@@ -289,7 +287,7 @@ class Chunk:
 
     def requests(self) -> pa.Table:
         self.extend()
-        below, out = self.levels[-1], []
+        below, out = self.below, []
         for s in range(self.n_shards):
             (a, b), (i, j) = self.entry_cut[s : s + 2], self.key_cut[s : s + 2]
             if a < b:
@@ -302,34 +300,33 @@ class Chunk:
 
     def settle(self, d: Discounts, answers: list[tuple[int, bytes]]) -> None:
         """The level's counts and probabilities, from the answers and from contexts no other chunk has."""
-        below = self.levels[-1]
+        below = self.below
         count, shared, n = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), bool), len(below.key)
-        count[self.private] = self.own[self.private]
-        numbers, mass = context_stats(self.head[self.private], n, count[self.private], below.p[self.lower[self.private]])
-        numbers = numbers.astype(np.int64)
+        mine, weights = self.own[self.private], np.arange(K + 1) * (1 - np.append(1, d.d[1:]))
+        count[self.private] = mine
+        owner, lower = self.head[self.private], below.p[self.lower[self.private]]
+        # spare tokens of each context, and what its seen words have one order below
+        spare = np.bincount(owner, weights[np.where(mine <= K, mine, 0)], n).astype(float)
+        mass = np.bincount(owner, np.where(mine > 0, lower, 0.0), n).astype(float)
         for shard, blob in answers:
             found, more, weight = unpack(blob)
             k, h = self.keys[self.key_cut[shard] : self.key_cut[shard + 1]], self.entries[self.entry_cut[shard] : self.entry_cut[shard + 1]]
             count[k], shared[k] = found.astype(np.int64) >> 1, found & 1
-            numbers[h] += more.reshape(K, len(h)).T.astype(np.int64)
+            spare[h] += weights[1:] @ more.reshape(K, len(h)).astype(float)
             mass[h] += weight
-        spare = (numbers * np.arange(1, K + 1) * (1 - d.d[1:])).sum(axis=1)
-        rest = np.maximum(1 - mass, 1e-12)
-        # spare tokens; a context that spares none counts one more
+        # a context that spares none counts one more
         none = spare <= 1e-9
         scale = np.maximum(below.count, 1) + none
-        alpha = np.where(below.count > 0, np.where(none, 1.0, spare) / scale / rest, 1.0)
+        alpha = np.where(below.count > 0, np.where(none, 1.0, spare) / scale / np.maximum(1 - mass, 1e-12), 1.0)
         p = np.where(count > 0, d.of(count) * count / scale[self.head], alpha[self.head] * below.p[self.lower])
-        self.levels.append(Level(self.inverse, self.key, count, shared, p, scale[self.head]))
+        has = self.inverse >= 0
+        self.p[has] = p[self.inverse[has]]
+        self.below, self.order = Level(self.inverse, self.key, count, shared, p, scale[self.head]), self.order + 1
 
     def scores(self) -> tuple[np.ndarray, ...]:
         """For each document: tokens, known tokens, back-off sum."""
-        p = self.levels[0].p[self.words]
-        for level in self.levels[1:]:
-            has = level.inverse >= 0
-            p[has] = level.p[level.inverse[has]]
         doc, n = np.repeat(np.arange(len(self.sizes)), self.sizes), len(self.sizes)
-        return self.sizes, np.bincount(doc, self.count > 0, n), np.bincount(doc, np.log10(np.maximum(p, 1e-300)), n)
+        return self.sizes, np.bincount(doc, self.count > 0, n), np.bincount(doc, np.log10(np.maximum(self.p, 1e-300)), n)
 
 
 def count_grams(group: pa.Table, order: int, unigrams: Unigrams, below: Discounts | None) -> pa.Table:
@@ -357,7 +354,9 @@ def count_grams(group: pa.Table, order: int, unigrams: Unigrams, below: Discount
     count = np.concatenate([p[5] for _, p in asked])[at].astype(np.int64)
     owner = unique // width
     lower = unigrams.of(count) if order == 2 else below.of(count) * count / scale[owner]
-    numbers, mass = context_stats(owner, len(heads), total, lower)
+    n = len(heads)
+    numbers = np.bincount(owner * (K + 1) + np.where(total <= K, total, 0), minlength=n * (K + 1)).reshape(n, K + 1)[:, 1:]
+    mass = np.bincount(owner, np.where(total > 0, lower, 0.0), n).astype(float)
     out, i, j = [], 0, 0
     answer = (total * 2 + several).astype(U)
     for chunk, p in asked:
