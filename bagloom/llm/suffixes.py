@@ -21,8 +21,8 @@ place. So:
    left neighbour elsewhere. Suffixes with a prefix of LENGTH in common are matches.
 4. Each chunk joins the covered stretches and cuts them out.
 
-Scans are vectorised: a bucket of one character is processed at once, so a recursion whose
-alphabet exceeds ALPHABET names is finished by prefix doubling over the names instead.
+Scans over at most ALPHABET characters are vectorised, a bucket of one character at once;
+those over more names go suffix by suffix. Both are the same induction.
 
 An anchor with more than HOT occurrences never meets in one shard: its windows are hashed
 (128 bits), counted in shards of their hashes with one entry per chunk, and the answer
@@ -113,29 +113,37 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, top: int) -> np.
     return np.concatenate(out[::-1])
 
 
-def doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names by prefix doubling; settled suffixes take no further part."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-    key = names[order]
-    first = np.append(True, key[1:] != key[:-1])
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    step = 1
-    while True:
-        alone = first & np.append(first[1:], True)
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
-            return order
-        who = order[open_]
-        nxt = np.where(who + step < n, rank[np.minimum(who + step, n - 1)] + 1, 0)
-        again = np.argsort(rank[who] * (n + 1) + nxt)
-        who, nxt, old = who[again], nxt[again], rank[who[again]]
-        order[open_] = who
-        new = np.append(True, (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1]))
-        first[open_] = new
-        rank[who] = np.maximum.accumulate(np.where(new, open_, 0))
-        step *= 2
+def induce_each(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, top: int) -> np.ndarray:
+    """As induce, suffix by suffix: for alphabets with about as many characters as their text has places."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=top + 1))
+    sa = np.full(n, n, np.int64)
+    chars = t[lms].astype(np.int64)
+    count = np.bincount(chars, minlength=top + 1)
+    sa[(ends - count - (np.cumsum(count) - count))[chars] + np.arange(len(lms))] = lms
+    left = np.full(n + 1, -1, np.int64)
+    left[1:n] = t[:-1]
+    sa, tail = sa.tolist(), (ends - 1).tolist()
+    # the character to the left, -1 where it is of the other kind; entry n stands for none yet
+    left[n] = -1
+    of = left.copy()
+    of[1:n][smaller[:-1]] = -1
+    of, head = [*of.tolist()], np.append(0, ends[:-1]).tolist()
+    for x in sa:
+        c = of[x]
+        if c >= 0:
+            h = head[c]
+            sa[h] = x - 1
+            head[c] = h + 1
+    left[1:n][~smaller[:-1]] = -1
+    of = left.tolist()
+    for x in reversed(sa):
+        c = of[x]
+        if c >= 0:
+            h = tail[c]
+            sa[h] = x - 1
+            tail[c] = h - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -149,33 +157,32 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     else:
         values, codes = np.unique(text, return_inverse=True)
         top = len(values)
-    if top > ALPHABET:
-        return doubled(codes.astype(np.int64))
-    t = np.zeros(n + 1, np.uint8 if top < 256 else np.uint16)
+    scan = induce_each if top > ALPHABET else induce
+    t = np.zeros(n + 1, np.uint8 if top < 256 else np.uint32)
     t[:n] = codes + 1
     # smaller than the right neighbour; equal characters take the neighbour's kind
     step = np.zeros(n + 1, np.int8)
-    step[:n] = np.sign(t[1:].astype(np.int32) - t[:-1])
+    step[:n] = np.sign(t[1:].astype(np.int64) - t[:-1])
     step[n] = 1
     at = np.where(step != 0, np.arange(n + 1), n)
     smaller = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     by_char = lms[np.argsort(t[lms], kind="stable")]
-    rough = induce(t, smaller, by_char, top)
+    rough = scan(t, smaller, by_char, top)
     is_lms = np.zeros(n + 1, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
     # names of equal LMS substrings are equal
     length = np.ones(n + 1, np.int64)
     length[lms[:-1]] = np.diff(lms) + 1
-    wide = t.view(np.uint8) if t.itemsize == 1 else t.astype("<u2").view(np.uint8)
+    wide = t.view(np.uint8) if t.itemsize == 1 else t.astype("<u4").view(np.uint8)
     keys = hash_spans(padded(wide), ordered * t.itemsize, length[ordered] * t.itemsize)
     names = np.empty(n + 1, np.int64)
     names[ordered] = np.cumsum(np.append(False, (keys[1:] != keys[:-1]) | (length[ordered][1:] != length[ordered][:-1])))
     reduced = names[lms]
     if reduced.max() + 1 < len(lms):
         ordered = lms[suffix_array(reduced)]
-    return induce(t, smaller, ordered, top)[1:]
+    return scan(t, smaller, ordered, top)[1:]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,13 +32,28 @@ def test_suffix_array_and_prefixes(seed):
         assert (plcp[y], phi[y]) == (k, x)
 
 
-def test_doubling_of_large_alphabets(monkeypatch):
+def test_large_alphabets(monkeypatch):
     monkeypatch.setattr(suffixes, "ALPHABET", 3)
     r = random.Random(5)
     t = [r.randrange(6) for _ in range(300)] * 2
     assert suffixes.suffix_array(np.array(t)).tolist() == naive(t)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_both_scans_agree_at_every_level(seed, monkeypatch):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(40)]
+    text = np.frombuffer(" ".join(r.choice(words) for _ in range(r.randint(1, 900))).encode() * (1 + seed % 3), np.uint8)
+    levels = []
+    own = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda t: levels.append(len(t)) or own(t))
+    expected = naive(text.tolist())
+    for alphabet in (10**9, 512, 20, 0):
+        monkeypatch.setattr(suffixes, "ALPHABET", alphabet)
+        assert own(text).tolist() == expected
+    assert len(levels) >= 4 or len(text) < 100
+
+
 def brute(docs, length=200):
     seen = Counter()
     raws = [(t or "").encode() for _, t in docs]
