@@ -50,8 +50,8 @@ from bagloom.llm.katz import BLOBS, NAMES, deltas, rows, shard_of, sums
 
 LENGTH, KEY, HOT, CHUNK, ALPHABET = 200, 64, 20_000, 5 << 20, 512
 TEXT, ASKED, ANSWER, PIECES, FOUND, WINDOWS, WINDOW_ANSWER = range(7)
-#: parts of the pieces' exchange for each shard, so that a suffix array's working set stays small
-FINER = 8
+#: parts of the pieces' exchange for each shard, so that a suffix array's working set stays small and in the caches
+FINER = 20
 
 
 # ---- suffix arrays -------------------------------------------------------------------
