@@ -13,8 +13,10 @@ of their deviations. Each shot is a clip row with start and end in seconds.
 
 Defined results: null or empty texts are one frame of bytes 255. Equal texts give equal
 files, hence equal values; repeated rows are kept. Extra columns are ignored. A file
-whose index is broken, or whose frames end early or hold an unknown code, raises ValueError; a
-flipped bit may decode to other bytes unnoticed, since frames carry no checksum.
+raises ValueError if its length or index is broken, if a frame has other tables than these,
+an unknown code, or a scan longer or shorter than its codes, or if the `crc ` chunk at its
+end (CRC-32 of all bytes before that chunk) differs. Files without that chunk, as other
+programs write them, are read without the last check.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ def frame_header() -> bytes:
 
 
 HEADER = frame_header()
+#: marker segments that a frame may hold, as they must be: start of frame, table, start of scan
+SEGMENTS = {0xC3: HEADER[4:15], 0xC4: HEADER[17 : 17 + 2 + 1 + 16 + CLASSES], 0xDA: HEADER[-8:]}
 
 
 def differences(frames: np.ndarray) -> np.ndarray:
@@ -111,24 +115,32 @@ def avi(frames: list[bytes]) -> bytes:
         index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(f)))
         at += 8 + len(p)
     body = b"AVI " + header + lists(b"movi", b"".join(movie)) + chunk(b"idx1", b"".join(index))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    media = b"RIFF" + struct.pack("<I", len(body) + 12) + body
+    return media + chunk(b"crc ", struct.pack("<I", zlib.crc32(media)))
 
 
 def frame_places(media: bytes) -> list[tuple[int, int]]:
     """(place, length) of each frame, by the file's own index."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    if int.from_bytes(media[4:8], "little") + 8 != len(media):
+        raise ValueError("a file of another length than it says")
+    if media[-12:-4] == b"crc \4\0\0\0" and zlib.crc32(media[:-12]) != int.from_bytes(media[-4:], "little"):
+        raise ValueError("a checksum that differs")
     at, movie, index = 12, None, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
         if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
             movie = at + 8
-        elif name == b"idx1":
+        elif name == b"idx1" and at + 8 + size <= len(media):
             index = np.frombuffer(media, np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), size // 16, at + 8)
         at += 8 + size + (size & 1)
     if movie is None or index is None:
         raise ValueError("no frames or no index")
-    return [(movie + a + 8, s) for name, a, s in zip(index["name"].tolist(), index["at"].tolist(), index["size"].tolist(), strict=True) if name == b"00dc"]
+    places = [(movie + a + 8, s) for name, a, s in zip(index["name"].tolist(), index["at"].tolist(), index["size"].tolist(), strict=True) if name == b"00dc"]
+    if any(a + s > len(media) for a, s in places):
+        raise ValueError("an index that points behind the file")
+    return places
 
 
 def scan_start(media: bytes, at: int, known: dict[bytes, int]) -> int:
@@ -139,12 +151,11 @@ def scan_start(media: bytes, at: int, known: dict[bytes, int]) -> int:
     if media[at:i] != b"\xff\xd8":
         raise ValueError("a frame without a start marker")
     while True:
-        mark, size = media[i + 1], int.from_bytes(media[i + 2 : i + 4], "big")
-        body = media[i + 4 : i + 2 + size]
-        if media[i] != 0xFF or (mark == 0xC3 and body[:5] != struct.pack(">BHH", 8, SIDE, SIDE)) or (mark == 0xC4 and body[1:17] != bytes([0, 0, 0, CLASSES] + [0] * 12)):
+        mark, size = media[i + 1 : i + 2], int.from_bytes(media[i + 2 : i + 4], "big")
+        if media[i : i + 1] != b"\xff" or size < 2 or not mark or SEGMENTS.get(mark[0]) != media[i + 2 : i + 2 + size]:
             raise ValueError("a frame of another kind")
         i += 2 + size
-        if mark == 0xDA:
+        if mark == b"\xda":
             known[media[at:i]] = i - at
             return i
 
@@ -157,7 +168,8 @@ def decode_frames(parts: list[bytes]) -> np.ndarray:
     keep[1:] = ~((raw[1:] == 0) & (raw[:-1] == 255))
     keep[-8:] = True
     place = np.cumsum(keep) - keep
-    starts = place[np.cumsum(sizes) - sizes]
+    ends = np.cumsum(sizes)
+    starts, stops = place[ends - sizes], place[ends]
     data = raw[keep]
     # the 32 bits from each byte on, so that one look-up a sample suffices
     wide = data[:-3].astype(np.uint32)
@@ -168,12 +180,15 @@ def decode_frames(parts: list[bytes]) -> np.ndarray:
     for i in range(FRAME):
         word = wide[bit >> 3] << (bit & 7).astype(np.uint32)
         size = (word >> np.uint32(28)).astype(np.int64)
-        if i == 0 and len(size) and size.max() >= CLASSES:
-            raise ValueError("a broken frame")
+        if len(size) and size.max() >= CLASSES:
+            raise ValueError("a frame with an unknown code")
         extra = ((word << np.uint32(4)) >> (np.uint32(31) - size.astype(np.uint32)) >> np.uint32(1)).astype(np.int16)
         half = ((1 << size) >> 1).astype(np.int16)
         out[i] = np.where(extra < half, extra - (1 << size).astype(np.int16) + 1, extra)
-        bit = bit + 4 + size
+        # a broken scan may run on, but not beyond the buffer
+        bit = np.minimum(bit + 4 + size, len(wide) * 8 - 1)
+    if ((bit + 7) >> 3 != stops).any():
+        raise ValueError("a scan of another length than its codes")
     d = np.ascontiguousarray(out.T).reshape(-1, SIDE, SIDE)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)

@@ -157,6 +157,54 @@ def test_avi_digests(spark):
     assert mjpeg.digests(empty(spark)).count() == 0
 
 
+def test_avi_flipped_bits():
+    r = random.Random(4)
+    want = mjpeg.padded_payload(bytes(r.randrange(256) for _ in range(900)))
+    media = mjpeg.store([want])[0]
+    for at in r.sample(range(8 * len(media)), 1500):
+        broken = bytearray(media)
+        broken[at // 8] ^= 1 << at % 8
+        try:
+            got = mjpeg.load([bytes(broken)])[0].tobytes()
+        except ValueError:
+            continue
+        # only the checksum's own name or size was hit
+        assert got == want.tobytes() and len(media) - 12 <= at // 8 < len(media) - 4
+    for end in range(0, len(media), 7):
+        with pytest.raises(ValueError):
+            mjpeg.load([media[:end]])
+
+
+def test_avi_frames_without_a_checksum():
+    want = mjpeg.padded_payload(b"some text " * 200)
+    media = mjpeg.store([want])[0]
+    bare = media[:4] + (len(media) - 20).to_bytes(4, "little") + media[8:-12]
+    assert mjpeg.load([bare])[0].tobytes() == want.tobytes()
+    scan = bare.index(mjpeg.HEADER) + len(mjpeg.HEADER)
+    for broken in (bare[:scan] + b"\xf0" + bare[scan + 1 :], bare[: scan - 30] + b"\x07" + bare[scan - 29 :]):
+        with pytest.raises(ValueError):
+            mjpeg.load([broken])
+
+
+def test_avi_equal_texts_and_features(spark):
+    r = random.Random(9)
+    texts = ["".join(chr(r.randrange(32, 300)) for _ in range(n)) for n in (1, 575, 576, 2000, 9000)] + ["a" * 3000 + "ÿ" * 3000 + "b" * 3000, None, ""]
+    rows = mjpeg.digests(spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")).collect()
+    by = {x["doc_id"]: x for x in rows}
+    for i, text in enumerate(texts):
+        assert by[i][1:] == by[i + len(texts)][1:]
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        frames = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+        bins = [[sum(1 for x in f if x // 16 == b) for b in range(16)] for f in frames]
+        gaps = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 1152 for a, b in zip(bins, bins[1:], strict=False)]
+        at = [0, *mjpeg.cuts(np.array(gaps)), len(frames)]
+        clips = ",".join(f"{a}-{b}" for a, b in zip(at, at[1:], strict=False))
+        media = mjpeg.store([np.frombuffer(payload, np.uint8)])[0]
+        assert by[i]["feature"] == f"frames={len(frames)};shots={len(at) - 1};clips={clips}" and by[i]["media_sha256"] == hashlib.sha256(media).hexdigest()
+        assert (by[i]["n_bytes"], by[i]["payload_bytes"], by[i]["media_bytes"]) == (len(raw), len(payload), len(media))
+
+
 def test_cuts_adapt():
     calm = [0.05] * 20
     assert mjpeg.cuts(np.array([*calm, 0.9, *calm])) == [21]
