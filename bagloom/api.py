@@ -33,7 +33,7 @@ class Session:
         return Lowering(spark, bindings, self.macros, self.monoids, self.functions, lineage)
 
     def q(self, text: str, **bindings: Any) -> DataFrame:
-        """A query's bag, or one row with column `value` (`_1`, `_2`, ... for tuples) of a scalar."""
+        """A query's bag, or one row with column `value` (`_1`, `_2`, ... for tuples) of a scalar. A repeat whose state is several bags gives a tuple of them."""
         return self.lowering(bindings).run(parse_query(text, set(self.monoids)))
 
     def value(self, text: str, **bindings: Any) -> Any:

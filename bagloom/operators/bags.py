@@ -97,12 +97,12 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
 def multiply_grid(a: DataFrame, b: DataFrame, rows: int = 10, columns: int = 10) -> DataFrame:
     """The product on a grid of cells: rows of a go to every column of their grid row, columns of b to every row.
 
-    Each cell joins and sums what it has, so no partial sum is shuffled. It pays where the
-    products outnumber the cells' inputs by far; else multiply() moves less.
+    A row or column that holds a large part of all entries is spread over a grid row or column of
+    cells. Both sides are copied, and the sums have an exchange of their own as in multiply(),
+    which moves less where no index is that frequent.
     """
     x = a.withColumn("__r", F.pmod(F.xxhash64("i"), F.lit(rows))).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<bigint>")))
     y = b.toDF("__j", "k", "__v").withColumn("__c", F.pmod(F.xxhash64("k"), F.lit(columns))).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
-    x, y = x.repartition(rows * columns, "__r", "__c"), y.repartition(rows * columns, "__r", "__c")
     both = x.join(y.withColumnsRenamed({"__r": "__r2", "__c": "__c2"}), [F.col("__r") == F.col("__r2"), F.col("__c") == F.col("__c2"), F.col("j") == F.col("__j")])
     return both.groupBy("__r", "__c", "i", "k").agg(F.sum(F.col("v") * F.col("__v")).alias("v")).select("i", F.col("k").alias("j"), "v")
 

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ from bagloom.functions.monoids import STANDARD, Monoid
 from bagloom.lang.tree import (
     Bin, Bind, Call, Desc, Field, Fun, Gen, Group, If, Index, Let, Lit, Match, Method, PAny, PAs, PCons, PLit, PMake, Pred, PTup, PVar, Quant, QueryError, Rec, Reduce, Repeat, Select, Seq, Tup, Un, Var, children, free, pattern_vars, qual_vars, rebuilt, substitute,
 )
+from bagloom.sources.scans import lines, whole_files
 from bagloom.sources.staging import staged
 
 #: a small-side mark is a hint for sides that the optimizer estimates at this size or less
@@ -50,6 +51,11 @@ class Rowed:
     parts: tuple[Any, ...]
 
 
+@dataclass(frozen=True)
+class Only(Rowed):
+    """An element of a bag with one column: its value, which may also be reached by the column's name."""
+
+
 @dataclass(frozen=True)
 class Rel:
     df: DataFrame
@@ -110,7 +116,7 @@ def leaves(v: Any) -> list[Column]:
 
 
 def relabel(v: Any, make: Callable[[Col], Col]) -> Any:
-    return Rowed(v.names, tuple(relabel(p, make) for p in v.parts)) if isinstance(v, Rowed) else make(v)
+    return replace(v, parts=tuple(relabel(p, make) for p in v.parts)) if isinstance(v, Rowed) else make(v)
 
 
 class Lowering:
@@ -119,6 +125,8 @@ class Lowering:
         self.monoids, self.functions = STANDARD | (monoids or {}), FUNCTIONS | (functions or {})
         self.globals = {k: self.bound(k, v) for k, v in bindings.items()}
         self.traced: list[str] = []
+        #: names of the columns of one-column bags
+        self.alone: set[str] = set()
 
     def bound(self, name: str, v: Any) -> Any:
         if isinstance(v, DataFrame):
@@ -145,6 +153,8 @@ class Lowering:
 
     # ---- types ----
     def kind(self, v: Any, f: Frame | None) -> T.DataType | None:
+        if isinstance(v, Only):
+            return self.kind(v.parts[0], f)
         if isinstance(v, Rowed):
             return T.StructType([T.StructField(n, self.kind(p, f) or T.NullType()) for n, p in zip(v.names, v.parts, strict=True)])
         if v.kind is None and f is not None:
@@ -160,9 +170,16 @@ class Lowering:
     # ---- elements ----
     def element(self, df: DataFrame) -> Any:
         parts = [Col(F.col(c.name), c.dataType) for c in df.schema]
-        return parts[0] if df.columns == ["value"] else Rowed(tuple(df.columns), tuple(parts))
+        if df.columns == ["value"]:
+            return parts[0]
+        if len(parts) == 1:
+            self.alone.add(df.columns[0])
+            return Only(tuple(df.columns), tuple(parts))
+        return Rowed(tuple(df.columns), tuple(parts))
 
     def column(self, v: Any) -> Column:
+        if isinstance(v, Only):
+            return self.column(v.parts[0])
         if isinstance(v, Rowed):
             return F.struct(*(self.column(p).alias(n) for n, p in zip(v.names, v.parts, strict=True)))
         if isinstance(v, Py):
@@ -234,6 +251,8 @@ class Lowering:
                 return top or any(self.is_relation(q.domain, inner) for q in quals if isinstance(q, Gen)) or e.group is not None
             case Seq() | Call("range", _):
                 return top
+            case Call("lines" | "parquet" | "wholeFiles" as name, (_,)):
+                return self.scans(name)
             case Bin("union" | "intersect" | "minus" | "++", a, b):
                 return self.is_relation(a, env, top) or self.is_relation(b, env, top)
             case Method(of, "map" | "filter" | "flatMap" | "distinct" | "take" | "toList" | "zipWithIndex", _):
@@ -285,6 +304,9 @@ class Lowering:
             case Call("range", args):
                 low, high, *step = (self.scalar(a, env) for a in args)
                 return self.spark.range(int(low), int(high) + 1, int(step[0]) if step else 1).toDF("value")
+            case Call("lines" | "parquet" | "wholeFiles" as name, (path,)) if self.scans(name):
+                at = str(self.scalar(path, env))
+                return whole_files(self.spark, at) if name == "wholeFiles" else lines(self.spark, at) if name == "lines" else self.spark.read.parquet(at)
             case Seq():
                 frame = Frame(self.spark.range(1).toDF("one"), dict(env))
                 return self.exploded(frame.df.select(F.explode(self.column(self.value(e, frame))).alias("value")))
@@ -327,6 +349,10 @@ class Lowering:
                 return out if isinstance(out, DataFrame) else self.local(out)
         raise QueryError(f"not a bag: {e}")
 
+    def scans(self, name: str) -> bool:
+        """Whether a call of this name is a scan, and not a function that the session or the query brings."""
+        return name not in self.globals and name not in self.functions
+
     def local(self, rows: list) -> DataFrame:
         if not rows:
             raise QueryError("an empty list has no type; give a DataFrame")
@@ -426,7 +452,7 @@ class Lowering:
             v = relabel(v, lambda c: Col(F.col(next(cols)), c.kind))
             if self.lineage:
                 mark = fresh("lineage")
-                df = df.withColumn(mark, F.struct(F.lit(name).alias("source"), F.to_json(self.column(v) if isinstance(v, Rowed) else F.struct(v.c.alias("value"))).alias("row")))
+                df = df.withColumn(mark, F.struct(F.lit(name).alias("source"), F.to_json(F.struct(*self.output(v))).alias("row")))
                 f.trail.append(mark)
             if q.small and small(df):
                 df = F.broadcast(df)
@@ -704,6 +730,8 @@ class Lowering:
         e = self.expand(e)
         if isinstance(e, Repeat):
             out = self.repeat(e, {})
+            if isinstance(out, tuple) and any(isinstance(x, (DataFrame, list)) for x in out):
+                return tuple(self.local(x) if isinstance(x, list) else x for x in out)
             return out if isinstance(out, DataFrame) else self.local(out) if isinstance(out, list) else self.spark.createDataFrame([out if isinstance(out, tuple) else (out,)], ["value"] if not isinstance(out, tuple) else None)
         if self.is_relation(e, {}, not isinstance(e, (Seq, Field, Method))) or (isinstance(e, Method) and self.is_relation(e, {})):
             return self.relation(e)
@@ -985,6 +1013,8 @@ class Lowering:
             if hasattr(v.value, name) and not isinstance(v.value, list):
                 return self.bound(name, getattr(v.value, name))
         kind = self.kind(v, f) if isinstance(v, Col) else None
+        if name in self.alone and isinstance(kind, T.AtomicType):
+            return v
         if isinstance(kind, T.StructType):
             if name not in kind.names and name[0] == "_" and name[1:].isdigit():
                 name = kind.names[int(name[1:]) - 1]
@@ -1075,7 +1105,7 @@ class Lowering:
                 x = fresh("x")
                 return self.value(Quant(False, (Gen(PVar(x), b),), Bin("==", Var(x), a)), f)
             return Col(F.array_contains(self.column(self.value(b, f)), self.column(self.value(a, f))), T.BooleanType())
-        x, y = self.value(a, f), self.value(b, f)
+        x, y = (v.parts[0] if isinstance(v, Only) else v for v in (self.value(a, f), self.value(b, f)))
         if op in ("==", "!=") and isinstance(x, Rowed) and isinstance(y, Rowed) and len(x.parts) == len(y.parts):
             same = all_of([p == q for p, q in zip(leaves(x), leaves(y), strict=True)])
             return Col(same if op == "==" else ~same, T.BooleanType())
@@ -1172,6 +1202,16 @@ def small(df: DataFrame) -> bool:
 
 
 def indexed(df: DataFrame, start: int = 0) -> DataFrame:
-    """(i, row columns): positions in the order of the rows' partitions; one count per partition reaches the driver."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0]))
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("i", T.LongType()), *df.schema.fields]))
+    """(i, row columns): positions in the order of the rows' partitions.
+
+    The rows are staged with Spark's ids (partition and place in it), so that a partition that is
+    computed again keeps its numbers; one count per partition then gives the offsets.
+    """
+    mark, part, before = fresh("id"), fresh("part"), fresh("before")
+    rows = staged(df.withColumn(mark, F.monotonically_increasing_id()))
+    counts = rows.groupBy(F.shiftright(mark, 33).alias(part)).agg(F.count(F.lit(1)).alias(before))
+    # one row per partition
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    place = F.col(before) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(start)
+    return rows.join(F.broadcast(offsets), F.shiftright(mark, 33) == F.col(part)).select(place.alias("i"), *(rows[c] for c in df.columns))

@@ -56,13 +56,12 @@ def inclusive_range(spark: SparkSession, low: int, high: int, step: int = 1) ->
 def vector(df: DataFrame, order: list[str] | None = None, start: int = 0) -> DataFrame:
     """(i, v) of a bag: positions in a given order, or else in that of the partitions. v is a struct unless there is one column.
 
-    Both ways are distributed: a range-partitioned sort, then one count per partition.
+    Both ways are distributed: a range-partitioned sort, then one count per partition of the staged rows.
     """
     from bagloom.plans.lower import indexed
 
-    out = indexed(df.orderBy(*order) if order else df, start)
     v = F.col(df.columns[0]) if len(df.columns) == 1 else F.struct(*df.columns)
-    return out.select("i", v.alias("v"))
+    return indexed((df.orderBy(*order) if order else df).select(v.alias("v")), start)
 
 
 def matrix(df: DataFrame, i: str, j: str, v: str) -> DataFrame:

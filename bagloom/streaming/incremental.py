@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from bagloom.functions.monoids import STANDARD
 from bagloom.lang.parsing import parse_query
-from bagloom.lang.tree import Gen, Quant, Reduce, Repeat, Select, Var, children, free, pattern_vars, qual_vars
+from bagloom.lang.tree import Gen, PVar, Quant, Reduce, Repeat, Select, Var, children, free, pattern_vars, qual_vars
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,18 @@ class Analysis:
         return not self.reasons
 
 
+def whole(bag: Var) -> Select:
+    """A bag's name as the comprehension of its elements."""
+    return Select(Var("x"), (Gen(PVar("x"), bag),))
+
+
 def analyse(e: Any, streams: set[str], monoids: dict) -> Analysis:
     known = STANDARD | monoids
     reasons: list[str] = []
     used: list[str] = []
     if isinstance(e, Reduce) and isinstance(e.of, (Select, Var)):
         used.append(e.op)
-        body = e.of if isinstance(e.of, Select) else Select(Var("x"), (Gen(__import__("bagloom.lang.tree", fromlist=["PVar"]).PVar("x"), e.of),))
+        body = e.of if isinstance(e.of, Select) else whole(e.of)
     else:
         body = e
     if not isinstance(body, Select):
@@ -88,13 +93,8 @@ def incremental(text: str, bindings: dict[str, Any], session: Any) -> DataFrame:
     if not found.incremental:
         raise ValueError("not incremental: " + "; ".join(found.reasons))
     if isinstance(e, Reduce):
-        from bagloom.lang.tree import Group, Lit, PAny
-
-        body = e.of if isinstance(e.of, Select) else None
-        if body is None:
-            raise ValueError("not incremental: reduce a select")
+        body = e.of if isinstance(e.of, Select) else whole(e.of)
         frame, head, _ = low.comprehend(Select(body.head, body.quals, group=None), None, {})
-        del Group, Lit, PAny
         m = low.monoid(e.op)
         return frame.df.agg(m.aggregate(low.column(head)).alias("value"))
     return low.run(e)

@@ -387,3 +387,57 @@ def _factors_sql(steps: int) -> str:
 
 
 program("matrix_factorization", "var U: matrix[Double] = matrix(); var W: matrix[Double] = matrix(); var gap: matrix[Double] = matrix(); var down: matrix[Double] = matrix(); var across: matrix[Double] = matrix(); for k = 0, 1 do { for i = 0, 5 do U[i,k] := (i + k + 1) / 10.0; for j = 0, 4 do W[j,k] := (k + 2 * j + 1) / 10.0; }; var t: Int = 0; while (t < 4) { for i = 0, 5 do for j = 0, 4 do gap[i,j] := X[i,j]; for i = 0, 5 do for j = 0, 4 do for k = 0, 1 do gap[i,j] += 0.0 - U[i,k] * W[j,k]; for i = 0, 5 do for k = 0, 1 do down[i,k] := 0.0 - 0.02 * U[i,k]; for j = 0, 4 do for k = 0, 1 do across[j,k] := 0.0 - 0.02 * W[j,k]; for i = 0, 5 do for j = 0, 4 do for k = 0, 1 do { down[i,k] += 2.0 * gap[i,j] * W[j,k]; across[j,k] += 2.0 * gap[i,j] * U[i,k]; }; for i = 0, 5 do for k = 0, 1 do U[i,k] += 0.01 * down[i,k]; for j = 0, 4 do for k = 0, 1 do W[j,k] += 0.01 * across[j,k]; t += 1; };", "W", _factors_sql(4), lambda t: {"X": t["lineitem"].groupBy((F.col("l_suppkey") % 6).alias("i"), (F.col("l_partkey") % 5).alias("j")).agg((F.avg("l_quantity") / 50).alias("v"))}, places=6)
+
+
+# ---- bags of one column, states of several bags, scans and strings inside queries ----
+
+
+def _one(t: Lazy) -> DataFrame:
+    return t["lineitem"].select("l_quantity")
+
+
+query("one_column_total", "(+/Q, max/(select x + .5 from x <- Q where x > 10.0), count/Q)", "s m n", "SELECT round(sum(l_quantity), 4) AS s, max(l_quantity) + 0.5 AS m, count(*) AS n FROM lineitem", bind={"Q": lambda t: _one(t)})
+query("one_column_group", "select (k, +/x, count/x) from x <- Q group by k: x % 7.0", "k s n", "SELECT l_quantity % 7 AS k, round(sum(l_quantity), 4) AS s, count(*) AS n FROM lineitem GROUP BY 1", bind={"Q": lambda t: _one(t)})
+query("broadcast_cross", "select (s.s_suppkey, r.r_name) from s <- supplier, r <-- region", "k r", "SELECT s_suppkey AS k, r_name AS r FROM supplier, region")
+query("broadcast_theta", "select (c.c_custkey, n.n_name) from c <- customer, n <-- nation where c.c_nationkey < n.n_nationkey && n.n_regionkey == 3", "k n", "SELECT c_custkey AS k, n_name AS n FROM customer, nation WHERE c_nationkey < n_nationkey AND n_regionkey = 3")
+query("cons_cells", "select (n.n_nationkey, +/(n.n_nationkey::List(n.n_regionkey, 100))) from n <- nation", "k s", "SELECT n_nationkey AS k, n_nationkey + n_regionkey + 100 AS s FROM nation")
+query("symbol_operator", "select (s, <+>/p) from o <- orders, p = o.o_totalprice group by s: o.o_orderstatus", "s m", "SELECT o_orderstatus AS s, round(max(o_totalprice), 4) AS m FROM orders GROUP BY 1", monoids=(lambda: ("<+>", F.greatest, None, F.max),))
+query("split_words", 'select (w, count/d) from d <- documents, w <- d.text.split(" ") group by w: w', "w n", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1")
+
+
+def _scan_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.api import Session
+
+    return rounded(Session().q("select (k, +/o.o_totalprice) from o <- parquet(path) group by k: o.o_orderpriority", spark=spark, path=f"{sf_dir}/orders.parquet").toDF("k", "s"), 2)
+
+
+QUERIES["scan_in_query"], ORACLE_SQL["scan_in_query"] = _scan_call, "SELECT o_orderpriority AS k, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1"
+
+
+def _two_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hubs and authorities without scaling: nations and segments weigh each other over customers, both bags being the state."""
+    from bagloom.api import Session
+
+    text = """repeat (a, b) = ((select (n.n_nationkey, 1) from n <- nation), (select distinct (c.c_mktsegment, 1) from c <- customer))
+        step ((select (k, +/w) from c <- customer, (s, w) <- b where c.c_mktsegment == s group by k: c.c_nationkey),
+              (select (k, max/w) from c <- customer, (n, w) <- a where c.c_nationkey == n group by k: c.c_mktsegment)) limit 2"""
+    a, b = Session().q(text, spark=spark, **Lazy(spark, sf_dir).named(text))
+    return a.select(F.col("_1").cast("string").alias("k"), F.col("_2").cast("long").alias("w")).unionByName(b.select(F.col("_1").alias("k"), F.col("_2").cast("long").alias("w")))
+
+
+QUERIES["repeat_two_bags"], ORACLE_SQL["repeat_two_bags"] = _two_bags, """WITH a1 AS (SELECT c_nationkey AS n, count(*) AS w FROM customer GROUP BY 1),
+    b1 AS (SELECT DISTINCT c_mktsegment AS s, 1 AS w FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)),
+    a2 AS (SELECT c_nationkey AS n, sum(b1.w) AS w FROM customer JOIN b1 ON s = c_mktsegment GROUP BY 1),
+    b2 AS (SELECT c_mktsegment AS s, max(a1.w) AS w FROM customer JOIN a1 ON n = c_nationkey GROUP BY 1)
+    SELECT n::VARCHAR AS k, w::BIGINT AS w FROM a2 UNION ALL SELECT s, w::BIGINT FROM b2"""
+
+
+def _small_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bagloom.operators.bags import cogroup_small
+
+    t = Lazy(spark, sf_dir)
+    nation = t["nation"].select(F.col("n_nationkey").alias("k"), "n_name")
+    return cogroup_small(t["customer"].select(F.col("c_nationkey").alias("k"), "c_acctbal"), nation, ["k"], [F.count("k").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("s")])
+
+
+QUERIES["cogroup_small"], ORACLE_SQL["cogroup_small"] = _small_cogroup, "SELECT n_nationkey AS k, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"

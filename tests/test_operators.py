@@ -99,3 +99,31 @@ def test_streams(spark, tmp_path):
     found = analyse(parse_query(text), {"S"}, {})
     assert found.incremental and found.mode == "update" and set(found.monoids) == {"+", "count", "max"}
     assert stream("select s.x from s <- S", S=live, spark=spark).isStreaming
+
+
+def test_bags_of_one_column(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("ab c\nd\n")
+    bound = {"X": spark.createDataFrame([(3,), (1,), (4,), (None,)], "i long"), "Y": spark.createDataFrame([([1, 2],), ([],)], "xs array<long>"), "path": str(tmp_path / "l.txt")}
+    go = lambda text: rows(Session().q(text, spark=spark, **bound))
+    assert go("+/X") == go("+/(select x.i from x <- X)") == go("+/(select x from x <- X)") == [(8,)]
+    assert go("select (x + 1, x.i * .5) from x <- X where x > 1") == [(4, 1.5), (5, 2.0)]
+    assert go("select (k, (select a.i * 2 from a <- x)) from x <- X where x > 0 group by k: x % 2") == [(0, [8]), (1, [6, 2])]
+    assert go("select v from xs <- Y, v <- xs") == [(1,), (2,)]
+    assert go("4 member X") == [(True,)] and Session().q("select x from x <- X", spark=spark, **bound).columns == ["i"]
+    assert go("select l from l <- lines(path)") == [("ab c",), ("d",)] and go("count/wholeFiles(path)") == [(1,)]
+    shadowed = Session()
+    shadowed.function("lines", lambda c: c + 1)
+    assert rows(shadowed.q("select lines(x) from x <- X where x > 3", spark=spark, **bound)) == [(5,)]
+
+
+def test_state_of_two_bags(spark):
+    bound = {"X": spark.createDataFrame([(4,), (5,)], "i long"), "Y": spark.createDataFrame([(1,), (4,)], "k long")}
+    a, b = Session().q("repeat (a, b) = ((select x from x <- X), (select y from y <- Y)) step ((select u * 2 from u <- b), (select v + 1 from v <- a)) limit 2", spark=spark, **bound)
+    assert rows(a) == [(10,), (12,)] and rows(b) == [(3,), (9,)]
+
+
+def test_positions_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as z", "cast(id as string) as i").repartition(7, "z")
+    got = scans.vector(df, ["z"], start=3).collect()
+    assert sorted((r["i"], r["v"]["z"]) for r in got) == [(k + 3, k) for k in range(1000)]
+    assert scans.vector(spark.range(0)).count() == 0
