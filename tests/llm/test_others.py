@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagloom.llm import kneser_ney, merkle, mixing, mjpeg, packing, queries, secrets, url_trees
+from bagloom.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -503,3 +505,11 @@ def test_whole_trees_against_sql_and_a_short_shared_passage(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(result, key=repr)
     assert next(r["near_next"] for r in got if r["doc_id"] == 20) == 1 / 2000
     assert merkle.compare_trees(empty(spark)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, _jsc=jvm))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
