@@ -1,5 +1,7 @@
 """Fluent operators, sources, sinks and streams."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from bagloom.api import Session, stream
 from bagloom.operators import bags
 from bagloom.operators.lineage import search_input, search_output, why
 from bagloom.sources import scans, sinks
+from bagloom.sources.staging import shared_dir
 from bagloom.streaming.incremental import analyse, drained
 
 
@@ -127,3 +130,11 @@ def test_positions_do_not_depend_on_partitions(spark):
     got = scans.vector(df, ["z"], start=3).collect()
     assert sorted((r["i"], r["v"]["z"]) for r in got) == [(k + 3, k) for k in range(1000)]
     assert scans.vector(spark.range(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    jvm = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, _jsc=jvm))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
