@@ -7,28 +7,35 @@ sees windows of 48 characters of a candidate and 24 characters on either side, a
 classes: an embedding, one convolution of width 5, maximum and mean over places, one hidden
 layer. Windows overlap by half and cover the whole candidate, whose score is their greatest.
 
-It is trained in numpy on labelled windows of all documents, bounded to the `sample`
-smallest hashes of each label: values of base findings are positive; runs that no base
-finding touches are negative. Each positive also gives a bare one: its value drawn anew
-(hexadecimal, base 62 or base 64, 20 characters or more) in the surroundings of a negative,
-so that neither a key word before it nor the base patterns' alphabet decides; four ordinary
-words of each text with candidates are negatives too, and lend their surroundings. A third of
-the findings is held back with its bare ones: they set the threshold, the highest that
-keeps `recall` of the held-back positives, and nothing else; a logistic fit on them turns
-scores into probabilities. `Network.report` has recall, recall of bare ones and precision.
+It is trained in numpy on every labelled window of all documents, copies counted: values of
+base findings are positive, candidates are negative, so it learns from all that it judges.
+Each pass gives each negative a bare one: a value drawn anew (hexadecimal, base 62 or base 64,
+20 characters or more) in its surroundings, so that neither a key word before it nor the base
+patterns' alphabet decides. A third of the distinct windows, by hash, is held back with its
+bare ones: they set the threshold, the highest step of 1 / STEPS of the logit that keeps
+`recall` of the held-back positives, and nothing else; a logistic fit on them turns scores into
+probabilities. `Network.report` has recall, recall of bare ones, precision and the numbers of windows.
+
+The windows are dealt over shards of about `rows` (at most MOST shards, which then grow), copies
+of one window over all of them. In each round every shard starts from the same parameters and
+passes over all its windows; the mean of the shards' parameters, weighted by their windows,
+starts the next round. Scores of held-back windows are counted by step in each shard, so only
+parameters and counts reach the driver. The same documents give the same shards in any partitioning.
 
 What the network adds has kind `model` and never touches a base span; base findings are
 scored too (`base_probability`: the least of a text's) and stay whatever their score.
 
 Defined results: null texts count as empty and have no spans. Offsets are code points.
-Repeated rows are scanned each; extra columns are ignored; without positive findings in
-the sample the network adds nothing.
+Repeated rows are scanned each; extra columns are ignored; without both labels among the
+windows to learn from, or without held-back ones, the network adds nothing.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bagloom.llm.common import Tables, lean, slices, utf8
+from bagloom.llm.common import Tables, lean, lean_group, pack, slices, unpack, utf8
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-WORD = re.compile(r"(?<=\s)[^\s]+")
 KINDS = ("assign", "access", "hex", "model")
 #: least length of a candidate run
 LEAST = 16
@@ -48,7 +54,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 BEFORE, INSIDE, AFTER = 24, 48, 24
 WIDE = BEFORE + INSIDE + AFTER
 STEP = INSIDE // 2
-SAMPLE, RECALL, FEW = 4000, 0.98, 300
+RECALL = 0.98
+#: rounds of training, Adam steps of a shard in all of them at least, windows of a step
+ROUNDS, LEAST_STEPS, BATCH = 8, 700, 64
+#: windows of a shard, and the most shards
+ROWS, MOST = 8192, 512
+#: steps of the logit by which held-back scores are counted
+STEPS = 256
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
 HEXADECIMAL = np.zeros(256, bool)
@@ -176,35 +188,58 @@ class Network:
         flat = u.reshape(len(da), -1)
         g |= {"c": flat.T @ da, "cb": da.sum(axis=0)}
         du = (da @ p["c"].T).reshape(u.shape)
-        de, k = np.zeros_like(p["e"]), p["e"].shape[1]
+        k = p["e"].shape[1]
+        de = np.zeros((n, WIDE, k))
         for i in range(self.width):
-            np.add.at(de, x[:, i : i + u.shape[1]], du[:, :, i * k : (i + 1) * k])
-        g["e"] = de
+            de[:, i : i + u.shape[1]] += du[:, :, i * k : (i + 1) * k]
+        g["e"] = np.stack([np.bincount(x.ravel(), de[:, :, i].ravel(), N_CLASSES) for i in range(k)], axis=1)
         for name in p:
             m[name] = 0.9 * m[name] + 0.1 * g[name]
             v[name] = 0.999 * v[name] + 0.001 * g[name] ** 2
             p[name] = p[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, steps: int = 700, size: int = 64, seed: int = 7) -> Network:
-        held = np.arange(len(x)) % 3 == 2
-        if not (y[~held] == 1).any() or not (y[held] == 1).any() or (y[~held] == 1).all():
-            return self
-        rng = np.random.default_rng(seed)
+    def descend(self, x: np.ndarray, y: np.ndarray, passes: int, rng: np.random.Generator, size: int = BATCH, rate: float = 3e-3) -> None:
+        """Passes over all windows in random order, each with bare ones drawn anew."""
         m, v, t = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        own_x, own_y, _ = with_bare(x[~held], y[~held], rng)
-        rows = np.arange(len(own_x))
-        for _ in range(-(-steps * size // len(rows))):
-            rng.shuffle(rows)
+        for _ in range(passes):
+            own_x, own_y, _ = with_bare(x, y, rng)
+            rows = rng.permutation(len(own_x))
             for i in range(0, len(rows), size):
                 t += 1
-                self.step(own_x[rows[i : i + size]], own_y[rows[i : i + size]], m, v, t, 3e-3)
-        held_x, held_y, bare = with_bare(x[held], y[held], rng)
-        got = np.concatenate([self.forward(held_x[i : i + 2048])[0] for i in range(0, len(held_x), 2048)])
-        good = np.sort(got[held_y == 1])
-        self.threshold = float(good[int((1 - recall) * len(good))])
-        hit = got >= self.threshold
-        self.report = {"recall": float(hit[held_y == 1].mean()), "recall_bare": float(hit[bare].mean()), "precision": float(held_y[hit].mean()), "held_positive": int(held_y.sum()), "held_negative": int((held_y == 0).sum())}
-        self.platt = platt(logit(got), held_y)
+                self.step(own_x[rows[i : i + size]], own_y[rows[i : i + size]], m, v, t, rate)
+
+    def tally(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Counter:
+        """How many windows of each label (0, 1, 2 for bare ones) have a score at each step of the logit."""
+        x, y, bare = with_bare(x, y, rng)
+        label = np.where(bare, 2, y).astype(np.int64)
+        out: Counter = Counter()
+        for i in range(0, len(x), 2048):
+            at = np.floor(logit(self.forward(x[i : i + 2048])[0]) * STEPS).astype(np.int64)
+            out.update(zip(label[i : i + 2048].tolist(), at.tolist(), strict=True))
+        return out
+
+    def settle(self, counts: Counter, recall: float = RECALL) -> None:
+        """Threshold, logistic fit and report from the counts of tally()."""
+        label, at, n = np.array([(y, k, n) for (y, k), n in sorted(counts.items())], np.int64).reshape(-1, 3).T
+        good, bare = label > 0, label == 2
+        if not good.any():
+            return
+        order = np.argsort(at[good], kind="stable")
+        reached = np.cumsum(n[good][order])
+        edge = at[good][order][np.searchsorted(reached, int((1 - recall) * reached[-1]), "right")]
+        self.threshold = float(1 / (1 + np.exp(-edge / STEPS)))
+        hit = at >= edge
+        share = lambda part, whole: float(n[part & whole].sum() / n[whole].sum()) if whole.any() else float("nan")
+        self.report = {"recall": share(hit, good), "recall_bare": share(hit, bare), "precision": share(good, hit), "held_positive": int(n[label == 1].sum()), "held_bare": int(n[bare].sum()), "held_negative": int(n[label == 0].sum())}
+        self.platt = platt((at + 0.5) / STEPS, good.astype(float), n)
+
+    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, steps: int = LEAST_STEPS, size: int = BATCH, seed: int = 7) -> Network:
+        """The same on windows in memory, as one shard, with every third held back."""
+        held, rng = np.arange(len(x)) % 3 == 2, np.random.default_rng(seed)
+        if len(set(y[~held].tolist())) > 1 and held.any():
+            rows = int((~held).sum() + (y[~held] == 0).sum())
+            self.descend(x[~held], y[~held], -(-steps * size // rows), rng, size)
+            self.settle(self.tally(x[held], y[held], rng), recall)
         return self
 
     def probability(self, score: np.ndarray) -> np.ndarray:
@@ -216,13 +251,13 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of the logistic fit, with the usual targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2)."""
-    n1, n0 = y.sum(), (1 - y).sum()
+def platt(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the logistic fit to n of each (x, y), with the usual targets (n1 + 1) / (n1 + 2) and 1 / (n0 + 2)."""
+    n1, n0 = (n * y).sum(), (n * (1 - y)).sum()
     aim, design, w = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.stack([np.ones(len(x)), x], axis=1), np.array([0.0, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (aim - p))
+        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (n * (aim - p)))
         w = w + np.clip(step, -1, 1)
     return float(w[0]), float(w[1])
 
@@ -232,15 +267,14 @@ ALPHABETS = (HEX_CLASSES, np.arange(2, 64), np.array([*range(2, 64), TABLE[ord("
 
 
 def with_bare(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, labels, which are bare): those given, and values drawn anew where a negative stood: one for each positive, or FEW in all."""
-    good, bad, y = x[y == 1], x[y != 1], (y == 1).astype(float)
-    good = np.repeat(good, max(1, FEW // max(1, len(good))), axis=0)
-    out = bad[rng.integers(0, len(bad), len(good))].copy() if len(bad) else np.full((len(good), WIDE), TABLE[32])
-    long = rng.integers(20, INSIDE + 1, len(good))
-    kind = rng.integers(0, len(ALPHABETS), len(good))
-    drawn = np.choose(kind[:, None], [a[rng.integers(0, len(a), (len(good), INSIDE))] for a in ALPHABETS])
+    """(windows, labels, which are bare): those given, and for each negative one with a value drawn anew in its place."""
+    out = x[y != 1].copy()
+    n = len(out)
+    long = rng.integers(20, INSIDE + 1, n)
+    kind = rng.integers(0, len(ALPHABETS), n)
+    drawn = np.choose(kind[:, None], [a[rng.integers(0, len(a), (n, INSIDE))] for a in ALPHABETS])
     out[:, BEFORE : BEFORE + INSIDE] = np.where(np.arange(INSIDE) < long[:, None], drawn, 0)
-    return np.concatenate([x, out]), np.concatenate([y, np.ones(len(out))]), np.append(np.zeros(len(x), bool), np.ones(len(out), bool))
+    return np.concatenate([x, out]), np.concatenate([(y == 1).astype(float), np.ones(n)]), np.append(np.zeros(len(x), bool), np.ones(n, bool))
 
 
 def suspicious(text: str, hexadecimal: bool) -> bool:
@@ -249,65 +283,105 @@ def suspicious(text: str, hexadecimal: bool) -> bool:
     return hexadecimal or "AKIA" in text or "passw" in low or "secret" in low or "token" in low or "api" in low
 
 
-def some_words(text: str, key: bytes) -> list[tuple[int, int]]:
-    """(start, end) of four words of a text with candidates, at places that its hash says."""
-    out = []
-    for k in range(0, 16, 4):
-        m = WORD.search(text, int.from_bytes(key[k : k + 4], "big") % len(text))
-        if m and len(m[0]) < LEAST:
-            out.append(m.span())
-    return out
-
-
-def labelled(docs: DataFrame, sample: int, batch_bytes: int = 4 << 20, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, labels) of all documents: of each label those with the `sample` smallest hashes of text and place; with `words` also ordinary words, label 2."""
+def every_window(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+    """x (a window's classes) and y (1: of a base finding's value, 0: of a candidate) of all documents, a row for each occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: list[list[tuple[int, bytes]]] = [[], [], []]
         for whole in batches:
             for i, j in slices(whole.column(0), batch_bytes):
                 column = whole.column(0).slice(i, j - i)
                 data, offsets = utf8(column)
                 long, hexa = suspects(data, offsets)
+                xs: list[bytes] = []
+                ys: list[int] = []
                 for text, has_hex, has_run in zip(column.to_pylist(), hexa.tolist(), long.tolist(), strict=True):
                     asks = bool(text) and suspicious(text, has_hex)
                     if not asks and not has_run:
                         continue
-                    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     base = base_spans(text) if asks else []
                     found = [(1, a, b) for a, b in values(text)] if asks else []
                     found += [(0, a, b) for a, b in candidates(text, base)] if has_run else []
-                    found += [(2, a, b) for a, b in some_words(text, key)] if words else []
                     for y, a, b in found:
-                        for k, x in enumerate(windows(text, a, b)):
-                            h = hashlib.blake2b(b"%d %d" % (a, k), key=key, digest_size=8).digest()
-                            least[y].append((int.from_bytes(h, "big") >> 1, x.astype(np.uint8).tobytes()))
-                        if len(least[y]) > 4 * sample + 1000:
-                            least[y] = sorted(least[y])[:sample]
-        for y, own in enumerate(least):
-            own = sorted(own)[:sample]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary()), pa.array([y] * len(own), pa.int32())], names=["h", "x", "y"])
-
-    drawn = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "h long, x binary, y int")
-    drawn = Tables(docs.sparkSession, "windows").write(drawn)
-    # hashes are even, so some below twice the share hold the smallest ones; then few rows meet in a label's task
-    counts = {r[0]: r[1] for r in drawn.groupBy("y").count().collect()}
-    below = F.lit(0)
-    for y, n in counts.items():
-        below = F.when(F.col("y") == y, F.lit(min((1 << 63) - 1, (1 << 63) * 2 * (sample + 100) // n))).otherwise(below)
-    few = drawn.filter(F.col("h") <= below)
-    kept = {r[0]: r[1] for r in few.groupBy("y").count().collect()}
-    drawn = few if all(kept.get(y, 0) >= min(n, sample) for y, n in counts.items()) else drawn
-    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "x"))
-    got = sorted((bytes(r[0]), r[1]) for r in drawn.withColumn("place", place).filter(F.col("place") <= sample).select("x", "y").collect())
+                        own = [x.astype(np.uint8).tobytes() for x in windows(text, a, b)]
+                        xs += own
+                        ys += [y] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.int32())], names=["x", "y"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "x binary, y int")
+
+
+def labelled(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, labels) with the `sample` smallest hashes of each label, to look at on the driver. train() doesn't use it: it takes all."""
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("x"), "x"))
+    got = sorted((bytes(r[0]), r[1]) for r in every_window(docs).withColumn("place", place).filter(F.col("place") <= sample).select("x", "y").collect())
     x = np.array([np.frombuffer(a, np.uint8) for a, _ in got], np.int64).reshape(-1, WIDE)
     return x, np.array([b for _, b in got], float)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network:
-    x, y = labelled(docs, sample, words=True)
-    order = np.random.default_rng(1).permutation(len(x))
-    return Network().fit(x[order], y[order], recall)
+def dealt(seen: DataFrame, n_shards: int) -> DataFrame:
+    """shard, blob: all windows of seen (x, y, n, held) over shards. The copies of one window go to as many shards as there are."""
+    n = F.col("n")
+    spread = seen.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(n_shards)) - 1)))
+    own = F.floor(n / n_shards) + F.when(F.col("j") < n % n_shards, 1).otherwise(0)
+    spread = spread.select(F.pmod(F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(n_shards)) + F.col("j"), F.lit(n_shards)).cast("int").alias("shard"), "x", "y", own.cast("long").alias("n"), "held")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("x", "ascending"), ("y", "ascending")])
+        x = np.frombuffer(b"".join(group["x"].to_pylist()), np.uint8)
+        y, n, held = (np.array(group[k].to_pylist()).astype(np.uint64) for k in ("y", "n", "held"))
+        return pa.table({"shard": group["shard"][:1], "blob": pa.array([pack(x, y, n, held)], pa.binary())})
+
+    return spread.repartition(n_shards, "shard").groupBy("shard").applyInArrow(lean_group(run), "shard int, blob binary")
+
+
+def opened(blob: bytes, held: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, labels) of a shard, copies repeated: those held back, or the others."""
+    x, y, n, back = unpack(blob)
+    which = np.repeat(np.arange(len(y)), np.where(back == held, n, 0).astype(np.int64))
+    return x.reshape(-1, WIDE)[which].astype(np.int64), y[which].astype(float)
+
+
+def train(docs: DataFrame, recall: float = RECALL, rounds: int = ROUNDS, steps: int = LEAST_STEPS, rows: int = ROWS, seed: int = 7) -> Network:
+    """The network fitted on all labelled windows of docs (text)."""
+    tables, network = Tables(docs.sparkSession, "windows"), Network(seed=seed)
+    seen = every_window(docs).groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("held", F.pmod(F.xxhash64("x"), F.lit(3)) == 2)
+    seen = tables.write(seen)
+    counts = {(r[0], r[1]): r[2] for r in seen.groupBy("y", "held").agg(F.sum("n")).collect()}
+    if not (counts.get((0, False)) and counts.get((1, False)) and (counts.get((0, True)) or counts.get((1, True)))):
+        return network
+    n_shards = min(MOST, -(-sum(counts.values()) // rows))
+    shards = tables.write(dealt(seen, n_shards))
+    passes = max(1, -(-steps * BATCH * n_shards // (rounds * (2 * counts[0, False] + counts[1, False]))))
+
+    for k in range(rounds):
+
+        def learn(batches: Iterator[pa.RecordBatch], start: dict = network.p, k: int = k) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = Network()
+                    own.p = copy.deepcopy(start)
+                    x, y = opened(blob, False)
+                    own.descend(x, y, passes, np.random.default_rng([seed, k, shard]))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([np.concatenate([a.ravel() for a in own.p.values()]).tobytes()], pa.binary())], names=["shard", "n", "p"])
+
+        got = sorted((r[0], r[1], bytes(r[2])) for r in shards.mapInArrow(lean(learn), "shard int, n long, p binary").collect())
+        mean, at = np.average([np.frombuffer(p) for _, _, p in got], axis=0, weights=[n for _, n, _ in got]), 0
+        for name, a in network.p.items():
+            network.p[name] = mean[at : at + a.size].reshape(a.shape)
+            at += a.size
+
+    def judge(batches: Iterator[pa.RecordBatch], fitted: Network = network) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = fitted.tally(*opened(blob, True), np.random.default_rng([seed, rounds, shard]))
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([s for _, s in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["y", "step", "n"])
+
+    tallied = shards.mapInArrow(lean(judge), "y int, step int, n long").groupBy("y", "step").agg(F.sum("n"))
+    network.settle(Counter({(r[0], r[1]): r[2] for r in tallied.collect()}), recall)
+    network.report |= {"shards": n_shards, "learnt_positive": counts[1, False], "learnt_negative": counts[0, False]}
+    tables.drop(seen)
+    tables.drop(shards)
+    return network
 
 
 def scan_batch(column: pa.Array, network: Network) -> list[tuple[str, list[tuple[int, int, int]], float | None]]:

@@ -492,6 +492,32 @@ def test_labels_come_from_all_documents(spark):
     assert int(secrets.labelled(docs, sample=10)[1].sum()) == 10
 
 
+def test_the_network_learns_from_every_window(spark):
+    rows = [(i, f"password=hunter{i:05d} a-long-run-of-letters/{i:05d} and/another-long-run/{i:05d}") for i in range(4500)]
+    rows += [(9000 + i, "token: sesame42 some-long-run-of-letters") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    report = (network := secrets.train(docs, rounds=1, steps=1, rows=2000)).report
+    assert (report["learnt_positive"] + report["held_positive"], report["learnt_negative"] + report["held_negative"]) == (5000, 9500)
+    assert report["held_bare"] == report["held_negative"] and report["shards"] == 8
+    again = secrets.train(docs.repartition(7), rounds=1, steps=1, rows=2000)
+    assert np.allclose(again.p["h"], network.p["h"]) and again.threshold == network.threshold
+    seen = secrets.every_window(docs).groupBy("x", "y").agg(F.count("*").alias("n")).withColumn("held", F.pmod(F.xxhash64("x"), F.lit(3)) == 2)
+    parts = [[secrets.opened(bytes(r["blob"]), held) for held in (False, True)] for r in secrets.dealt(seen, 8).collect()]
+    got = Counter((x.astype(np.uint8).tobytes(), int(y)) for part in parts for xs, ys in part for x, y in zip(xs, ys, strict=True))
+    assert got == {(bytes(r["x"]), r["y"]): r["n"] for r in seen.collect()} and sorted(got.values())[-3:] == [1, 500, 500]
+    assert all(1500 < sum(len(ys) for _, ys in part) < 2100 for part in parts)
+
+
+def test_threshold_and_report_are_of_all_counts():
+    counts = Counter({(0, -512): 90, (0, 256): 10, (1, 0): 2, (1, 512): 48, (2, 256): 50})
+    network = secrets.Network()
+    network.settle(counts, recall=0.98)
+    assert network.threshold == pytest.approx(1 / (1 + np.exp(-1))) and network.report["recall"] == 0.98
+    assert (network.report["recall_bare"], network.report["precision"]) == (1.0, 98 / 108)
+    low, high = network.probability(np.array([0.1, 0.9]))
+    assert low < 0.1 and high > 0.9
+
+
 # ---- 3: whole trees ----
 def test_whole_trees_against_sql_and_a_short_shared_passage(spark):
     con = duckdb.connect()
