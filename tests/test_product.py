@@ -51,3 +51,12 @@ def test_sparse_and_odd_products_stay_joins(spark):
     m, n, want = matrices(spark, 5, 0.9, 3, 3)
     holes = m.union(spark.createDataFrame([(7, 0, None)], m.schema))
     assert {k: v for k, v in cells(multiply(holes, n)).items() if k[0] != 7} == want and "Cartesian" not in plan(multiply(holes, n))
+
+
+def test_comprehension_pairs_packed_rows(spark):
+    m, n, want = matrices(spark, 40, 0.9)
+    df = Session().q(PRODUCT, spark=spark, M=m, N=n)
+    assert "CartesianProduct" in plan(df) and cells(df) == want
+    assert "Cartesian" not in plan(Session().q(PRODUCT.replace("x * y", "x + y"), spark=spark, M=m, N=n))
+    swapped = Session().q("select (+/z, k, i) from (i, j, x) <- M, (l, k, y) <- N, z = y * x where l == j && i > 2 group by (k, i)", spark=spark, M=m, N=n)
+    assert "CartesianProduct" in plan(swapped) and {(r[2], r[1]): r[0] for r in swapped.collect()} == {k: v for k, v in want.items() if k[0] > 2}
