@@ -7,7 +7,6 @@ import pytest
 from bagloom.api import Session
 from bagloom.operators.bags import multiply, multiply_grid
 from bagloom.plans.loops import run_loops
-from bagloom.plans.sql import run_sql
 
 PRODUCT = "select (i, k, +/z) from (i, j, x) <- M, (l, k, y) <- N, z = x * y where j == l group by (i, k)"
 CELLS = "var R: matrix[Double] = matrix(); for i = 0, 9 do for j = 0, 11 do { R[i,j] := 1.0; for k = 0, 99 do R[i,j] += M[i,k] * N[k,j]; };"
@@ -60,3 +59,13 @@ def test_comprehension_pairs_packed_rows(spark):
     assert "Cartesian" not in plan(Session().q(PRODUCT.replace("x * y", "x + y"), spark=spark, M=m, N=n))
     swapped = Session().q("select (+/z, k, i) from (i, j, x) <- M, (l, k, y) <- N, z = y * x where l == j && i > 2 group by (k, i)", spark=spark, M=m, N=n)
     assert "CartesianProduct" in plan(swapped) and {(r[2], r[1]): r[0] for r in swapped.collect()} == {k: v for k, v in want.items() if k[0] > 2}
+
+
+@pytest.mark.parametrize("run", [run_loops])
+def test_loops_fill_and_add_without_a_join_of_cells(spark, run):
+    m, n, want = matrices(spark, 40, 0.9)
+    df = run(CELLS, {"spark": spark, "M": m, "N": n}, Session())["R"]
+    assert "CartesianProduct" in plan(df) and "FullOuter" not in plan(df)
+    assert cells(df) == {(i, j): 1.0 + want.get((i, j), 0.0) for i in range(10) for j in range(12)}
+    narrow = CELLS.replace("R[i,j] := 1.0; for k", "R[i,j] := 1.0; }; for i = 2, 4 do for j = 0, 20 do { for k")
+    assert cells(run(narrow, {"spark": spark, "M": m, "N": n}, Session())["R"]) == {(i, j): 1.0 + (want.get((i, j), 0.0) if 2 <= i <= 4 else 0.0) for i in range(10) for j in range(12)}
