@@ -7,6 +7,7 @@ import pytest
 from bagloom.api import Session
 from bagloom.operators.bags import multiply, multiply_grid
 from bagloom.plans.loops import run_loops
+from bagloom.plans.sql import run_sql
 
 PRODUCT = "select (i, k, +/z) from (i, j, x) <- M, (l, k, y) <- N, z = x * y where j == l group by (i, k)"
 CELLS = "var R: matrix[Double] = matrix(); for i = 0, 9 do for j = 0, 11 do { R[i,j] := 1.0; for k = 0, 99 do R[i,j] += M[i,k] * N[k,j]; };"
@@ -61,7 +62,7 @@ def test_comprehension_pairs_packed_rows(spark):
     assert "CartesianProduct" in plan(swapped) and {(r[2], r[1]): r[0] for r in swapped.collect()} == {k: v for k, v in want.items() if k[0] > 2}
 
 
-@pytest.mark.parametrize("run", [run_loops])
+@pytest.mark.parametrize("run", [run_loops, run_sql])
 def test_loops_fill_and_add_without_a_join_of_cells(spark, run):
     m, n, want = matrices(spark, 40, 0.9)
     df = run(CELLS, {"spark": spark, "M": m, "N": n}, Session())["R"]
