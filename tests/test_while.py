@@ -57,3 +57,12 @@ def test_rounds_keep_their_cells(spark, run, body, want):
     found = run(text, {"spark": spark, "V": v}, Session())["B" if "B[i]" in body else "A"]
     got = {r[0]: r[1] for r in found.collect()}
     assert got.keys() == want.keys() and all(w is None or got[k] == w for k, w in want.items())
+
+
+def test_repeat_stages_what_its_steps_read(spark, monkeypatch):
+    from bagloom.plans import lower
+
+    made, real = [], lower.staged
+    monkeypatch.setattr(lower, "staged", lambda df: (made.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    workloads.QUERIES["pagerank"](spark, DATA).collect()
+    assert sum("l_suppkey" in p for p in made) == 2 and len(made) == 2 + 4  # edges and nodes, then the start and a state for each round
